@@ -23,7 +23,7 @@ FENCE = 3
 LEAST = 100
 BINS = 1000
 #: metric: slack above the upper fence, in bins; a lower fence too?
-METRICS = {"symbols": (20, False), "dup_lines": (100, False), "repeats": (100, False), "word_length": (20, True)}
+METRICS = {"symbols": (20, False), "dup_lines": (300, False), "repeats": (300, False), "word_length": (20, True)}
 
 
 def repeat_words(words: Column) -> Column:
