@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
-from terrapane.llm import chat, mixing, quality, secrets
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from terrapane.llm import audio, bpe, chat, classifier, jaccard, licenses, mixing, quality, secrets, tokencount
 from terrapane.llm.common import table
 
 
+def op1_audio_fingerprints(spark, sf_dir):
+    printed = audio.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.tones)
+    text = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["class_id"].cast("string"), m["shift"].cast("string"), m["votes"].cast("string"))), ",")
+    return audio.search(printed).select(F.col("id").alias("vec_id"), "class_id", "n_prints", "is_query", "n_matches", text.alias("matches"))
+
+
+def op2_quality_classifier(spark, sf_dir):
+    return classifier.posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.bpe_digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark, sf_dir):
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -16,6 +38,14 @@ def op6_chat_format(spark, sf_dir):
     return chat.chat_digest(chat.format_chats(chat.log_of_turns(turns.unionByName(control))))
 
 
+def op7_license_scan(spark, sf_dir):
+    return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op8_token_counts(spark, sf_dir):
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_digest(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -24,5 +54,17 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_digest(quality.judge(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan, op6_chat_format, op9_mixing, op10_quality_rules)}
+_ALL = (
+    op1_audio_fingerprints,
+    op2_quality_classifier,
+    op3_bpe,
+    op4_jaccard_join,
+    op5_secret_scan,
+    op6_chat_format,
+    op7_license_scan,
+    op8_token_counts,
+    op9_mixing,
+    op10_quality_rules,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
