@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from terrapane.llm.common import SPACES, WORD, join_small, materialize, text_of
 
 BINS = 20
-KEEP = 0.1  # a document goes only where the odds against it are clear
+SMOOTHING = 0.2  # added to each count
+KEEP = 0.2  # a document goes only where the odds against it are clear
 MOST_ODDS = 12.0  # of a document's own log odds, either way
 FEATURES = ("symbols", "bars", "marks", "capitals", "digits", "word_length", "short_words", "distinct", "runs", "lines", "length")
 
@@ -67,7 +68,7 @@ def features(docs: DataFrame, host: str = "source", path: str = "lang") -> DataF
 
 
 def evidence(featured: DataFrame, labels: DataFrame) -> DataFrame:
-    """log odds of good quality for each feature's bin: feature, bin, odds; add-one counts of the labelled documents, all of them."""
+    """log odds of good quality for each feature's bin: feature, bin, odds; smoothed counts of the labelled documents, all of them."""
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("quality").alias("quality"))
     rows = featured.join(known, F.col("doc_id") == F.col("labelled_id"))
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("bin")) for f in FEATURES)))
@@ -86,7 +87,7 @@ def document_scores(featured: DataFrame, labels: DataFrame) -> DataFrame:
             table = {b: 0.0 for b in range(BINS + 1)}
             for r in found:
                 if r.feature == f:
-                    table[r.bin] = math.log((r.good + 1) / (good + BINS)) - math.log((r.bad + 1) / (bad + BINS))
+                    table[r.bin] = math.log((r.good + SMOOTHING) / (good + BINS * SMOOTHING)) - math.log((r.bad + SMOOTHING) / (bad + BINS * SMOOTHING))
             odds = odds + F.element_at(F.array(*(F.lit(table[b]) for b in range(BINS + 1))), F.col(f) + 1)
     odds = F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), odds))
     return featured.select("doc_id", "host", "path", "n_words", (1 / (1 + F.exp(-odds))).alias("p"))
