@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from terrapane.dims import BIAS, CODES, THRESHOLDS, WEIGHTS
 from terrapane.functions.proportions import column_name
+from terrapane.scratch import written
 
 CLASSES = [column_name(c) for c in CODES]
 KEPT_SHARE, PHASE1, PHASE2 = 0.9, 0.4, 0.1
@@ -71,7 +72,8 @@ def phase_three(tiles: DataFrame, n: int, target: list[float], sums: list[float]
     while n > 0:
         drawn = sample_rows(left, pool, seed + rounds)
         order = Window.orderBy(hashed(seed + rounds), "tile_id")  # of a pool, which is a parameter
-        numbered = drawn.withColumn("batch", F.floor((F.row_number().over(order) - 1) / batch)).cache()
+        numbered = drawn.withColumn("batch", F.floor((F.row_number().over(order) - 1) / batch))
+        numbered = written(numbered, "pool")
         mixes = numbered.groupBy("batch").agg(F.count(F.lit(1)).alias("size"), *(F.sum(c).alias(c) for c in CLASSES)).where(F.col("size") >= min(batch, n)).orderBy("batch").collect()
         if not mixes:
             break
@@ -86,15 +88,15 @@ def phase_three(tiles: DataFrame, n: int, target: list[float], sums: list[float]
         new = numbered.where(F.col("batch").isin(chosen))
         if size > n:  # the last batch is cut to what is still needed
             new = new.orderBy(F.col("batch") == chosen[-1], "tile_id").limit(n)
-        new = new.select("tile_id").cache()
-        taken = new if taken is None else taken.unionByName(new)
+        new = new.select("tile_id")
+        taken = written(new if taken is None else taken.unionByName(new), "taken")
         n, rounds = n - min(size, n), rounds + 1
         left = tiles.join(taken, "tile_id", "left_anti")
     return taken if taken is not None else tiles.limit(0).select("tile_id")
 
 
 def select_subsets(tiles: DataFrame, targets: dict[str, list[float]], sizes: dict[str, int], batch: int = 25, pool: int = 2500, seed: int = 42) -> DataFrame:
-    """tile_id, subset, phase for every pick; a subset also holds, as reuse, what smaller ones took. Subsets already filled to 90 % by reuse take nothing new."""
+    """tile_id, subset, phase for every pick (each step's picks are written tables, so plans stay small); a subset also holds, as reuse, what smaller ones took. Subsets already filled to 90 % by reuse take nothing new."""
     picks, spark = None, tiles.sparkSession
     for i, (label, size) in enumerate(sorted(sizes.items(), key=lambda x: x[1])):
         reused = picks.select("tile_id").distinct() if picks is not None else spark.createDataFrame([], "tile_id string")
@@ -103,16 +105,15 @@ def select_subsets(tiles: DataFrame, targets: dict[str, list[float]], sizes: dic
         if quota > 0:
             free = tiles.join(reused, "tile_id", "left_anti")
             p1, p2 = int(quota * PHASE1), int(quota * PHASE2)
-            one = phase_one(free, p1, targets[label], seed + 10 * i).cache()
+            one = written(phase_one(free, p1, targets[label], seed + 10 * i), "phase1")
             free = free.join(one, "tile_id", "left_anti")
-            two = phase_two(free, p2, seed + 10 * i + 1).cache()
+            two = written(phase_two(free, p2, seed + 10 * i + 1), "phase2")
             free = free.join(two, "tile_id", "left_anti")
             held = tiles.join(reused.unionByName(one).unionByName(two), "tile_id", "left_semi").agg(F.count(F.lit(1)), *(F.sum(c) for c in CLASSES)).first()
             three = phase_three(free, quota - p1 - p2, targets[label], [x or 0.0 for x in held[1:]], held[0], batch, pool, seed + 100 * (i + 1))
             parts += [d.select("tile_id", F.lit(f"phase{k}").alias("phase")) for k, d in ((1, one), (2, two), (3, three))]
         new = reduce(DataFrame.unionByName, parts).select("tile_id", F.lit(label).alias("subset"), "phase")
-        new = new.cache()
-        picks = new if picks is None else picks.unionByName(new)
+        picks = written(new if picks is None else picks.unionByName(new), "picks")
     return picks
 
 

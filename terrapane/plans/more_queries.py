@@ -13,6 +13,7 @@ from terrapane.operators import grid, select
 from terrapane.plans import catalog
 from terrapane.plans.queries import PARENT_TEXT, TILES_SQL, WIDE_SQL, longs, own, query, tiles, wide
 from terrapane.plans.views import table
+from terrapane.scratch import written
 from terrapane.sources import files
 from terrapane.streaming import incremental
 
@@ -125,7 +126,7 @@ def subset_propagate(spark, sf_dir):
 @query()
 def subset_select_full(spark, sf_dir):
     """All phases for two sizes that follow the number of tiles; held against its rules in the tests."""
-    t = enriched(spark, sf_dir).cache()
+    t = written(enriched(spark, sf_dir), "tiles")
     n = t.count()
     sizes = {"small": max(10, n // 5), "large": max(20, n // 2)}
     targets = {k: select.progressive_target(BASE_MIX, b) for k, b in (("small", 1.5), ("large", 1.2))}
