@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from terrapane.llm import audio, bpe, chat, classifier, jaccard, licenses, mixing, quality, secrets, tokencount
+from terrapane.llm import audio, bpe, chat, classifier, jaccard, licenses, mixing, oracles, quality, secrets, tokencount
 from terrapane.llm.common import table
 
 
@@ -67,4 +67,4 @@ _ALL = (
     op10_quality_rules,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
