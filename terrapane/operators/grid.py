@@ -136,3 +136,26 @@ def geodesic_lattice(bounds: DataFrame, spacing_m: float) -> DataFrame:
     width = step / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
     rows = rows.withColumn("width", width).withColumn("col", F.explode(F.sequence(F.lit(0), F.floor((F.col("east") - F.col("west")) / F.col("width")).cast("int"))))
     return rows.withColumn("lon", F.col("west") + F.col("col") * F.col("width")).drop("row", "col", "width")
+
+
+def morton(x: Column, y: Column, bits: int = 16) -> Column:
+    """Key that interleaves the low bits of two indices: tiles near each other have near keys, so that a range partition by it is a spatial one."""
+    key = F.lit(0).cast("long")
+    for i in range(bits):
+        key = key.bitwiseOR(F.shiftleft(F.shiftright(x, i).bitwiseAND(F.lit(1).cast("long")), 2 * i)).bitwiseOR(F.shiftleft(F.shiftright(y, i).bitwiseAND(F.lit(1).cast("long")), 2 * i + 1))
+    return key
+
+
+def by_locality(tiles: DataFrame, partitions: int) -> DataFrame:
+    """tiles in partitions that are compact areas of a level and zone."""
+    return tiles.withColumn("m", morton(F.col("x_idx"), F.col("y_idx"))).repartitionByRange(partitions, "level", "zone", "m").sortWithinPartitions("level", "zone", "m").drop("m")
+
+
+def spatial_clusters(tiles: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """tiles with cluster: k-means over box centres, where labels themselves are wanted (by_locality is cheaper for partitioning)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    centred = tiles.withColumn("cx", (F.col("minx") + F.col("maxx")) / 2).withColumn("cy", (F.col("miny") + F.col("maxy")) / 2)
+    points = VectorAssembler(inputCols=["cx", "cy"], outputCol="at").transform(centred)
+    return KMeans(k=k, seed=seed, featuresCol="at", predictionCol="cluster").fit(points).transform(points).drop("cx", "cy", "at")

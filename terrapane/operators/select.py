@@ -123,3 +123,9 @@ def propagate_up(df: DataFrame, columns: list[str], none: str = "none") -> DataF
         lower = F.coalesce(*(F.nullif(F.col(x), F.lit(none)) for x in columns[:i]))
         df = df.withColumn(c, F.when(F.col(c) == none, F.coalesce(lower, F.lit(none))).otherwise(F.col(c)))
     return df
+
+
+def downsample_class(tiles: DataFrame, column: str, above: float, per_mille: int, most: int, seed: int = 42) -> DataFrame:
+    """All tiles whose share of a class is not above the bound, and of the rest a hashed sample: per_mille of them, most at all."""
+    held = tiles.where(~(F.col(column) > above))
+    return held.unionByName(sample_rows(sample_share(tiles.where(F.col(column) > above), per_mille, seed), most, seed))

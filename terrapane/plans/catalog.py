@@ -105,3 +105,42 @@ def reindex(df: DataFrame, key: str, ordered: list[str]) -> DataFrame:
     """A row for each of ordered, in that order, null where df has none."""
     dim = df.sparkSession.createDataFrame(list(enumerate(ordered)), f"position int, {key} string")
     return dim.join(df, key, "left").orderBy("position")
+
+
+def tile_metadata(tiles: DataFrame) -> DataFrame:
+    """tile_id, zone, level, crs, bounds and centre of each tile (with minx … maxy)."""
+    return tiles.select(
+        "tile_id",
+        "zone",
+        "level",
+        tileid.epsg(F.col("zone")).alias("crs"),
+        "minx",
+        "miny",
+        "maxx",
+        "maxy",
+        ((F.col("minx") + F.col("maxx")) / 2).alias("centroid_x"),
+        ((F.col("miny") + F.col("maxy")) / 2).alias("centroid_y"),
+    )
+
+
+#: Attributes that later jobs fill in, and their types.
+ATTRIBUTES = (("landcover_vector", "string"), ("climate_zone", "string"), ("population_density", "double"), ("ndvi_avg", "double"), ("lst_mean", "double"))
+
+
+def attribute_table(tiles: DataFrame) -> DataFrame:
+    """tile_id, zone, level, crs and the attributes, all null."""
+    return tiles.select("tile_id", "zone", "level", tileid.epsg(F.col("zone")).alias("crs"), *(F.lit(None).cast(t).alias(n) for n, t in ATTRIBUTES))
+
+
+def map_back(tiles: DataFrame, subsets: dict[str, DataFrame], key: str = "tile_id", none: str = "none") -> DataFrame:
+    """tiles with a column for each saved subset (key): its name where it holds the tile."""
+    for name, rows in subsets.items():
+        mark = rows.select(key, F.lit(name).alias(name)).distinct()
+        tiles = tiles.drop(name).join(mark, key, "left").withColumn(name, F.coalesce(name, F.lit(none)))
+    return tiles
+
+
+def guard(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """df; a row that fails a test stops the job with the test's message."""
+    checks = [F.when(~F.coalesce(ok, F.lit(False)), F.raise_error(F.lit(message)).cast("boolean")).otherwise(True) for message, ok in tests.items()]
+    return df.where(F.least(*checks) if len(checks) > 1 else checks[0]) if checks else df

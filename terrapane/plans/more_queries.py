@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from terrapane.dims import BIAS, CODES, THRESHOLDS, WEIGHTS
 from terrapane.functions import arrays, proportions, tileid
-from terrapane.operators import grid, select
+from terrapane.operators import grid, select, zonal
 from terrapane.plans import catalog
-from terrapane.plans.queries import PARENT_TEXT, TILES_SQL, WIDE_SQL, longs, own, query, tiles, wide
+from terrapane.plans.queries import EPSG_TEXT, PARENT_TEXT, TILES_SQL, WIDE_SQL, longs, own, query, tiles, wide
 from terrapane.plans.views import table
 from terrapane.scratch import written
 from terrapane.sources import files
@@ -263,3 +263,53 @@ def incremental_append(spark, sf_dir):
     for _ in range(2):
         incremental.append_new_files(spark, f"{sf_dir}/events.parquet*", source.schema, where, mark, lambda df: df.select("event_type", "value"))
     return spark.read.schema("event_type string, value double").parquet(where).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# --- tile tables ----------------------------------------------------------------------------------------------------
+
+BOX_SQL = f"SELECT tile_id, zone, level, k, 100000 + x * level AS a, CASE WHEN zone LIKE '%S' THEN 10000000 ELSE 0 END + y * level AS b FROM ({TILES_SQL})"
+
+
+@query(f"SELECT tile_id, zone, level, {EPSG_TEXT} AS crs, CAST(a AS DOUBLE) AS minx, CAST(b AS DOUBLE) AS miny, CAST(a + level AS DOUBLE) AS maxx, CAST(b + level AS DOUBLE) AS maxy, a + level / 2.0 AS centroid_x, b + level / 2.0 AS centroid_y FROM ({BOX_SQL})")
+def tile_metadata(spark, sf_dir):
+    return catalog.tile_metadata(identified(spark, sf_dir))
+
+
+@query(f"SELECT tile_id, {EPSG_TEXT} AS crs, CAST(NULL AS DOUBLE) AS ndvi_avg FROM ({TILES_SQL})")
+def attribute_placeholders(spark, sf_dir):
+    return catalog.attribute_table(tiles(spark, sf_dir)).select("tile_id", "crs", "ndvi_avg")
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'small' ELSE 'none' END AS small, CASE WHEN o_orderkey % 2 = 0 THEN 'large' ELSE 'none' END AS large FROM orders")
+def subset_map_back(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return catalog.map_back(rows, {"small": rows.where("k % 3 = 0"), "large": rows.where("k % 2 = 0")}, "k")
+
+
+@query(f"SELECT count(*) AS n, round(sum(lc_0), 4) AS share FROM ({WIDE_SQL}) WHERE NOT lc_0 > 0.1")
+def open_sea_filter(spark, sf_dir):
+    """Tiles with little open sea, all kept by the down-sampling of the rest."""
+    return select.downsample_class(wide(spark, sf_dir), "lc_0", 0.1, 10, 1000).where("NOT lc_0 > 0.1").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lc_0"), 4).alias("share"))
+
+
+CHIP = ("l_suppkey % 3 AS scene_id", "l_orderkey % 480 AS x", "l_partkey % 480 AS y", "CAST(l_linenumber AS BIGINT) AS value", "l_linenumber < 7 AS clear")
+
+
+@query(f"SELECT concat('t', CAST(x // 120 AS STRING), '-', CAST(y // 120 AS STRING)) AS tile_id, scene_id, round(avg(CASE WHEN clear THEN 1.0 ELSE 0.0 END), 6) AS clear_ratio, count(*) AS n FROM (SELECT {', '.join(CHIP)} FROM lineitem) GROUP BY 1, 2 HAVING avg(CASE WHEN clear THEN 1.0 ELSE 0.0 END) >= 0.8")
+def scene_chip_extract(spark, sf_dir):
+    """Chips of 120 metres from pixels; their bytes are read back for the pixel count."""
+    px = table(spark, sf_dir, "lineitem").selectExpr(*CHIP)
+    cells = px.select(F.floor(F.col("x") / 120).alias("x_idx"), F.floor(F.col("y") / 120).alias("y_idx")).distinct()
+    t = cells.select(F.concat(F.lit("t"), F.col("x_idx"), F.lit("-"), F.col("y_idx")).alias("tile_id"), "x_idx", "y_idx", F.lit(120).alias("level"), F.lit(0).alias("origin_x"), F.lit(0).alias("origin_y"))
+    chips = zonal.scene_chips(t, px)
+    return chips.select("tile_id", "scene_id", F.round("clear_ratio", 6).alias("clear_ratio"), F.size(arrays.decompress_uint8("image")).cast("long").alias("n"))
+
+
+@query("SELECT floor(s_suppkey / 8) AS cell, count(*) AS n FROM supplier GROUP BY 1")
+def morton_cells(spark, sf_dir):
+    """Keys of neighbouring indices fall in the same cell of eight."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    x = F.shiftright("k", 1).bitwiseAND(F.lit(0)).cast("long")
+    even = sum((F.shiftleft(F.shiftright("k", 2 * i).bitwiseAND(F.lit(1).cast("long")), i) for i in range(16)), x)
+    odd = sum((F.shiftleft(F.shiftright("k", 2 * i + 1).bitwiseAND(F.lit(1).cast("long")), i) for i in range(16)), x)
+    return s.select(F.floor(grid.morton(even, odd) / 8).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
