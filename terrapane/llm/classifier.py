@@ -62,7 +62,7 @@ def features(docs: DataFrame, host: str = "source", path: str = "lang") -> DataF
         "distinct": F.col("distinct") * 20 / words,
         "runs": F.col("runs") * 20 / words,
         "lines": F.col("lines") * 20 / F.greatest(F.lit(1), F.col("n_lines")),
-        "length": F.log2(words.cast("double")),
+        "length": F.length(F.bin(words)) - 1,  # whole part of the binary logarithm
     }
     return rows.select("doc_id", "host", "path", "n_words", *(F.least(F.lit(BINS), F.floor(bins[f])).cast("int").alias(f) for f in FEATURES))
 

@@ -2,13 +2,67 @@
 
 from __future__ import annotations
 
-from terrapane.llm import chat, licenses, quality, secrets
+from terrapane.llm import chat, classifier, licenses, quality, secrets
 
 
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# --- 2 ---------------------------------------------------------------------------------------------------------------
+
+
+def _classifier() -> str:
+    c = classifier
+    without = lambda pattern: f"length(text) - length(regexp_replace(text, '{pattern}', '', 'g'))"
+    bins = {
+        "symbols": "symbols * 200 / chars",
+        "bars": "bars * 200 / chars",
+        "marks": "marks * 100 / chars",
+        "capitals": "capitals * 20 / chars",
+        "digits": "digits * 40 / chars",
+        "word_length": "chars * 2 / n",
+        "short_words": "short_words * 20 / n",
+        "distinct": "dist * 20 / n",
+        "runs": "runs * 20 / n",
+        "lines": "dup * 20 / greatest(1, n_lines)",
+        "length": "length(bin(n)) - 1",
+    }
+    cells = ", ".join(f"CAST(least({c.BINS}, floor({bins[f]})) AS BIGINT)" for f in c.FEATURES)
+    names = ", ".join(f"'{f}'" for f in c.FEATURES)
+    prior = lambda g: (
+        f"(SELECT CASE WHEN n IS NULL OR k < 2 OR n <= k THEN 1.0 ELSE least(greatest(inn / greatest((between_ / (k - 1) - inn) / ((n - squares / n) / (k - 1)), inn / 1e4), 1.0), 1e4) END FROM "
+        f"(SELECT *, greatest(within_ / (n - k), 1e-9) AS inn FROM (SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS k, sum(ss - s * s / n) AS within_, sum(n * pow(s / n - (SELECT mean FROM mu), 2)) AS between_, CAST(sum(n * n) AS DOUBLE) AS squares FROM {g})))"
+    )
+    logit = lambda p: f"ln(greatest(1e-6, least(1 - 1e-6, {p})) / (1 - greatest(1e-6, least(1 - 1e-6, {p}))))"
+    return rf"""
+WITH w AS (
+  SELECT doc_id, source AS host, lang AS path, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), f AS (
+  SELECT doc_id, host, path, len(words) AS n_words, greatest(1, len(words)) AS n, greatest(1, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))) AS chars, {without("[#*$%&<>]+")} AS symbols, {without("[|]+")} AS bars,
+    {without("[!?]+")} AS marks, {without(r"\p{Lu}+")} AS capitals, {without("[0-9]+")} AS digits, len(list_filter(words, lambda x: length(x) <= 3)) AS short_words, len(list_distinct(words)) AS dist,
+    len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS runs, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS dup FROM w
+), b AS (SELECT doc_id, host, path, n_words, unnest([{names}]) AS feature, unnest([{cells}]) AS bin FROM f),
+known AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+ev AS (SELECT feature, bin, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM b JOIN known USING (doc_id) GROUP BY ALL),
+tot AS (SELECT sum(good) AS g, sum(bad) AS b FROM ev WHERE feature = '{c.FEATURES[0]}'),
+o AS (
+  SELECT doc_id, host, path, n_words, CASE WHEN max(tot.g) > 0 AND max(tot.b) > 0 THEN ln(max(tot.g) / CAST(max(tot.b) AS DOUBLE)) +
+    sum(CASE WHEN ev.bin IS NULL THEN 0 ELSE ln((ev.good + {c.SMOOTHING}) / (tot.g + {c.BINS * c.SMOOTHING})) - ln((ev.bad + {c.SMOOTHING}) / (tot.b + {c.BINS * c.SMOOTHING})) END) ELSE 0.0 END AS odds
+  FROM b LEFT JOIN ev USING (feature, bin), tot GROUP BY doc_id, host, path, n_words
+), p AS (SELECT doc_id, host, path, n_words, 1 / (1 + exp(-greatest(-{c.MOST_ODDS}, least({c.MOST_ODDS}, odds)))) AS p FROM o),
+paths AS (SELECT host, path, count(*) AS n, sum(p) AS s, sum(p * p) AS ss FROM p GROUP BY host, path),
+hosts AS (SELECT host, CAST(sum(n) AS BIGINT) AS n, sum(s) AS s, sum(ss) AS ss FROM paths GROUP BY host),
+mu AS (SELECT avg(p) AS mean FROM p),
+k AS (SELECT {prior("hosts")} AS hk, {prior("paths")} AS pk),
+h AS (SELECT p.*, mean, pk, paths.n AS path_n, paths.s AS path_s, (hosts.s - p + hk * mean) / (hosts.n - 1 + hk) AS p_host FROM p, mu, k, hosts, paths WHERE p.host IS NOT DISTINCT FROM hosts.host AND p.host IS NOT DISTINCT FROM paths.host AND p.path IS NOT DISTINCT FROM paths.path),
+q AS (SELECT *, (path_s - p + pk * p_host) / (path_n - 1 + pk) AS p_path FROM h),
+z AS (SELECT *, 1 / (1 + exp(-({logit("p")} + {logit("p_path")} - {logit("mean")}))) AS p_quality FROM q)
+SELECT doc_id, round(p, 6) AS p_document, round(p_host, 6) AS p_host, round(p_path, 6) AS p_path, round(p_quality, 6) AS p_quality, p_quality >= {c.KEEP} AND n_words > 0 AS kept FROM z
+"""
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 JACCARD = r"""
@@ -129,6 +183,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLES = {
+    "op2_quality_classifier": _classifier(),
     "op4_jaccard_join": JACCARD,
     "op5_secret_scan": _secrets(),
     "op6_chat_format": _chat(),

@@ -16,7 +16,8 @@ def op1_audio_fingerprints(spark, sf_dir):
 
 
 def op2_quality_classifier(spark, sf_dir):
-    return classifier.posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = classifier.posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *(F.round(c, 6).alias(c) for c in ("p_document", "p_host", "p_path", "p_quality")), "kept")
 
 
 def op3_bpe(spark, sf_dir):
