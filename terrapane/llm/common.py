@@ -35,14 +35,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+_written: list[str] = []  # this process's tables, for release()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a step's rows to the shared folder and read them back: cuts lineage, survives lost executors, and gives Spark the true size."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, upto: int) -> None:
+    """Delete the tables written since there were upto of them, but for the last. For callers whose results are written by then."""
+    for path in _written[upto:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _written[upto:-1]
+
+
+def n_written() -> int:
+    return len(_written)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Compute value once and use it many times in body."""
     return F.element_at(F.transform(F.array(value), body), 1)

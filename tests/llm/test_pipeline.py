@@ -54,3 +54,8 @@ def test_tokens_decode_to_the_texts(stages):
     rows = stages["encode_tokens"].collect()
     assert sorted(r.text for r in rows) == sorted(r.text for r in stages["mix_sources"].collect())
     assert all(r.ids == library.encode(r.text, add_special_tokens=False).ids for r in rows[:50])
+
+
+def test_run_gives_the_last_stage(spark, sf, stages):
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in stages["encode_tokens"].collect())
