@@ -6,7 +6,8 @@ rate = exp(lambda[source]), and a document has one source, so the Hessian is dia
 Newton steps on its summed sizes (which are all of the documents that the gradient and the Hessian need). Spark runs
 the steps of all sources side by side. Rates become copies by error diffusion: a source is dealt by hash into blocks of
 about BLOCK documents, and within a block, largest documents first, each document takes the whole number of copies
-nearest to its rate plus what the block still owes. A block ends within about half its smallest document of its target.
+nearest to its rate plus what the block still owes. A copy that the smaller documents still to come could not balance is
+not taken. So a block ends within about half of one of its smaller documents of its target.
 
 Defined results: null or empty text has size 0, is taken 0 times and counts for nothing; null source is a source of its
 own, ranked last; rows of an equal doc_id are mixed each on its own; if all sizes are 0, all targets are 0; other
@@ -74,14 +75,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     block = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.ceil(F.col("source_rows") / BLOCK))
     doc = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id", F.lit(5)).alias("tie"), "doc_id", "size")
     keys = ("source", "source_size", "target", "rate")
-    blocks = rated.withColumn("block", block).groupBy(*keys, "block").agg(F.sort_array(F.collect_list(doc)).alias("docs"))
+    blocks = rated.withColumn("block", block).groupBy(*keys, "block").agg(F.sort_array(F.collect_list(doc)).alias("docs"), F.sum("size").alias("words"))
 
     def step(state: Column, d: Column) -> Column:
-        owed = state["owed"] + F.col("rate") * d["size"]
-        copies = F.when(d["size"] > 0, F.greatest(F.lit(0), F.least(F.lit(most), F.round(owed / d["size"])))).otherwise(F.lit(0)).cast("long")
-        return F.struct((owed - copies * d["size"]).alias("owed"), F.concat(state["copies"], F.array(copies)).alias("copies"))
-
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<bigint>").alias("copies"))
+        size, rate, left = d["size"], F.col("rate"), state["left"] - d["size"]
+        owed = state["owed"] + rate * size
+        near = F.when(size > 0, F.greatest(F.lit(0), F.least(F.lit(most), F.round(owed / size)))).otherwise(F.lit(0)).cast("long")
+        # what is taken too much must be due to the smaller documents still to come; else one copy less, if they can make up for it
+        too_much = (near > 0) & (owed - near * size < -rate * left) & (owed - (near - 1) * size <= (most - rate) * left)
+        copies = near - too_much.cast("long")
+        return F.struct((owed - copies * size).alias("owed"), left.alias("left"), F.concat(state["copies"], F.array(copies)).alias("copies"))
+
+    start = F.struct(F.lit(0.0).alias("owed"), F.col("words").alias("left"), F.array().cast("array<bigint>").alias("copies"))
     dealt = blocks.withColumn("copies", F.aggregate("docs", start, step, lambda s: s["copies"]))
     each = dealt.select(*keys, F.explode(F.arrays_zip("docs", "copies")).alias("x"))
     return each.select(F.col("x.docs.doc_id").alias("doc_id"), "source", F.col("x.docs.size").alias("size"), "source_size", "target", "rate", F.col("x.copies").alias("copies"))

@@ -1,5 +1,7 @@
 """The pipeline against plain versions of its stages."""
 
+import statistics
+
 import brute
 import corpus_pipeline
 import public_tokenizers
@@ -40,11 +42,11 @@ def test_no_secret_is_left(stages):
 
 def test_mix_meets_targets(stages):
     size = lambda rows: {s: sum(len(brute.WORD.findall(r.text)) for r in rows if r.source == s) for s in {r.source for r in rows}}
-    least = lambda rows, s: min(len(brute.WORD.findall(r.text)) for r in rows if r.source == s)
+    middle = lambda rows, s: statistics.median(len(brute.WORD.findall(r.text)) for r in rows if r.source == s)
     rows = stages["redact_secrets"].collect()
     before, after = size(stages["redact_secrets"].collect()), size(stages["mix_sources"].collect())
     for s, t in brute.mix_targets(before).items():
-        assert abs(after.get(s, 0) - t) <= 0.02 * t + least(rows, s)
+        assert abs(after.get(s, 0) - t) <= 0.005 * t + middle(rows, s) / 2
 
 
 def test_tokens_decode_to_the_texts(stages):
