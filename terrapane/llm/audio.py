@@ -19,6 +19,7 @@ import io
 import wave
 from collections.abc import Callable
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,26 @@ LOWEST_HZ, HIGHEST_HZ = 60.0, 3600.0
 NOTE_SAMPLES, TONE_RATE = 256, 4000
 #: (pattern, first pitch class, pitch classes, frames) of each filter, made by a rule that spreads them over all four.
 FILTERS = tuple((i % 6, (5 * i) % 12, 2 + (7 * i) % 9, (4, 8, 12, WINDOW)[(i // 3) % 4]) for i in range(16))
-STEPS = (-0.35, 0.0, 0.35)  # log ratios at which two bits change
+#: For each filter, in order, the log ratios at which its two bits change (quartiles over random tunes, so that all four codes are as frequent).
+STEPS = (
+    (-0.9, 0.0, 0.9),
+    (-0.8, -0.1, 0.6),
+    (-0.6, 0.0, 0.6),
+    (-1.8, -1.1, -0.6),
+    (-2.2, -1.3, -0.5),
+    (-2.7, -2.2, -1.7),
+    (-0.2, 0.0, 0.2),
+    (-0.5, 0.0, 0.4),
+    (-0.5, 0.0, 0.5),
+    (-2.0, -0.9, -0.2),
+    (-1.0, -0.6, -0.3),
+    (-2.0, -1.6, -1.1),
+    (-0.7, 0.0, 0.7),
+    (-1.9, -0.9, 0.2),
+    (-0.6, 0.0, 0.6),
+    (-1.4, -1.0, -0.8),
+)
+TWELFTHS = [NormalDist().inv_cdf(k / 12) for k in range(1, 12)]
 GRAY = np.array([0, 1, 3, 2], np.int64)
 
 
@@ -51,11 +71,11 @@ def wav_samples(data: bytes) -> tuple[np.ndarray, int]:
 
 
 def tones(vector) -> tuple[np.ndarray, int]:
-    """A recording of a vector: one note for each number, its pitch one of twelve by the number's size."""
+    """A recording of a vector: one note for each number, its pitch the twelfth of a normal distribution (of the vector's own spread) that the number is in."""
     if vector is None or not len(vector):
         return np.empty(0, np.float32), TONE_RATE
     v = np.nan_to_num(np.asarray(vector, np.float64))
-    pitch = np.clip(np.floor((v + 0.4) * 15), 0, 11)
+    pitch = np.searchsorted(TWELFTHS, v / (v.std() or 1.0))
     t = np.arange(NOTE_SAMPLES) / TONE_RATE
     return np.sin(2 * np.pi * (220 * 2 ** (pitch / 12))[:, None] * t).ravel().astype(np.float32), TONE_RATE
 
@@ -93,7 +113,7 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
         return b[:, y1] - a[:, y1] - b[:, y0] + a[:, y0]
 
     out = np.zeros(n, np.int64)
-    for pattern, y, h, w in FILTERS:
+    for (pattern, y, h, w), steps in zip(FILTERS, STEPS, strict=True):
         whole, half, third = box(0, w, y, y + h), w // 2, max(1, w // 3)
         part = (
             lambda: box(0, half, y, y + h),  # earlier against later
@@ -104,7 +124,7 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
             lambda: box(0, w, y, y + 1),  # lowest class against the rest
         )[pattern]()
         ratio = np.log1p(50 * part) - np.log1p(50 * np.maximum(whole - part, 0))
-        out = out << 2 | GRAY[np.searchsorted(STEPS, ratio)]
+        out = out << 2 | GRAY[np.searchsorted(steps, ratio)]
     return out
 
 
