@@ -48,7 +48,9 @@ def expand_ids(df: DataFrame, column: str = "tile_id") -> DataFrame:
     keep = [c for c in df.columns if c not in ("level", "zone", "epsg", "x_idx", "y_idx", "buffer", "overlap")]
     parsed = df.select(*keep).withColumn("parsed", parse_id(F.col(column)))
     p = F.col("parsed")
-    return parsed.select(*keep, p["level"].alias("level"), p["zone"].alias("zone"), epsg(p["zone"]).alias("epsg"), *(p[c].alias(c) for c in ("x_idx", "y_idx", "buffer", "overlap")))
+    parts = F.struct(p["level"].alias("level"), p["zone"].alias("zone"), epsg(p["zone"]).alias("epsg"), *(p[c].alias(c) for c in ("x_idx", "y_idx", "buffer", "overlap")))
+    # through a generator of one row, so that filters and joins on these columns are not rewritten as filters on the regexes
+    return parsed.select(*keep, F.inline(F.array(parts)))
 
 
 def infer_level(tile_id: Column) -> Column:
@@ -69,11 +71,11 @@ def ancestor_id(level: Column, zone: Column, x: Column, y: Column, target: Colum
 
 def parent_id(level: Column, zone: Column, x: Column, y: Column, levels: tuple[int, ...] = LEVELS) -> Column:
     """The tile of the next level that holds this one; null at the top, for unknown levels and for factors that are not whole."""
-    target = F.lit(None).cast("int")
+    out = F.lit(None).cast("string")
     for lv in levels:
         if above := parent_level(lv, levels):
-            target = F.when(level == lv, F.lit(above)).otherwise(target)
-    return ancestor_id(level, zone, x, y, target)
+            out = F.when(level == lv, format_id(F.lit(above), zone, floor_div(x, above // lv), floor_div(y, above // lv))).otherwise(out)
+    return out
 
 
 def lineage(level: Column, zone: Column, x: Column, y: Column, target: Column) -> Column:
