@@ -1,12 +1,14 @@
 """License scans by sentence rules.
 
-A text is cut to sentences (lines, then sentence ends), and each is normalised and looked up among the known license
-sentences. The identifiers found, in order, are matched against license rules, which are sequences of identifiers that
+A text is normalised and cut at lines and at sentence ends, and the known license sentences are looked for among its
+runs of whole pieces, the longest first, so that a sentence may be wrapped over many lines, with or without comment
+leaders. The identifiers found, in order, are matched against license rules, which are sequences of identifiers that
 follow each other with nothing else recognised between. A rule that is part of a longer rule found at the same place
 gives way to it. The library of sentences and rules is a fixed one (or a parameter), not one that follows the corpus.
 
 Defined results: null, empty and blank texts have no sentences; case, punctuation, quotes and runs of spaces make no
-difference to a sentence; repeated sentences count each time; rows of an equal doc_id are scanned each on its own; other
+difference to a sentence, nor do line breaks, blank lines and comment leaders within it (signs, or the words dnl, rem and
+C before a line); repeated sentences count each time; rows of an equal doc_id are scanned each on its own; other
 columns are ignored; no rows in, no rows out.
 """
 
@@ -61,34 +63,34 @@ RULES = (
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
 )
 ENDS = r"(?<=[.!?:;])[ \t]+(?=[A-Z])"
-
-
-def normalise(sentence: Column) -> Column:
-    """Lower-case words and digits, one space between."""
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
+#: Comment leaders that are words; others are signs, which normalising drops.
+LEADERS = r"(^|[\r\n])[ \t]*(?:dnl|rem|REM|C)[ \t]+"
 
 
 def _plain(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
-def sentences(text: Column) -> Column:
-    """Lines, cut again at sentence ends followed by a capital."""
-    return F.flatten(F.transform(F.split(text, r"[\r\n]+", -1), lambda line: F.split(line, ENDS, -1)))
+def pieces(text: Column) -> Column:
+    """The normalised pieces of a text, " | " before, between and after: lines without their comment words, cut again at sentence ends followed by a capital."""
+    cut = F.regexp_replace(F.regexp_replace(text, LEADERS, "$1"), ENDS, "\n")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(cut), r"[^a-z0-9\r\n]+", " "), r" ?[\r\n][ \r\n]*", " | ")
+    return F.concat(F.lit(" | "), F.trim(plain), F.lit(" | "))
 
 
 def known_sentences(docs: DataFrame, library=SENTENCES) -> DataFrame:
-    """doc_id, found: the identifiers of the text's known sentences, in order. A sentence of a library that itself splits is known by its parts' order."""
-    parts: dict[str, str] = {}
+    """doc_id, found: the identifiers of the text's known sentences, in order. A sentence is a run of whole pieces; where several begin, the longest holds."""
+    known: dict[str, str] = {}
     for name, s in library:
-        parts.setdefault(_plain(s), name)
-    lengths = sorted({len(p) for p in parts})
-    known = F.create_map(*(F.lit(x) for p in parts.items() for x in p))
-    rows = docs.select("doc_id", sentences(text_of()).alias("s"))
-    # only sentences that could have a known one's length are normalised
-    near = F.filter("s", lambda x: F.length(x) >= lengths[0])
-    plain = F.filter(F.transform(near, normalise), lambda x: F.length(x).isin(*lengths))
-    return rows.select("doc_id", F.filter(F.transform(plain, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()).alias("found"))
+        if plain := _plain(s):
+            known.setdefault(plain, name)
+    names = F.create_map(*(F.lit(x) for p in known.items() for x in p))
+    runs = "|".join(p.replace(" ", r" (?:\| )?") for p in sorted(known, key=lambda p: -len(p)))
+    # no sentence is in a text without its longest word, so only texts with one of these are normalised
+    words = "|".join(sorted({max(p.split(), key=len) for p in known}))
+    hits = F.regexp_extract_all(pieces(text_of()), F.lit(rf"\| ({runs})(?= \|)"), F.lit(1))
+    found = F.transform(hits, lambda x: F.element_at(names, F.replace(x, F.lit("| "), F.lit(""))))
+    return docs.select("doc_id", F.when(F.lower(text_of()).rlike(words), found).otherwise(F.array().cast("array<string>")).alias("found"))
 
 
 def scan_licenses(docs: DataFrame, library=SENTENCES, rules=RULES) -> DataFrame:

@@ -402,6 +402,70 @@ def test_licenses(spark, awkward, empty):
     assert licenses.scan_licenses(awkward).count() == awkward.count() and licenses.scan_licenses(empty).count() == 0
 
 
+MIT_TEXT = """The MIT License (MIT)
+
+Copyright (c) 2020 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD_TEXT = """Copyright (c) 2020, A. Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def test_wrapped_licenses(spark):
+    want = {"MIT": (MIT_TEXT, 3), "Apache-2.0": (APACHE_TEXT, 4), "GPL-3.0-or-later": (GPL_TEXT, 3), "BSD-2-Clause": (BSD_TEXT, 4)}
+    leaders = ("", "# ", " * ", "// ", ";; ", "-- ", "dnl ", "REM ", "C     ")
+    rows = [(f"{name} {lead}{end!r}", end.join(["int x;", *(lead + x for x in text.splitlines()), "y = x"])) for name, (text, _) in want.items() for lead in leaders for end in ("\n", "\r\n")]
+    got = {r.doc_id: (r.n_sentences, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {i: (want[i.split(" ")[0]][1], [i.split(" ")[0]]) for i, _ in rows}
+
+
+def test_license_runs_are_whole_pieces(spark):
+    rows = [(0, "It is licensed under\nCC BY 4.0."), (1, "Licensed under\nCC BY 4.0 or later."), (2, "Licensed under\n\nCC BY\n4.0."), (3, "Licensed under the Apache License, Version 2.0\n(the name)"), (4, "All rights\nreserved.\nAll rights reserved.")]
+    got = {r.doc_id: r.n_sentences for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
