@@ -7,7 +7,8 @@ that holds much of the log is spread over its messages, then folded messages are
 rendered blocks meet per conversation.
 
 Defined results: null text and role count as empty; null conv_id is one conversation of its own; events equal in all
-columns are replays and count once; a message whose log lacks an opening event starts at its first delta, with the last
+columns are replays and count once, but for those of kind `turn`, which are a message each; messages with a null turn
+come last, and messages of one turn in the order of their rendered role and text; a message whose log lacks an opening event starts at its first delta, with the last
 role given; among different events of one seq, the later by kind, role and text holds; other columns are ignored; an
 empty log gives no rows.
 """
@@ -23,6 +24,7 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 #: A control string with any number of backslashes after its first character.
 _BODY = r"(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\])"
 BLOCK = 256
+LAST = (1 << 63) - 1  # stands for a null turn and its block
 
 
 def escape(text: Column) -> Column:
@@ -45,8 +47,8 @@ def unescape_role(role: Column) -> Column:
 
 
 def log_of_turns(turns: DataFrame) -> DataFrame:
-    """The log of finished conversations (conv_id, turn, role, text): each row opens its message with its whole text."""
-    return turns.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
+    """The log of finished conversations (conv_id, turn, role, text): each row is a message of its own, also with a null or repeated turn."""
+    return turns.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("turn").alias("kind"), "role", "text")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -55,17 +57,19 @@ def fold(events: DataFrame) -> DataFrame:
     event = F.struct(
         F.coalesce("seq", F.lit(-1)).alias("seq"), rank.alias("rank"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").isNotNull().alias("named")
     )
-    each = events.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set(event)).alias("log"))
+    finished = F.coalesce(F.col("kind") == "turn", F.lit(False))
+    each = events.where(~finished).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set(event)).alias("log"))
     resets = F.filter("log", lambda e: e["rank"] < 3)
     last = F.element_at(F.col("resets"), -1)
     head = F.when(F.size("resets") == 0, F.lit("")).when(last["rank"] == 2, F.lit("")).otherwise(last["text"])
     after = F.filter("log", lambda e: (e["rank"] == 3) & ((F.size("resets") == 0) | (e["seq"] >= last["seq"])))
     named = F.filter("log", lambda e: e["named"])
-    return (
+    folded = (
         each.withColumn("resets", resets)
         .where(F.col("turn").isNotNull() | (F.size("log") > 0))
         .select("conv_id", "turn", F.when(F.size(named) > 0, F.element_at(named, -1)["role"]).otherwise(F.lit("")).alias("role"), F.concat(head, F.array_join(F.transform(after, lambda e: e["text"]), "")).alias("text"))
     )
+    return folded.unionByName(events.where(finished).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
 
 
 def render(messages: DataFrame, trained_role: str = "assistant") -> DataFrame:
@@ -77,8 +81,8 @@ def render(messages: DataFrame, trained_role: str = "assistant") -> DataFrame:
     rows = messages.select("conv_id", "turn", "role", head.alias("head"), text.alias("body"))
     rows = rows.select(
         "conv_id",
-        F.coalesce(F.expr(f"turn div {BLOCK}"), F.lit(-(1 << 62))).alias("block"),
-        F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"),
+        F.coalesce(F.expr(f"turn div {BLOCK}"), F.lit(LAST)).alias("block"),
+        F.coalesce("turn", F.lit(LAST)).alias("turn"),
         F.concat("head", "body", F.lit(END)).alias("piece"),
         F.struct(
             (F.length("head").cast("long") + F.when(trained, 0).otherwise(length)).alias("skip"), F.when(trained, length).otherwise(0).cast("long").alias("keep"), F.lit(len(END)).cast("long").alias("after")

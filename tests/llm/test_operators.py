@@ -390,6 +390,29 @@ def test_long_conversation_spans_blocks(spark):
     assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == brute.chat([("assistant" if i % 2 else "user", f"t{i}") for i in range(n)])
 
 
+def test_null_and_repeated_turns_equal_the_sql(spark, tmp_path):
+    import duckdb
+    import oracle
+
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, None, "user", "same")] * 3 + [(1, 0, "user", "hi"), (1, 300, "assistant", "late")]
+    rows += [(2, 0, "user", "x"), (2, 1, "assistant", "one"), (2, 1, "assistant", "one"), (2, 2, "user", "y"), (2, None, "assistant", "end")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    columns, want_columns, got, want = oracle.compare(spark, con, queries.op6_chat_format, queries.ORACLES["op6_chat_format"], str(tmp_path))
+    assert columns == want_columns and got == want and len(got) == 3
+    mixed = spark.createDataFrame([(3, None, "user", "b"), (3, None, "user", "a"), (3, 5, "user", "d"), (3, 5, "assistant", "c"), (3, 5, "user", "d")], schema)
+    out = chat.format_chats(chat.log_of_turns(mixed)).first()
+    turns = [("assistant", "c"), ("user", "d"), ("user", "d"), ("user", "a"), ("user", "b")]
+    assert out.formatted == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns) and len(out.loss_mask) == 5
+
+
+def test_replays_of_a_log_count_once(spark):
+    log = [(1, 0, None, "message", "user", "hi")] * 2 + [(1, 1, 0, "turn", "user", "a")] * 2 + [(1, 0, 0, None, "user", "b")]
+    df = spark.createDataFrame(log, "conv_id long, seq long, turn long, kind string, role string, text string")
+    assert sorted(r.text for r in chat.fold(df).collect()) == ["a", "a", "b", "hi"]
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
