@@ -4,12 +4,13 @@ Samples become frames of twelve pitch-class energies (windowed Fourier transform
 nearest semitone). Sixteen rectangle filters slide over the frames; an integral image gives each rectangle's sum in four
 look-ups. Each filter's log ratio is cut to two bits, so a position becomes one packed 32-bit integer.
 
-Recordings with equal fingerprints are one class, so copies are searched once. Query classes and all classes meet on
-equal packed integers; the histogram of their offsets gives the alignment with most votes, and the share of wrong bits
-over the aligned stretch decides.
+Recordings with equal fingerprints are one class, so copies are searched once. Query classes and all classes meet at
+positions whose packed integers agree in a band of 16 bits and in all but SEED_ERRORS of the 32. Each offset so met is an
+alignment, and the share of wrong bits over its stretch decides. Of a pair's alignments that pass, the one with most
+votes (positions equal in all bits) holds, or below LEAST_VOTES the one with the smallest share of wrong bits.
 
 Defined results: null or unreadable media, and recordings shorter than a filter, have an empty fingerprint, are a class
-of their own each and match nothing; ties of votes go to the smaller offset; rows of an equal id each get their own row;
+of their own each and match nothing; ties go to the smaller offset; rows of an equal id each get their own row;
 other columns are ignored; no rows in, no rows out.
 """
 
@@ -26,11 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import materialize
+from terrapane.llm.common import join_small, materialize
 
 FRAME, HOP = 512, 256
 WINDOW = 16  # frames under a filter at most
-LEAST_VOTES = 6
+LEAST_VOTES = 6  # from here on votes choose between alignments
+#: Bands of a packed integer, one of which agrees at a seed, and how many of all its bits may be wrong there.
+BANDS, SEED_ERRORS = (0xFFFF0000, 0x0000FFFF, 0xFF00FF00, 0x00FF00FF), 5
 MOST_ERROR = 0.25  # of the bits over the aligned stretch
 LEAST_OVERLAP = 16  # positions
 LOWEST_HZ, HIGHEST_HZ = 60.0, 3600.0
@@ -150,20 +153,25 @@ def align(printed: DataFrame, members: DataFrame, is_query) -> DataFrame:
     """query, match (classes), shift, votes, bit_errors (share): alignments of the classes with a query row against all other classes."""
     prints = materialize(printed.join(members.where("id = class_id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "audio-prints")
     asked = members.where(is_query).select(F.col("class_id").alias("id")).distinct()
-    posted = lambda df, a, p: df.select(F.col("id").alias(a), F.posexplode("prints").alias(p, "print"))
+    keys = F.array(*(F.col("print").bitwiseAND(F.lit(mask).cast("long")) + F.lit(i << 32) for i, mask in enumerate(BANDS)))
+    posted = lambda df, a, p, x: df.select(F.col("id").alias(a), F.posexplode("prints").alias(p, "print")).select(a, p, F.col("print").alias(x), F.explode(keys).alias("key"))
     queries = materialize(prints.join(asked, "id", "left_semi"), "audio-queries")
-    hits = posted(queries, "query", "q_at").join(posted(prints, "match", "m_at"), "print").where("query <> match")
-    votes = hits.groupBy("query", "match", (F.col("m_at") - F.col("q_at")).alias("shift")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.where(F.col("votes") >= LEAST_VOTES).groupBy("query", "match").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("near"), (-F.col("shift")).alias("order"))).alias("x"))
-    found = materialize(best.select("query", "match", (-F.col("x.order")).alias("shift"), F.col("x.votes").alias("votes")), "audio-votes")
-    both = found.join(queries.select(F.col("id").alias("query"), F.col("prints").alias("a")), "query").join(prints.select(F.col("id").alias("match"), F.col("prints").alias("b")), "match")
+    left, right = posted(queries, "query", "q_at", "q_print"), posted(prints, "match", "m_at", "m_print").withColumnRenamed("key", "m_key")
+    seeds = left.join(right, (F.col("key") == F.col("m_key")) & (F.col("query") != F.col("match")) & (F.bit_count(F.col("q_print").bitwiseXOR(F.col("m_print"))) <= SEED_ERRORS))
+    found = materialize(seeds.select("query", "match", (F.col("m_at") - F.col("q_at")).alias("shift")).distinct(), "audio-seeds")
+    both = found.join(prints.select(F.col("id").alias("match"), F.col("prints").alias("b")), "match")
+    both = join_small(both, queries.select(F.col("id").alias("query"), F.col("prints").alias("a")), "query", "inner")
     begin = F.greatest(F.lit(0), -F.col("shift"))
     n = F.least(F.size("a") - begin, F.size("b") - begin - F.col("shift"))
     both = both.withColumn("begin", begin).withColumn("n", n).where(F.col("n") >= LEAST_OVERLAP)
-    wrong = F.aggregate(
-        F.zip_with(F.slice("a", F.col("begin") + 1, F.col("n")), F.slice("b", F.col("begin") + F.col("shift") + 1, F.col("n")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
-    return both.select("query", "match", F.col("shift").cast("long").alias("shift"), "votes", F.round(wrong / (32 * F.col("n")), 6).alias("bit_errors")).where(F.col("bit_errors") <= MOST_ERROR)
+    wrong = F.zip_with(F.slice("a", F.col("begin") + 1, F.col("n")), F.slice("b", F.col("begin") + F.col("shift") + 1, F.col("n")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    # bit errors in the low 32 bits, votes above them
+    sums = both.select("query", "match", "shift", "n", F.aggregate(wrong, F.lit(0).cast("long"), lambda s, x: s + x + F.when(x == 0, F.lit(1 << 32)).otherwise(F.lit(0))).alias("sums"))
+    scored = sums.select("query", "match", "shift", F.shiftright("sums", 32).alias("votes"), F.round(F.col("sums").bitwiseAND(F.lit(0xFFFFFFFF)) / (32 * F.col("n")), 6).alias("bit_errors"))
+    strong = F.col("votes") >= LEAST_VOTES
+    order = F.struct(F.when(strong, F.col("votes")).otherwise(0).alias("strong"), F.when(strong, 0.0).otherwise(-F.col("bit_errors")).alias("right"), (-F.abs("shift")).alias("near"), (-F.col("shift")).alias("order"), "votes", "bit_errors")
+    best = scored.where(F.col("bit_errors") <= MOST_ERROR).groupBy("query", "match").agg(F.max(order).alias("x"))
+    return best.select("query", "match", (-F.col("x.order")).cast("long").alias("shift"), "x.votes", "x.bit_errors")
 
 
 def search(printed: DataFrame, every: int = 20) -> DataFrame:

@@ -119,6 +119,33 @@ def test_audio_equals_brute_force(spark, sf):
             assert sorted((m.class_id, m.shift, m.votes) for m in got[i].matches or []) == sorted(want.get(name[i], []))
 
 
+def test_audio_recall_by_bit_errors_alone(spark, sf):
+    """Noisy copies, with independent wrong bits, against all pairs and shifts by bit errors alone."""
+    base = spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").limit(40).toPandas().embedding
+    prints = [audio.fingerprint(audio.chroma(*audio.tones(v))) for v in base]
+    prints = [p for i, p in enumerate(prints) if not any(np.array_equal(p, q) for q in prints[:i])]
+    rng, rows, rate = np.random.default_rng(3), list(enumerate(prints)), {}
+    for percent in (5, 10, 15, 20, 24):
+        for i, p in enumerate(prints):
+            flips = (rng.random((len(p), 32)) < percent / 100) @ (1 << np.arange(32, dtype=np.int64))
+            rate[len(rows)] = percent
+            rows.append((len(rows), (p ^ flips)[4 * (i % 5) :]))
+    df = spark.createDataFrame([(i, [int(x) for x in p]) for i, p in rows], "id long, prints array<long>")
+    got = {(r["query"], r["match"]): (r["shift"], r["bit_errors"]) for r in audio.align(df, audio.classes(df), F.col("id") < len(prints)).collect()}
+    want = {}
+    for q, a in rows[: len(prints)]:
+        for m, b in rows:
+            for s in range(audio.LEAST_OVERLAP - len(a), len(b) - audio.LEAST_OVERLAP + 1) if q != m else ():
+                x, y = a[max(0, -s) :], b[max(0, s) :]
+                n = min(len(x), len(y))
+                if n >= audio.LEAST_OVERLAP and (e := int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n)) <= audio.MOST_ERROR:
+                    want[q, m] = min(want.get((q, m), (9, 0)), (e, s))
+    assert set(got) <= set(want) and all(got[k][0] == want[k][1] and abs(got[k][1] - want[k][0]) < 1e-6 for k in got)
+    recall = {p: sum(k in got for k in want if rate.get(k[1]) == p) / sum(rate.get(k[1]) == p for k in want) for p in (5, 10, 15, 20, 24)}
+    print("recall", recall)
+    assert recall[5] == recall[10] == 1 and recall[15] >= 0.97 and recall[20] >= 0.8
+
+
 def test_audio_empty(spark):
     assert audio.search(audio.fingerprints(spark.createDataFrame([], "id long, media binary"), "id", "media")).count() == 0
 
