@@ -3,7 +3,9 @@
 Each document gets whole-number metrics. Their distribution per language and source is kept in mergeable quantile
 sketches: counts of fixed-width bins, a fixed number per group, which add up over partitions and groups. Thresholds are
 fences read from the sketch (the upper one q90 + FENCE * (q90 - q50) + slack, the lower one alike), joined back to the
-documents. A group with fewer than LEAST documents reads the sketch of its language, or else of all.
+documents. A group with fewer than LEAST documents reads the sketch of its language, or else of all. No group's fence is
+wider than its language's, nor (but for word lengths, which go with the language) than that of all documents, so that a
+source or language with much junk does not make room for it; what more than a tenth of all documents have is not junk.
 
 Defined results: null text has no words and fails the base rules; null language or source is a group of its own; rows of
 an equal doc_id are judged each on its own; other columns are ignored by `judge` and kept by `filter_documents`; no rows
@@ -97,13 +99,19 @@ def fences(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and their fences: of the group itself, or of its language or all documents where the group is small."""
+    """lang, source and their fences: the narrowest of the group's, its language's and all documents', where the first two have LEAST documents. The fences of all hold for two-sided metrics only where neither has."""
     names = [f"{side}_{m}" for side in ("low", "high") for m in METRICS]
     own = fences(sketch, ("lang", "source"))
     lang = fences(sketch, ("lang",)).select(F.col("lang").alias("of"), F.col("n").alias("lang_n"), *(F.col(x).alias(f"lang_{x}") for x in names))
     every = fences(sketch, ()).select(*(F.col(x).alias(f"all_{x}") for x in names))
     both = own.join(lang, F.col("lang").eqNullSafe(F.col("of")), "left").join(F.broadcast(every.limit(1)), F.lit(True), "left")
-    return both.select("lang", "source", *(F.when(F.col("n") >= LEAST, F.col(x)).when(F.col("lang_n") >= LEAST, F.col(f"lang_{x}")).otherwise(F.col(f"all_{x}")).alias(x) for x in names))
+
+    def narrowest(side: str, m: str) -> Column:
+        x, pick = f"{side}_{m}", F.greatest if side == "low" else F.least  # both pass over nulls
+        near = pick(F.when(F.col("n") >= LEAST, F.col(x)), F.when(F.col("lang_n") >= LEAST, F.col(f"lang_{x}")))
+        return (F.coalesce(near, F.col(f"all_{x}")) if METRICS[m][1] else pick(near, F.col(f"all_{x}"))).alias(x)
+
+    return both.select("lang", "source", *(narrowest(side, m) for side in ("low", "high") for m in METRICS))
 
 
 def judge(docs: DataFrame) -> DataFrame:

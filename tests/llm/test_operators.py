@@ -617,6 +617,20 @@ def test_quality_fences_equal_sorted_quantiles(spark):
     assert f.high_symbols == q(0.9) + 3 * (q(0.9) - q(0.5)) + 20
 
 
+@pytest.mark.parametrize("percent", [15, 50])
+@pytest.mark.parametrize("alone", [False, True])  # the source is all of its language
+def test_junk_sources_do_not_set_their_own_fences(spark, percent, alone):
+    n, rest = 200, 2000
+    clean = [" ".join(f"word{i}" for i in range(10 * k, 10 * k + 60)) for k in range(1, 10)]
+    junk = {"symbols": clean[0] + " ####" * 40, "dup_lines": "\n".join([clean[0]] + ["ab"] * 9)}
+    for text in junk.values():
+        hot = "xx" if alone else "en"
+        rows = [(i, hot, "hot", text if 100 * (i % 20) < 20 * percent else clean[i % 9]) for i in range(n)] + [(n + i, "en", f"s{i % 4}", clean[i % 9]) for i in range(rest)]
+        rows += [(n + rest + i, hot, "small", text if i % 2 else clean[i % 9]) for i in range(20)]
+        df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+        assert {(r.doc_id, r.kept) for r in quality.judge(df).collect() if not r.base_failed} == {(i, x != text) for i, _, _, x in rows}
+
+
 def test_clean_documents_stay(spark):
     base = "/root/testdata/sf0.01"
     judged = quality.judge(spark.read.parquet(f"{base}/documents.parquet"))
