@@ -82,16 +82,14 @@ def tile_chips(pixels: DataFrame) -> DataFrame:
 def scene_chips(tiles: DataFrame, pixels: DataFrame, least_clear: float = 0.8) -> DataFrame:
     """tile_id, scene_id, shape, clear_ratio, image, clear_mask: the pixels (scene_id, x, y, value, clear, in the tile's metres) in each tile's half-open box.
 
-    Pixels find their tile by index arithmetic on level and origin, not by a spatial test. A chip below the clear ratio,
+    Pixels find their tiles by index arithmetic on each level and origin of the tiles, not by a spatial test. A chip below the clear ratio,
     or with nothing but zeros, is left out. A tile is bounded by its level's pixels.
     """
-    level = tiles.select("level").first()
-    if level is None:
-        return tiles.sparkSession.createDataFrame([], "tile_id string, scene_id string, shape array<bigint>, clear_ratio double, image binary, clear_mask binary")
-    at = lambda c, o: F.floor((F.col(c) - F.col(o)) / level[0]).cast("long")
-    origin = tiles.select("origin_x", "origin_y").distinct().first()
-    placed = pixels.withColumn("origin_x", F.lit(origin[0])).withColumn("origin_y", F.lit(origin[1])).withColumn("x_idx", at("x", "origin_x")).withColumn("y_idx", at("y", "origin_y"))
-    rows = placed.join(tiles.select("tile_id", "x_idx", "y_idx"), ["x_idx", "y_idx"])
+    grids = tiles.select("level", "origin_x", "origin_y").distinct()  # a few rows
+    at = lambda c, o: F.floor((F.col(c) - F.col(o)) / F.col("level")).cast("long")
+    placed = pixels.select("scene_id", "x", "y", "value", "clear").join(F.broadcast(grids)).withColumn("x_idx", at("x", "origin_x")).withColumn("y_idx", at("y", "origin_y"))
+    keys = ["level", "origin_x", "origin_y", "x_idx", "y_idx"]
+    rows = placed.join(tiles.select("tile_id", *keys), keys)
     pixel = F.struct((-F.col("y")).alias("down"), "x", "value", F.col("clear").cast("int").alias("clear"))
     chips = rows.groupBy("tile_id", "scene_id").agg(
         F.avg(F.col("clear").cast("double")).alias("clear_ratio"), F.max(F.abs("value")).alias("most"), F.array(F.countDistinct("y"), F.countDistinct("x")).alias("shape"), F.array_sort(F.collect_list(pixel)).alias("p")

@@ -127,6 +127,17 @@ def test_chips_keep_pixel_order(spark):
     assert r.shape == [3, 2] and list(zlib.decompress(r.data)) == [0, 1, 10, 11, 20, 21]
 
 
+def test_scene_chips_of_all_levels_and_origins(spark):
+    import zlib
+
+    tiles = [("a", 0, 0, 10, 0, 0), ("b", 1, 0, 10, 0, 0), ("c", 0, 0, 20, 0, 0), ("s", 0, -1, 10, 0, 10_000_000)]
+    t = spark.createDataFrame(tiles, "tile_id string, x_idx long, y_idx long, level int, origin_x int, origin_y int").repartition(4)
+    px = spark.createDataFrame([(7, 5, 5, 1, True), (7, 15, 5, 2, True), (7, 5, 9_999_995, 3, True)], "scene_id int, x int, y int, value int, clear boolean")
+    got = {r.tile_id: (r.shape, list(zlib.decompress(r.image))) for r in zonal.scene_chips(t, px).collect()}
+    assert got == {"a": ([1, 1], [1]), "b": ([1, 1], [2]), "c": ([1, 2], [1, 2]), "s": ([1, 1], [3])}
+    assert zonal.scene_chips(t.limit(0), px).count() == 0
+
+
 def test_percentile_stretch(spark):
     out = one(spark, arrays.percentile_stretch(F.array(*(F.lit(float(i)) for i in range(101)))))[0]
     assert out[0] == 0.0 and out[-1] == 1.0 and math.isclose(out[50], 0.5)
