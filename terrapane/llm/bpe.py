@@ -1,7 +1,7 @@
 """Byte-level BPE encoding by per-prefix dynamic programming, and decoding.
 
 For every prefix of a piece, BPE has one encoding, and so one last token. A token that ends at the prefix's end (found
-by a suffix automaton over the vocabulary) is that token exactly if the last token of the prefix before it may stand to
+by an Aho-Corasick automaton over the vocabulary) is that token exactly if the last token of the prefix before it may stand to
 its left: no merge rule would have joined across the two earlier. Following the last tokens back gives the ids. The work
 per piece is linear in its length for a bounded token length, so pieces of any length are whole.
 
