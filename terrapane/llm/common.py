@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,28 +37,39 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
-_written: list[str] = []  # this process's tables, for release()
+_paths: ContextVar[list[str] | None] = ContextVar("paths", default=None)  # of the run at hand, if one records them
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables written within, by this run alone."""
+    token = _paths.set([])
+    try:
+        yield _paths.get()
+    finally:
+        _paths.reset(token)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a step's rows to the shared folder and read them back: cuts lineage, survives lost executors, and gives Spark the true size."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if (paths := _paths.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, upto: int) -> None:
-    """Delete the tables written since there were upto of them, but for the last. For callers whose results are written by then."""
-    for path in _written[upto:-1]:
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables, for callers whose results no longer need them."""
+    for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _written[upto:-1]
 
 
-def n_written() -> int:
-    return len(_written)
+def carried(docs: DataFrame, *others: Column | str) -> DataFrame:
+    """All columns of docs in one struct, row, so that none clashes with those that an operator adds; the operator ends with select("row.*")."""
+    return docs.select(F.struct("*").alias("row"), *others)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -1,17 +1,27 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame operations only.
 
-Rates stay as near to 1 as the token constraints allow: they minimise sum(size * (rate * log(rate) - rate)) over the
-words, subject to sum(rate * size) = target for each source. The dual is convex, the optimum is an exponential tilt
-rate = exp(lambda[source]), and a document has one source, so the Hessian is diagonal and each source takes its own
-Newton steps on its summed sizes (which are all of the documents that the gradient and the Hessian need). Spark runs
-the steps of all sources side by side. Rates become copies by error diffusion: a source is dealt by hash into blocks of
-about BLOCK documents, and within a block, largest documents first, each document takes the whole number of copies
-nearest to its rate plus what the block still owes. A copy that the smaller documents still to come could not balance is
-not taken. So a block ends within about half of one of its smaller documents of its target.
+Document rates stay as near to 1 as the token constraints allow: they minimise the sum of base * (rate * log(rate) -
+rate + 1) over the documents, with rates from 0 to MOST_COPIES, subject to sum(rate * size) = target for each source. A
+document's base weight is its size ** (1 - tilt). The dual is convex, with one multiplier a source, and its optimum is
+an exponential tilt of each document, rate = min(MOST_COPIES, exp(lambda[source] * size ** tilt)). With a tilt of 1
+documents count alike and the longest give way, or are repeated, first; with 0 all words count alike and a source has
+one rate; TILT lies between.
+
+The dual is solved by Newton rounds, all sources side by side. A round sums rate * size and its derivative over the
+documents of each source; as documents of one source and size share their rate, these sums run over the counts of each
+(source, size), which are added up once before the shuffle. A step that would leave the multiplier's bracket halves it
+instead. Sums are of decimals, so that they do not hang on the order of rows.
+
+Rates become copies by error diffusion: a source is dealt by hash into blocks of about BLOCK documents, and within a
+block, largest documents first, each document takes the whole number of copies nearest to its rate plus what the block
+still owes. A copy that the smaller documents still to come could not balance is not taken. So a block ends within about
+half of one of its smaller documents of its target.
 
 Defined results: null or empty text has size 0, is taken 0 times and counts for nothing; null source is a source of its
-own, ranked last; rows of an equal doc_id are mixed each on its own; if all sizes are 0, all targets are 0; other
-columns are ignored by `mix` and kept by `mixed_documents`; no rows in, no rows out. The same rows give the same copies.
+own, ranked last; rows of an equal doc_id are mixed each on its own, also with a null one, and rows that are equal in
+doc_id, source and text share out their copies as evenly as can be; if all sizes are 0, all targets are 0; other columns
+are ignored by `mix` and kept by `mixed_documents`, whatever their names; no rows in, no rows out. The same rows give the
+same copies.
 """
 
 from __future__ import annotations
@@ -19,12 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import WORD, join_small, materialize, text_of
+from terrapane.llm.common import WORD, carried, join_small, materialize, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 BLOCK = 512
-NEWTON_STEPS = 60
+TILT = 0.5
+CLOSE = 1e-9  # of a target, where Newton's rounds end
+MOST_ROUNDS = 100  # halving alone would end them
 
 
 def source_ranks(sizes: DataFrame) -> DataFrame:
@@ -54,49 +66,118 @@ def targets(ranks: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.withColumn("target", target).drop("cap")
 
 
-def newton(size: Column, target: Column, steps: int = NEWTON_STEPS) -> Column:
-    """exp(lambda) at the dual's minimum: lambda -= (size * exp(lambda) - target) / (size * exp(lambda)), from 0."""
+def sizes_of(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep, doc_id, source, size, key: equal for rows that are equal in doc_id, source and text."""
+    size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "text")
+    return docs.select(*keep, "doc_id", "source", size.alias("size"), key.alias("key"))
 
-    def step(state: Column, _: Column) -> Column:
-        return state - (F.lit(1.0) - target / (size * F.exp(state)))
 
-    lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
-    return F.when((size > 0) & (target > 0), F.exp(lam)).otherwise(F.lit(0.0))
+def rate_of(size: Column, lam: Column, most: int, tilt: float) -> Column:
+    return F.least(F.lit(float(most)), F.exp(lam * F.pow(size.cast("double"), F.lit(tilt))))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies."""
-    sized = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
-    sizes = materialize(sized, "sizes")
-    solved = targets(source_ranks(sizes), weights, most)
-    solved = materialize(solved.withColumn("rate", F.least(newton(F.col("source_size").cast("double"), F.col("target")), F.lit(float(most)))), "rates")
-    solved = solved.withColumnRenamed("source", "of")
-    rated = join_small(sizes, solved, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    block = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.ceil(F.col("source_rows") / BLOCK))
-    doc = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id", F.lit(5)).alias("tie"), "doc_id", "size")
-    keys = ("source", "source_size", "target", "rate")
-    blocks = rated.withColumn("block", block).groupBy(*keys, "block").agg(F.sort_array(F.collect_list(doc)).alias("docs"), F.sum("size").alias("words"))
+def balance(sizes: DataFrame, solved: DataFrame, most: int = MOST_COPIES, tilt: float = TILT) -> DataFrame:
+    """solved (source, target and more, a written table) with lam, the multiplier at the dual's minimum; null where every rate is 0 or most."""
+    counts = sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts, "counts").withColumnRenamed("source", "of")
+    x = F.pow(F.col("size").cast("double"), F.lit(tilt))
+    ends = counts.groupBy("of").agg(F.min(x).alias("least_x"), F.max(x).alias("most_x"))
+    ratio = F.log(F.col("target") / F.col("source_size"))
+    # a multiplier at which every rate is too small, and one at which none is
+    low, high = F.least(ratio / F.col("least_x"), ratio / F.col("most_x")), F.when(ratio > 0, F.log(F.lit(float(most))) / F.col("least_x")).otherwise(ratio / F.col("most_x"))
+    state = join_small(solved.where((F.col("target") > 0) & (F.col("target") < most * F.col("source_size") * (1 - CLOSE))), ends, F.col("source").eqNullSafe(F.col("of")), "inner")
+    state = materialize(state.select("source", "target", low.alias("low"), high.alias("high"), F.lit(0.0).alias("lam"), F.lit(False).alias("done")).withColumn("lam", F.greatest("low", F.least("high", "lam"))), "duals")
+    small = F.broadcast if state.count() <= 200_000 else lambda df: df
+    for _ in range(MOST_ROUNDS):
+        if state.where("NOT done").limit(1).count() == 0:
+            break
+        rate = rate_of(F.col("size"), F.col("lam"), most, tilt)
+        words = F.col("n") * F.col("size") * rate
+        exact = lambda c: F.sum(c.cast("decimal(36,9)")).cast("double")
+        open_ = state.where("NOT done").select(F.col("source").alias("of_state"), "lam")
+        rows = counts.join(small(open_), F.col("of").eqNullSafe(F.col("of_state")))
+        sums = rows.groupBy("of").agg(exact(words).alias("words"), exact(F.when(rate < most, words * x).otherwise(F.lit(0.0))).alias("slope"))
+        both = state.join(sums, F.col("source").eqNullSafe(F.col("of")), "left")
+        too_much = F.col("words") > F.col("target")
+        low, high = F.when(too_much, F.col("low")).otherwise(F.col("lam")), F.when(too_much, F.col("lam")).otherwise(F.col("high"))
+        near = F.abs(F.col("words") - F.col("target")) <= CLOSE * F.col("target")
+        # Newton's step for the logarithm of the sum, which is nearly straight
+        step = F.col("lam") - (F.log("words") - F.log("target")) * F.col("words") / F.col("slope")
+        inside = (F.col("slope") > 0) & (step > low) & (step < high)
+        done = F.col("done") | near
+        lam = F.when(done, F.col("lam")).when(inside, step).otherwise((low + high) / 2)
+        keep = lambda c, new: F.when(F.col("done"), F.col(c)).otherwise(new).alias(c)
+        state = materialize(both.select("source", "target", keep("low", low), keep("high", high), keep("lam", lam), done.alias("done")), "duals")
+    found = state.select(F.col("source").alias("of"), "lam")
+    return join_small(solved, found, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
+def dealt(sizes: DataFrame, weights: tuple[int, ...], most: int, tilt: float) -> DataFrame:
+    """doc_id, source, size, key, source_size, target, rate, rows (of this key) and copies (of all of them)."""
+    solved = materialize(targets(source_ranks(sizes), weights, most), "targets")
+    solved = materialize(balance(sizes, solved, most, tilt), "rates").withColumnRenamed("source", "of")
+    kinds = sizes.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("rows"))
+    rated = join_small(kinds, solved, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    full = F.when(F.col("target") > 0, F.lit(float(most))).otherwise(F.lit(0.0))
+    rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("lam").isNull(), full).otherwise(rate_of(F.col("size"), F.col("lam"), most, tilt))
+    rated = rated.withColumn("rate", rate).withColumn("block", F.pmod("key", F.ceil(F.col("source_rows") / BLOCK)))
+    doc = F.struct((-F.col("size")).alias("order"), F.xxhash64("key", F.lit(5)).alias("tie"), "key", "doc_id", "size", "rate", "rows")
+    keys = ("source", "source_size", "target")
+    blocks = rated.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(doc)).alias("docs"))
 
     def step(state: Column, d: Column) -> Column:
-        size, rate, left = d["size"], F.col("rate"), state["left"] - d["size"]
-        owed = state["owed"] + rate * size
-        near = F.when(size > 0, F.greatest(F.lit(0), F.least(F.lit(most), F.round(owed / size)))).otherwise(F.lit(0)).cast("long")
+        size, due = d["size"], d["rate"] * d["size"] * d["rows"]
+        later, room = state["later"] - due, state["room"] - (most * d["size"] * d["rows"] - due)
+        owed = state["owed"] + due
+        near = F.when(size > 0, F.greatest(F.lit(0), F.least(most * d["rows"], F.round(owed / size)))).otherwise(F.lit(0)).cast("long")
         # what is taken too much must be due to the smaller documents still to come; else one copy less, if they can make up for it
-        too_much = (near > 0) & (owed - near * size < -rate * left) & (owed - (near - 1) * size <= (most - rate) * left)
+        too_much = (near > 0) & (owed - near * size < -later) & (owed - (near - 1) * size <= room)
         copies = near - too_much.cast("long")
-        return F.struct((owed - copies * size).alias("owed"), left.alias("left"), F.concat(state["copies"], F.array(copies)).alias("copies"))
+        return F.struct((owed - copies * size).alias("owed"), later.alias("later"), room.alias("room"), F.concat(state["copies"], F.array(copies)).alias("copies"))
+
+    def total(of) -> Column:
+        return F.aggregate("docs", F.lit(0.0), lambda s, d: s + of(d))
+
+    due = lambda d: d["rate"] * d["size"] * d["rows"]
+    start = F.struct(F.lit(0.0).alias("owed"), F.col("later").alias("later"), F.col("room").alias("room"), F.array().cast("array<bigint>").alias("copies"))
+    blocks = blocks.withColumn("later", total(due)).withColumn("room", total(lambda d: most * d["size"] * d["rows"] - due(d)))
+    each = blocks.withColumn("copies", F.aggregate("docs", start, step, lambda s: s["copies"])).select(*keys, F.explode(F.arrays_zip("docs", "copies")).alias("x"))
+    return each.select("x.docs.doc_id", "source", "x.docs.size", "x.docs.key", "source_size", "target", "x.docs.rate", "x.docs.rows", "x.copies")
+
+
+def share_of(place: Column) -> Column:
+    """The copies of one of the rows that share theirs: what remains goes to the first."""
+    return F.expr("copies div rows") + (place < F.col("copies") % F.col("rows")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, tilt: float = TILT) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies."""
+    each = dealt(materialize(sizes_of(docs), "sizes"), weights, most, tilt).withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    return each.select("doc_id", "source", "size", "source_size", "target", "rate", share_of(F.col("place")).alias("copies"))
+
 
-    start = F.struct(F.lit(0.0).alias("owed"), F.col("words").alias("left"), F.array().cast("array<bigint>").alias("copies"))
-    dealt = blocks.withColumn("copies", F.aggregate("docs", start, step, lambda s: s["copies"]))
-    each = dealt.select(*keys, F.explode(F.arrays_zip("docs", "copies")).alias("x"))
-    return each.select(F.col("x.docs.doc_id").alias("doc_id"), "source", F.col("x.docs.size").alias("size"), "source_size", "target", "rate", F.col("x.copies").alias("copies"))
+def places(rows: DataFrame) -> DataFrame:
+    """id, place: the number of each row among those of its key. Counted in two steps, within and over the parts of the written table (the high bits of its ids), so that a key of many rows meets in no task."""
+    rows = rows.withColumn("part", F.shiftright("id", 33))
+    within = F.row_number().over(Window.partitionBy("key", "part").orderBy("id")) - 1
+    counts = materialize(rows.groupBy("key", "part").count(), "parts")
+    before = counts.select("key", "part", (F.sum("count").over(Window.partitionBy("key").orderBy("part")) - F.col("count")).alias("before"))
+    return rows.withColumn("within", within).join(before, ["key", "part"]).select("id", (F.col("before") + F.col("within")).alias("place"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, tilt: float = TILT) -> DataFrame:
     """docs as the mix takes them: each row as often as its copies say."""
-    copies = mix(docs, weights, most).groupBy("doc_id").agg(F.max("copies").alias("mix_copies")).withColumnRenamed("doc_id", "mix_id")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mix_id"))).where("mix_copies > 0")
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    rows = materialize(carried(docs, F.monotonically_increasing_id().alias("id")), "rows")
+    sizes = materialize(sizes_of(rows.select("id", "row.doc_id", "row.source", "row.text"), "id"), "sizes")
+    taken = materialize(dealt(sizes, weights, most, tilt).where("copies > 0").select("key", "rows", "copies"), "copies")
+    named = sizes.select("id", "key").join(taken, "key")
+    times = named.where("rows = 1").select("id", "copies")
+    if taken.where("rows > 1").limit(1).count():
+        shared = materialize(named.where("rows > 1"), "shared")
+        times = times.unionByName(shared.join(places(shared.select("id", "key")), "id").select("id", share_of(F.col("place")).alias("copies")))
+    picked = rows.join(times.where("copies > 0"), "id")
+    return picked.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def mix_digest(mixed: DataFrame) -> DataFrame:
