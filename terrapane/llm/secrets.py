@@ -5,9 +5,12 @@ Each rule's regex is turned into a Boolean trigram query (an OR of ANDs). One pa
 bit_or, the rules whose query holds become candidates, and only these run their regex over the text. A rule with a
 branch that has no trigram of its own (hex runs) scans every text.
 
+A text that holds the rarest trigram of no branch can't be a candidate, so it stays where it is read (only full scans
+run over it) and never meets the index; the others alone are joined with the candidates.
+
 Defined results: null text counts as empty (no spans); rows of an equal doc_id each get their own row, and share
-candidates, which only costs a regex run; other columns are ignored by `scan_secrets` and kept by `redact`; no rows in,
-no rows out. Positions are code points, the end is exclusive.
+candidates, which only costs a regex run; other columns are ignored by `scan_secrets` and kept by `redact`, whatever
+their names; no rows in, no rows out. Positions are code points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from re import IGNORECASE, _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import text_of
+from terrapane.llm.common import carried, join_small, materialize, text_of
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,8 @@ RULES = (
 BASE = ("assign", "access", "hex")
 SPAN = "array<struct<start:bigint,place:int,end:bigint,kind:string>>"
 MOST_STRINGS = 32
+#: Fixed value: letters of English text from the most to the least frequent.
+FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
@@ -152,27 +157,42 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
     return F.aggregate(rows, start, step, lambda s: s["out"])
 
 
+def probes(queries: dict[str, list[frozenset[str]]]) -> list[str]:
+    """One trigram of each branch, that of the least frequent letters: a text without any of them satisfies no query."""
+    rare = lambda g: (sum(FREQUENT.find(c) if c in FREQUENT else len(FREQUENT) for c in g), g)
+    return sorted({max(part, key=rare) for q in queries.values() for part in q})
+
+
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with a column secret_spans, sorted by start and then by the rules' order."""
+    """row (all columns of docs), text, and secret_spans, sorted by start and then by the rules' order."""
+    rows = carried(docs, "doc_id", "text")
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    found = candidates(docs, queries).withColumnRenamed("doc_id", "candidate_id")
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("candidate_id")), "left")
+    asked = F.lit(False)
+    for g in probes(queries):
+        asked = asked | F.lower(text_of()).contains(g)
     none = F.array().cast(SPAN)
-    parts = []
-    for i, r in enumerate(rules):
-        go = F.coalesce(F.col(f"is_{r.kind}"), F.lit(False)) if r.kind in queries else text_of().rlike(r.pattern)
-        parts.append(F.when(go, spans_of(text_of(), r, i)).otherwise(none))
-    return both.withColumn("secret_spans", F.sort_array(F.concat(*parts))).drop("candidate_id", *(f"is_{k}" for k in queries))
+
+    def spans(go) -> Column:
+        parts = [F.when(go(r), spans_of(text_of(), r, i)).otherwise(none) for i, r in enumerate(rules) if go(r) is not None]
+        return F.sort_array(F.concat(none, *parts)).alias("secret_spans")
+
+    full = lambda r: None if r.kind in queries else text_of().rlike(r.pattern)
+    plain = rows.where(~asked).select("row", "text", spans(full))
+    if not queries:
+        return plain
+    found = materialize(candidates(docs, queries).withColumnRenamed("doc_id", "candidate_id"), "candidates")
+    both = join_small(rows.where(asked), found, F.col("doc_id").eqNullSafe(F.col("candidate_id")))
+    listed = lambda r: F.coalesce(F.col(f"is_{r.kind}"), F.lit(False)) if r.kind in queries else full(r)
+    return plain.unionByName(both.select("row", "text", spans(listed)))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: doc_id, secret_spans."""
-    return with_spans(docs.select("doc_id", "text"), rules).select("doc_id", "secret_spans")
+    return with_spans(docs.select("doc_id", "text"), rules).select("row.doc_id", "secret_spans")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret replaced by [SECRET]; overlapping spans are replaced as one. All columns stay; n_chars follows the text if there is one."""
-    columns = docs.columns
     text = F.col("text")
 
     def step(state: Column, x: Column) -> Column:
@@ -182,10 +202,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     done = F.aggregate("secret_spans", start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    out = with_spans(docs, rules).withColumn("text", F.when(F.size("secret_spans") > 0, done).otherwise(text))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    held = F.size("secret_spans") > 0
+    out = with_spans(docs, rules).select("row", held.alias("held"), F.when(held, done).otherwise(text).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("held"), F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def secret_digest(scanned: DataFrame) -> DataFrame:
