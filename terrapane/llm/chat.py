@@ -1,16 +1,20 @@
 """Chat formatting from an event log, in DataFrame operations only.
 
-A log has one row per event: conv_id, seq (order in the log), turn (the message it is about), kind, role, text.
-`message` opens a message with its role and first text, `delta` appends a streamed piece, `edit` replaces the text so
-far, `regenerate` empties it for new deltas. Events are folded per (conversation, turn) first, so that a conversation
-that holds much of the log is spread over its messages, then folded messages are joined in blocks of turns, and only
-rendered blocks meet per conversation.
+A log has one row per event: conv_id, seq (order in the log), turn (the message it is about), kind, role, text, and
+message, where a turn may have several of its own (0 if the log has no such column). `message` opens a message with its
+role and first text, `delta` appends a streamed piece, `edit` replaces the text so far, `regenerate` empties it for new
+deltas. Events are folded per message first, so that a conversation that holds much of the log is spread over its
+messages, then folded messages are joined in blocks of turns, and only rendered blocks meet per conversation.
+
+`log_of_turns` writes finished conversations as the log that they could have come from: each row is a message, opened by
+an event of kind `turn`; what the assistant says is streamed, broken off, regenerated and streamed again, and what
+others say is a draft that they edit. So the texts of a formatted table of turns come out of the fold, too.
 
 Defined results: null text and role count as empty; null conv_id is one conversation of its own; events equal in all
-columns are replays and count once, but for those of kind `turn`, which are a message each; messages with a null turn
-come last, and messages of one turn in the order of their rendered role and text; a message whose log lacks an opening event starts at its first delta, with the last
-role given; among different events of one seq, the later by kind, role and text holds; other columns are ignored; an
-empty log gives no rows.
+columns are replays and count once, but for those of kind `turn`: a message counts as often as it is opened by one;
+messages with a null turn come last, and messages of one turn in the order of their rendered role and text; a message
+whose log lacks an opening event starts at its first delta, with the last role given; among different events of one seq,
+the later by kind, role and text holds; other columns are ignored; an empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 #: A control string with any number of backslashes after its first character.
 _BODY = r"(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\])"
 BLOCK = 256
+PIECES = 8  # deltas of a streamed text
 LAST = (1 << 63) - 1  # stands for a null turn and its block
 
 
@@ -46,30 +51,38 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
-def log_of_turns(turns: DataFrame) -> DataFrame:
+def log_of_turns(turns: DataFrame, streamed_role: str = "assistant") -> DataFrame:
     """The log of finished conversations (conv_id, turn, role, text): each row is a message of its own, also with a null or repeated turn."""
-    return turns.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("turn").alias("kind"), "role", "text")
+    key = F.xxhash64(F.col("role").isNull(), "role", F.col("text").isNull(), "text")
+    step = F.greatest(F.lit(1), F.ceil(F.length("text") / PIECES)).cast("int")
+    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), key.alias("message")).withColumn("step", step)
+    none = F.lit(None).cast("string")
+    event = lambda seq, kind, role, text: F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    draft = F.substring(F.col("text"), F.lit(1), F.col("step"))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("text") / F.col("step")).cast("int") - 1)), lambda i: event(i + 3, "delta", none, F.substring(F.col("text"), i * F.col("step") + 1, F.col("step"))))
+    streamed = F.concat(F.array(event(F.lit(0), "turn", F.col("role"), F.lit("")), event(F.lit(1), "delta", none, draft), event(F.lit(2), "regenerate", none, none)), parts)
+    edited = F.array(event(F.lit(0), "turn", F.col("role"), draft), event(F.lit(1), "edit", none, F.col("text")))
+    return rows.select("conv_id", "turn", "message", F.inline(F.when(F.col("role") == streamed_role, streamed).otherwise(edited)))
 
 
 def fold(events: DataFrame) -> DataFrame:
     """Final messages: conv_id, turn, role, text."""
-    rank = F.expr("CASE kind WHEN 'message' THEN 0 WHEN 'edit' THEN 1 WHEN 'regenerate' THEN 2 ELSE 3 END")
+    if "message" not in events.columns:
+        events = events.withColumn("message", F.lit(0).cast("long"))
+    rank = F.expr("CASE kind WHEN 'message' THEN 0 WHEN 'turn' THEN 0 WHEN 'edit' THEN 1 WHEN 'regenerate' THEN 2 ELSE 3 END")
     event = F.struct(
         F.coalesce("seq", F.lit(-1)).alias("seq"), rank.alias("rank"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").isNotNull().alias("named")
     )
-    finished = F.coalesce(F.col("kind") == "turn", F.lit(False))
-    each = events.where(~finished).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set(event)).alias("log"))
+    opened = F.count_if(F.coalesce(F.col("kind") == "turn", F.lit(False)))
+    each = events.groupBy("conv_id", "turn", "message").agg(F.array_sort(F.collect_set(event)).alias("log"), F.greatest(F.lit(1), opened).alias("times"))
     resets = F.filter("log", lambda e: e["rank"] < 3)
     last = F.element_at(F.col("resets"), -1)
     head = F.when(F.size("resets") == 0, F.lit("")).when(last["rank"] == 2, F.lit("")).otherwise(last["text"])
     after = F.filter("log", lambda e: (e["rank"] == 3) & ((F.size("resets") == 0) | (e["seq"] >= last["seq"])))
     named = F.filter("log", lambda e: e["named"])
-    folded = (
-        each.withColumn("resets", resets)
-        .where(F.col("turn").isNotNull() | (F.size("log") > 0))
-        .select("conv_id", "turn", F.when(F.size(named) > 0, F.element_at(named, -1)["role"]).otherwise(F.lit("")).alias("role"), F.concat(head, F.array_join(F.transform(after, lambda e: e["text"]), "")).alias("text"))
-    )
-    return folded.unionByName(events.where(finished).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    role = F.when(F.size(named) > 0, F.element_at(named, -1)["role"]).otherwise(F.lit("")).alias("role")
+    folded = each.withColumn("resets", resets).select("conv_id", "turn", role, F.concat(head, F.array_join(F.transform(after, lambda e: e["text"]), "")).alias("text"), "times")
+    return folded.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times", "one")
 
 
 def render(messages: DataFrame, trained_role: str = "assistant") -> DataFrame:
