@@ -8,7 +8,7 @@ the odds of its path over those of the corpus; its own score is left out of its
 Defined results: null text has no words, and is judged by those features; null host or path is a site of its own; rows
 of an equal doc_id are judged each on its own, with a label that any row of `labels` gives (quality 1 if rows differ); a
 corpus without labels of both kinds keeps everything that has a word (all probabilities 0.5); other columns are ignored by
-`posteriors` and kept by `filter_documents`; no rows in, no rows out.
+`posteriors` and kept by `filter_documents`, whatever their names; no rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import SPACES, WORD, join_small, materialize, text_of
+from terrapane.llm.common import SPACES, WORD, carried, join_small, materialize, text_of
 
 BINS = 20
 SMOOTHING = 0.2  # added to each count
@@ -27,13 +27,21 @@ MOST_ODDS = 12.0  # of a document's own log odds, either way
 FEATURES = ("symbols", "bars", "marks", "capitals", "digits", "word_length", "short_words", "distinct", "runs", "lines", "length")
 
 
-def features(docs: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """doc_id, host, path, n_words, and each feature's bin from 0 to BINS."""
-    rows = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), text_of().alias("text"))
+def url_sites(pages: DataFrame, url: str = "url") -> DataFrame:
+    """pages with site_host and site_path (the first part of the path, / if there is none) of their URLs, for use as host and path; null where the URL has no host."""
+    at = F.try_parse_url(F.col(url), F.lit("HOST"))
+    first = F.regexp_extract(F.coalesce(F.try_parse_url(F.col(url), F.lit("PATH")), F.lit("")), "^(/[^/]*)", 1)
+    return pages.withColumn("site_host", F.lower(at)).withColumn("site_path", F.when(at.isNotNull(), F.when(first == "", F.lit("/")).otherwise(first)))
+
+
+def features(docs: DataFrame, host: str = "source", path: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, doc_id, host, path, n_words, and each feature's bin from 0 to BINS."""
+    rows = docs.select(*keep, "doc_id", F.col(host).alias("host"), F.col(path).alias("path"), text_of().alias("text"))
     rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)))
     without = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
     rows = rows.select(
+        *keep,
         "doc_id",
         "host",
         "path",
@@ -64,7 +72,7 @@ def features(docs: DataFrame, host: str = "source", path: str = "lang") -> DataF
         "lines": F.col("lines") * 20 / F.greatest(F.lit(1), F.col("n_lines")),
         "length": F.length(F.bin(words)) - 1,  # whole part of the binary logarithm
     }
-    return rows.select("doc_id", "host", "path", "n_words", *(F.least(F.lit(BINS), F.floor(bins[f])).cast("int").alias(f) for f in FEATURES))
+    return rows.select(*keep, "doc_id", "host", "path", "n_words", *(F.least(F.lit(BINS), F.floor(bins[f])).cast("int").alias(f) for f in FEATURES))
 
 
 def evidence(featured: DataFrame, labels: DataFrame) -> DataFrame:
@@ -76,8 +84,8 @@ def evidence(featured: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(counted, "evidence")  # at most len(FEATURES) * (BINS + 1) rows
 
 
-def document_scores(featured: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds p: the document's own probability of good quality."""
+def document_scores(featured: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, doc_id, host, path, n_words, p: the document's own probability of good quality."""
     found = evidence(featured, labels).collect()
     good, bad = (sum(getattr(r, k) for r in found if r.feature == FEATURES[0]) for k in ("good", "bad"))
     odds = F.lit(0.0)
@@ -90,7 +98,7 @@ def document_scores(featured: DataFrame, labels: DataFrame) -> DataFrame:
                     table[r.bin] = math.log((r.good + SMOOTHING) / (good + BINS * SMOOTHING)) - math.log((r.bad + SMOOTHING) / (bad + BINS * SMOOTHING))
             odds = odds + F.element_at(F.array(*(F.lit(table[b]) for b in range(BINS + 1))), F.col(f) + 1)
     odds = F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), odds))
-    return featured.select("doc_id", "host", "path", "n_words", (1 / (1 + F.exp(-odds))).alias("p"))
+    return featured.select(*keep, "doc_id", "host", "path", "n_words", (1 / (1 + F.exp(-odds))).alias("p"))
 
 
 def strength(groups: DataFrame, mean: float) -> float:
@@ -110,9 +118,9 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """One row per document: doc_id, p_document, p_host, p_path, p_quality, kept."""
-    scored = materialize(document_scores(materialize(features(docs, host, path), "features"), labels), "scores")
+def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: keep, doc_id, p_document, p_host, p_path, p_quality, kept."""
+    scored = document_scores(materialize(features(docs, host, path, keep), "features"), labels, keep)
     sums = (F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss"))
     paths = materialize(scored.groupBy("host", "path").agg(*sums), "paths")
     hosts = materialize(paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss"))), "hosts")
@@ -127,10 +135,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     p_path = (F.col("path_s") - F.col("p") + path_k * F.col("p_host")) / (F.col("path_n") - 1 + path_k)
     odds = _logit(F.col("p")) + _logit(F.col("p_path")) - _logit(F.lit(mean))
     out = joined.withColumn("p_host", p_host).withColumn("p_path", p_path).withColumn("p_quality", 1 / (1 + F.exp(-odds)))
-    return out.select("doc_id", F.col("p").alias("p_document"), "p_host", "p_path", "p_quality", ((F.col("p_quality") >= KEEP) & (F.col("n_words") > 0)).alias("kept"))
+    return out.select(*keep, "doc_id", F.col("p").alias("p_document"), "p_host", "p_path", "p_quality", ((F.col("p_quality") >= KEEP) & (F.col("n_words") > 0)).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """docs that are kept, with all their columns; of rows with one doc_id, all if any is kept."""
-    kept = posteriors(docs, labels, host, path).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows of docs that are kept, with all their columns. They are written once beside their features, so that each keeps its own verdict and no text is shuffled."""
+    rows = carried(docs, "doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path"))
+    return posteriors(rows, labels, "host", "path", ("row",)).where("kept").select("row.*")
