@@ -1,15 +1,18 @@
 """Quality rules with adaptive thresholds, in DataFrame operations only.
 
 Each document gets whole-number metrics. Their distribution per language and source is kept in mergeable quantile
-sketches: counts of fixed-width bins, a fixed number per group, which add up over partitions and groups. Thresholds are
-fences read from the sketch (the upper one q90 + FENCE * (q90 - q50) + slack, the lower one alike), joined back to the
-documents. A group with fewer than LEAST documents reads the sketch of its language, or else of all. No group's fence is
-wider than its language's, nor (but for word lengths, which go with the language) than that of all documents, so that a
-source or language with much junk does not make room for it; what more than a tenth of all documents have is not junk.
+sketches of the log-linear kind: values below 128 are counted each on their own, greater ones in bins that keep their
+seven leading bits, so a quantile read from the sketch is at most 1/64 of itself too small, whatever the range. Counts of
+bins add up over partitions and groups in any order, and a sketch has at most 128 bins and 64 for each further doubling
+of the greatest value. Thresholds are fences read from the sketch (the upper one q90 + FENCE * (q90 - q50) + slack, the
+lower one alike), joined back to the documents. A group with fewer than LEAST documents reads the sketch of its language,
+or else of all. No group's fence is wider than its language's, nor (but for word lengths, which go with the language)
+than that of all documents, so that a source or language with much junk does not make room for it; what more than a
+tenth of all documents have is not junk.
 
 Defined results: null text has no words and fails the base rules; null language or source is a group of its own; rows of
-an equal doc_id are judged each on its own; other columns are ignored by `judge` and kept by `filter_documents`; no rows
-in, no rows out.
+an equal doc_id are judged each on its own; other columns are ignored by `judge` and kept by `filter_documents`, whatever
+their names; no rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -17,14 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import SPACES, WORD, join_small, let, materialize, text_of
+from terrapane.llm.common import SPACES, WORD, carried, join_small, let, materialize, text_of
 
 LEAST_WORDS = 50
 MOST_REPEAT_PERCENT = 50
 FENCE = 3
 LEAST = 100
-BINS = 1000
-#: metric: slack above the upper fence, in bins; a lower fence too?
+EXACT_BITS = 7  # of a value, that its bin keeps
+#: metric (in thousandths, word_length in tenths): slack above the upper fence; a lower fence too?
 METRICS = {"symbols": (20, False), "dup_lines": (300, False), "repeats": (300, False), "word_length": (20, True)}
 
 
@@ -44,12 +47,13 @@ def repeat_words(words: Column) -> Column:
     return F.when(n > 1, let(F.sort_array(grams), covered)).otherwise(F.lit(0)).cast("long")
 
 
-def document_metrics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
-    read = docs.select("doc_id", "lang", "source", text_of().alias("text"))
+def document_metrics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+    read = docs.select(*keep, "doc_id", "lang", "source", text_of().alias("text"))
     read = read.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     read = read.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)))
     return read.select(
+        *keep,
         "doc_id",
         "lang",
         "source",
@@ -62,24 +66,37 @@ def document_metrics(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_bins(metrics: DataFrame) -> DataFrame:
-    """Adds base_failed and each metric's bin, 0 to BINS."""
+def with_shares(metrics: DataFrame) -> DataFrame:
+    """Adds base_failed and the METRICS."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
-    share = lambda a, b: F.least(F.lit(BINS), F.expr(f"1000 * {a} div greatest({b}, 1)")).cast("int")
+    share = lambda a, b, times=1000: F.expr(f"{times} * {a} div greatest({b}, 1)")
     return metrics.select(
         "*",
         failed.alias("base_failed"),
         share("n_symbols", "word_chars").alias("symbols"),
         share("n_dup_lines", "n_lines").alias("dup_lines"),
         share("n_repeat_words", "n_words").alias("repeats"),
-        F.least(F.lit(BINS), F.expr("10 * word_chars div greatest(n_words, 1)")).cast("int").alias("word_length"),
+        share("word_chars", "n_words", 10).alias("word_length"),
     )
 
 
-def sketches(binned: DataFrame) -> DataFrame:
+def bin_of(value: Column) -> Column:
+    """The sketch's bin of a whole number from 0: its leading EXACT_BITS bits, after the number of bits left out."""
+    half, out = 1 << (EXACT_BITS - 1), F.greatest(F.lit(0), F.length(F.bin(value)) - EXACT_BITS)
+    return half * out + F.call_function("shiftright", value, out)
+
+
+def edge_of(bin_: Column) -> Column:
+    """The least value of a bin."""
+    half = 1 << (EXACT_BITS - 1)
+    out = F.greatest(F.lit(0), F.floor(bin_ / half) - 1).cast("int")
+    return F.call_function("shiftleft", bin_ - half * out, out)
+
+
+def sketches(metrics: DataFrame) -> DataFrame:
     """lang, source, metric, bin, n: one mergeable sketch for each language, source and metric, over the documents that pass the base rules."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("bin")) for m in METRICS)))
-    rows = binned.where(~F.col("base_failed")).select("lang", "source", pairs.alias("x"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bin_of(F.col(m)).alias("bin")) for m in METRICS)))
+    rows = metrics.where(~F.col("base_failed")).select("lang", "source", pairs.alias("x"))
     return rows.groupBy("lang", "source", F.col("x.metric").alias("metric"), F.col("x.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -88,7 +105,7 @@ def fences(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     merged = sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "metric")
     seen = merged.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
-    q = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("bin")))
+    q = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), edge_of(F.col("bin"))))
     rows = seen.groupBy(*keys, "metric").agg(F.max("total").alias("n"), q(10).alias("q10"), q(50).alias("q50"), q(90).alias("q90"))
     slack = F.element_at(F.create_map(*(F.lit(x) for m, (s, _) in METRICS.items() for x in (m, s))), F.col("metric"))
     two_sided = F.col("metric").isin(*(m for m, (_, both) in METRICS.items() if both))
@@ -114,12 +131,12 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return both.select("lang", "source", *(narrowest(side, m) for side in ("low", "high") for m in METRICS))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """The metrics, base_failed, and kept: not base_failed, and every metric within its group's fences."""
-    binned = materialize(with_bins(document_metrics(docs)), "metrics")
-    limits = materialize(thresholds(materialize(sketches(binned), "sketches")), "fences")
+def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, the metrics, base_failed, and kept: not base_failed, and every metric within its group's fences."""
+    metrics = materialize(with_shares(document_metrics(docs, keep)), "metrics")
+    limits = materialize(thresholds(materialize(sketches(metrics), "sketches")), "fences")
     limits = limits.withColumnRenamed("lang", "of_lang").withColumnRenamed("source", "of_source")
-    joined = join_small(binned, limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")))
+    joined = join_small(metrics, limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")))
     within = ~F.col("base_failed")
     for m in METRICS:
         within = within & F.coalesce((F.col(m) >= F.col(f"low_{m}")) & (F.col(m) <= F.col(f"high_{m}")), F.lit(True))
@@ -127,9 +144,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """docs that are kept, with all their columns; of rows with one doc_id, those whose metrics pass."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows of docs that are kept, with all their columns. They are written once beside their metrics, so that each keeps its own verdict and no text is shuffled."""
+    return judge(carried(docs, "doc_id", "text", "lang", "source"), ("row",)).where("kept").select("row.*")
 
 
 def quality_digest(judged: DataFrame) -> DataFrame:
