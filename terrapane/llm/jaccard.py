@@ -2,28 +2,32 @@
 
 1. Every text becomes its set of hashed shingles. Equal sets are one class, so exact copies cost nothing further.
 2. Inverted lists: shingles go, packed, to hash buckets (their number follows the total). A bucket counts the classes
-   on each of its lists and tells a class which of its shingles others have too. Shingles that more than one in
+   on each of its lists and tells a class which of its shingles others have too. Shingles that more than about one in
    HEAVY_SHARE documents hold are found first, with counts added up before the shuffle; they do not enter the buckets
-   but come last in every order, so no bucket holds a list that follows the corpus.
+   but come last in every order. So a bucket's longest list has about a HEAVY_SHARE-th of the classes.
 3. Two sets at the threshold share at least T = ceil(threshold * size) shingles. So of the size - T + 1 shingles on the
    shortest lists they share one at least; a class whose shortest lists hold nobody else has no partner. The others are
-   grouped by these shared short lists into candidate groups (connected components).
+   grouped by these shared short lists into candidate groups (connected components). Sets so small that only an equal
+   one can meet the threshold are not listed.
 4. In each group, or in each pair of blocks of a large group, a T-occurrence search finds the links: short lists are
    merged, candidates that can still reach T are looked up in the long lists by binary search, and kept if the exact
    overlap meets the threshold. Classes that are already linked need no second link.
 5. Components of the links give every document its class's smallest doc_id.
 
-Shingles are compared by 46 to 63 bits of a 64-bit hash, classes by 64 bits.
+Shingles are compared by 46 to 63 bits of a 64-bit hash (three of a pair's must collide for a false link), classes by 63
+bits of each of their shingles.
 
 Defined results: lower case for A-Z only; a text of fewer words than a shingle is one shingle of all its words; null,
 empty and blank texts have n_shingles 0 and are their own component; rows of an equal doc_id are rows of one component
 if their texts link; null doc_id is passed over when the smallest is taken (a component of only those has null); other
-columns are ignored by `link_documents` and kept by `keep_one`; no rows in, no rows out.
+columns are ignored by `link_documents` and kept by `keep_one`, whatever their names; no rows in, no rows out. `keep_one`
+keeps one row of each component, that of the smallest doc_id (null last), then of the smallest hash of its text.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from heapq import merge
 from itertools import groupby
 
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import materialize, text_of
+from terrapane.llm.common import carried, materialize, text_of
 from terrapane.llm.graph import components
 
 WIDTH = 5
@@ -46,54 +50,102 @@ EVEN_MEMBERS, MOST_EVEN = 64, 32  # groups are cut to blocks of so many classes,
 LOW = 40  # bits of a shingle kept beside its bucket
 SMALL_MERGE = 512
 ROWS = 2_000  # documents read at a time
+PART = 1 << 19  # bytes hashed at a time
 _C = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15)]
 _33 = np.uint64(33)
 
 
-class _Words(dict):
-    """64-bit hashes of words, bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 300_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_words = _Words()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _33)) * _C[0]
     h = (h ^ (h >> _33)) * _C[1]
     return h ^ (h >> _33)
 
 
-def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 63-bit hashes of the text's shingles."""
-    words = text.encode().lower().split()  # of bytes: lower-cases A-Z only, splits at the six ASCII spaces
-    if not words:
-        return np.empty(0, np.int64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    k = min(width, len(words))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = _mixed(out * _C[2] + h[i : i + len(out)])
-    return np.unique(out >> np.uint64(1)).astype(np.int64)
+#: A 64-bit number for each place in a word (up to LONGEST) and byte; 0 for the six ASCII spaces.
+LONGEST = 64
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTES = np.where(_SPACE, np.uint64(0), _mixed(np.arange(1, LONGEST * 256 + 1, dtype=np.uint64).reshape(LONGEST, 256) * _C[2])).ravel()
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of data begin, and a 64-bit hash of each: the sum of its bytes' numbers (longer words have a hash of their own)."""
+    import xxhash
+
+    codes = np.frombuffer(data, np.uint8)
+    space = _SPACE[codes]
+    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    if not len(starts):
+        return starts, np.empty(0, np.uint64)
+    gaps = np.diff(np.r_[starts, len(codes)])
+    place = np.arange(starts[0], len(codes)) - np.repeat(starts, gaps)
+    hashes = np.add.reduceat(_BYTES[np.minimum(place, LONGEST - 1) * 256 + codes[starts[0] :]], starts - starts[0])
+    for i in np.flatnonzero(gaps > LONGEST):
+        word = data[starts[i] : starts[i] + gaps[i]].rstrip(b" \t\n\v\f\r")
+        if len(word) > LONGEST:
+            hashes[i] = xxhash.xxh3_64_intdigest(word)
+    return starts, _mixed(hashes)
+
+
+def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct 63-bit hashes of each text's shingles, one text after the other, and how many each has."""
+    values, sizes = [], []
+    for part in _parts(texts):
+        for s in _shingles(part, width):
+            values.append(s)
+            sizes.append(len(s))
+    return (np.concatenate(values) if values else np.empty(0, np.int64)), np.array(sizes, np.int64)
+
+
+def _parts(texts: list[str]) -> Iterator[list[bytes]]:
+    """Encoded texts, PART bytes or a text at a time. Lower-casing bytes changes A-Z only."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t.encode().lower())
+        n += len(part[-1])
+        if n >= PART:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def _shingles(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    starts, h = word_hashes(b" ".join(texts))
+    begin = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    n = np.diff(begin)
+    # a shingle is a polynomial of its words' hashes in a constant, and mixed at the end
+    sums = np.zeros(max(len(h) - width + 1, 0), np.uint64)
+    for i in range(width):
+        sums = sums * _C[2] + h[i : i + len(sums)]
+    sums = (_mixed(sums) >> np.uint64(1)).astype(np.int64)
+    for x, k in zip(begin.tolist(), n.tolist(), strict=False):
+        if k >= width:
+            s = sums[x : x + k - width + 1]
+            s.sort()
+            new = s[1:] != s[:-1]
+            yield s if new.all() else s[np.r_[True, new]]
+        else:
+            short = np.full(min(k, 1), k, np.uint64)
+            for j in range(x, x + k):
+                short = _mixed(short * _C[2] + h[j : j + 1])
+            yield (short >> np.uint64(1)).astype(np.int64)
 
 
 def class_of(shingles: np.ndarray) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(shingles.data) - (1 << 63)
+
+
+def _classes(flat: np.ndarray, sizes: np.ndarray) -> list[int]:
+    ends = np.cumsum(sizes).tolist()
+    return [class_of(flat[y - n : y]) for y, n in zip(ends, sizes.tolist(), strict=True)]
 
 
-def document_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows of two kinds: doc_id, n_shingles, class for each document; and shingle, n for shingles found in two or more classes of a batch."""
+def document_classes(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Rows (id, doc_id, text) to rows of two kinds: id, doc_id, n_shingles, class for each document; and shingle, n for shingles found in two or more classes of a batch."""
 
-    schema = "doc_id bigint, n_shingles bigint, class bigint, shingle bigint, n bigint"
+    schema = "id bigint, doc_id bigint, n_shingles bigint, class bigint, shingle bigint, n bigint"
     names = schema.replace(" bigint", "").split(", ")
 
     def table(n: int, columns: dict) -> pa.RecordBatch:
@@ -103,15 +155,18 @@ def document_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 b = batch.slice(i, ROWS)
-                sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
-                classes = [class_of(s) for s in sets]
-                yield table(b.num_rows, {"doc_id": b.column(0), "n_shingles": [len(s) for s in sets], "class": classes})
-                found, n = np.unique(np.concatenate(list(dict(zip(classes, sets, strict=True)).values())), return_counts=True)
-                found, n = found[n > 1], n[n > 1]
-                if len(found):
-                    yield table(len(found), {"shingle": found, "n": n})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+                flat, sizes = shingle_sets(b.column(2).to_pylist(), width)
+                classes = _classes(flat, sizes)
+                yield table(b.num_rows, {"id": b.column(0), "doc_id": b.column(1), "n_shingles": sizes, "class": classes})
+                first = np.zeros(len(sizes), bool)
+                first[np.unique(np.array(classes, np.int64), return_index=True)[1]] = True
+                found = np.sort(flat[np.repeat(first, sizes)])
+                edges = np.flatnonzero(np.r_[True, found[1:] != found[:-1], True]) if len(found) else np.zeros(1, np.int64)
+                n = np.diff(edges)
+                if (n > 1).any():
+                    yield table(int((n > 1).sum()), {"shingle": found[edges[:-1]][n > 1], "n": n[n > 1]})
+
+    rows = rows.select(F.col("id").cast("long"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, schema)
 
 
@@ -126,34 +181,36 @@ def _unpack(packed: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
-def inverted_rows(docs: DataFrame, buckets: int, heavy, width: int = WIDTH) -> DataFrame:
+def inverted_rows(docs: DataFrame, buckets: int, heavy, width: int = WIDTH, threshold=THRESHOLD) -> DataFrame:
     """bucket, classes (packed), sizes, counts, shingles (packed): a batch's share of a bucket's lists. Buckets below 0 hold the heavy shingles of each class."""
 
     def run(batches):
         rare_last = heavy.value
         for b in (x.iloc[i : i + ROWS] for x in batches for i in range(0, len(x), ROWS)):
-            sets = {}
-            for t in b["text"]:
-                s = shingle_set(t, width)
-                if len(s):
-                    sets[class_of(s)] = s
-            if not sets:
+            flat, sizes = shingle_sets(list(b["text"]), width)
+            names = np.array(_classes(flat, sizes), np.int64)
+            first = np.zeros(len(sizes), bool)
+            first[np.unique(names, return_index=True)[1]] = True
+            first &= sizes * (threshold[1] - threshold[0]) >= threshold[0]  # smaller sets link with equal ones only
+            if not first.any():
                 continue
-            names = np.fromiter(sets, np.int64, len(sets))
-            sizes = np.fromiter(map(len, sets.values()), np.int64, len(sets))
-            flat = np.concatenate(list(sets.values()))
-            owner = np.repeat(np.arange(len(names)), sizes)
-            at = np.minimum(np.searchsorted(rare_last, flat), max(len(rare_last) - 1, 0))
-            is_heavy = rare_last[at] == flat if len(rare_last) else np.zeros(len(flat), bool)
-            place = np.where(is_heavy, -1 - names[owner] % buckets, (flat >> LOW) % buckets)
-            order = np.lexsort((owner, place))
+            flat, names, sizes = flat[np.repeat(first, sizes)], names[first], sizes[first]
+            owner = np.repeat(np.arange(len(names), dtype=np.int32), sizes)
+            place = (flat >> LOW) % buckets
+            if len(rare_last):
+                at = np.minimum(np.searchsorted(rare_last, flat), len(rare_last) - 1)
+                place = np.where(rare_last[at] == flat, -1 - names[owner] % buckets, place)
+            # a stable sort of small numbers is a radix sort, and keeps the owners in order
+            order = np.argsort(place.astype(np.int16) if buckets < 1 << 15 else place, kind="stable")
             flat, owner, place = flat[order], owner[order], place[order]
             edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+            runs = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])])
+            who, n = owner[runs], np.diff(np.r_[runs, len(owner)]).astype("<i4")
+            of_edge = np.searchsorted(runs, edges)
             out = []
-            for x, y in zip(edges, edges[1:], strict=False):
-                who, n = np.unique(owner[x:y], return_counts=True)
+            for x, y, p, q in zip(edges.tolist(), edges[1:].tolist(), of_edge.tolist(), of_edge[1:].tolist(), strict=False):
                 values = flat[x:y].astype("<i8").tobytes() if place[x] < 0 else _pack(flat[x:y])
-                out.append((int(place[x]), names[who].tobytes(), sizes[who].astype("<i4").tobytes(), n.astype("<i4").tobytes(), values))
+                out.append((int(place[x]), names[who[p:q]].tobytes(), sizes[who[p:q]].astype("<i4").tobytes(), n[p:q].tobytes(), values))
             yield pd.DataFrame(out, columns=["bucket", "classes", "sizes", "counts", "shingles"])
 
     rows = docs.select(text_of().alias("text"))
@@ -174,19 +231,23 @@ def shared_shingles(rows: DataFrame) -> DataFrame:
     def of_bucket(key, b):
         if key[0] < 0:
             return heavy_of(b)
-        who = np.concatenate([np.repeat(np.frombuffer(c, np.int64), np.frombuffer(n, "<i4")) for c, n in zip(b["classes"], b["counts"], strict=True)])
-        size = np.concatenate([np.repeat(np.frombuffer(c, "<i4"), np.frombuffer(n, "<i4")) for c, n in zip(b["sizes"], b["counts"], strict=True)])
-        low = np.concatenate([_unpack(s) for s in b["shingles"]])
-        order = np.lexsort((who, low))
-        who, size, low = who[order], size[order], low[order]
-        once = np.r_[True, (who[1:] != who[:-1]) | (low[1:] != low[:-1])]
-        who, size, low = who[once], size[once], low[once]
+        names, sizes, n = (np.concatenate([np.frombuffer(x, t) for x in b[c]]) for c, t in (("classes", np.int64), ("sizes", "<i4"), ("counts", "<i4")))
+        # a class that several batches hold counts once
+        once = np.zeros(len(names), bool)
+        once[np.unique(names, return_index=True)[1]] = True
+        low = np.concatenate([_unpack(s) for s in b["shingles"]])[np.repeat(once, n)]
+        row = np.repeat(np.arange(int(once.sum()), dtype=np.int32), n[once])
+        names, sizes = names[once], sizes[once]
+        order = np.argsort(low)
+        row, low = row[order], low[order]
         starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        degree = np.repeat(np.diff(np.r_[starts, len(low)]), np.diff(np.r_[starts, len(low)]))
+        n = np.diff(np.r_[starts, len(low)])
+        degree = np.repeat(n, n)
         shared = degree > 1
-        who, size, low, degree = who[shared], size[shared], low[shared], degree[shared]
-        order = np.argsort(who, kind="stable")
-        who, size, degree = who[order], size[order], degree[order].astype("<i4")
+        row, low, degree = row[shared], low[shared], degree[shared]
+        order = np.argsort(row, kind="stable")
+        row, degree = row[order], degree[order].astype("<i4")
+        who, size = names[row], sizes[row]
         value = (int(key[0]) << LOW) + low[order]
         edges = np.flatnonzero(np.r_[True, who[1:] != who[:-1], True]) if len(who) else [0]
         out = [(int(who[x]), int(size[x]), value[x:y].tobytes(), degree[x:y].tobytes()) for x, y in zip(edges, edges[1:], strict=False)]
@@ -305,30 +366,40 @@ def class_links(candidates: DataFrame, groups: DataFrame, threshold=THRESHOLD) -
     return keyed.groupBy("label", "left", "right").applyInPandas(of_group, "member bigint, hub bigint")
 
 
-def link_documents(docs: DataFrame, width: int = WIDTH, threshold=THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    seen = materialize(document_classes(docs, width), "classes")
-    own = seen.where("shingle IS NULL").select("doc_id", "n_shingles", "class")
+def linked(rows: DataFrame, width: int = WIDTH, threshold=THRESHOLD) -> DataFrame:
+    """Rows (id, doc_id, text) to id, doc_id, n_shingles, label: equal for the rows of a component; null for a row without shingles."""
+    spark = rows.sparkSession
+    seen = materialize(document_classes(rows, width), "classes")
+    own = seen.where("shingle IS NULL").select("id", "doc_id", "n_shingles", "class")
     total, n_docs = own.agg(F.sum("n_shingles"), F.count(F.lit(1))).first()
     buckets = max(64, math.ceil((total or 0) / BUCKET_ROWS))
     often = max(LEAST_HEAVY, n_docs // HEAVY_SHARE)
     # at most total / often rows: HEAVY_SHARE times the mean size of a set, whatever the number of documents
     heavy = seen.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > often).select("shingle")
     known = spark.sparkContext.broadcast(np.sort(heavy.toPandas()["shingle"].to_numpy(np.int64)))
-    shared = shared_shingles(inverted_rows(docs, buckets, known, width))
+    shared = shared_shingles(inverted_rows(rows, buckets, known, width, threshold))
     candidates = materialize(candidate_classes(shared, threshold), "candidates")
     groups = components(candidates.select(F.col("class").alias("member"), F.explode("firsts").alias("hub")))
     links = class_links(candidates, groups, threshold)
     labels = components(links).select(F.col("member").alias("class"), "label")
-    named = own.join(labels, "class", "left").select("doc_id", "n_shingles", F.coalesce("label", "class").alias("label"))
-    named = materialize(named, "named")
-    least = materialize(named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    found = named.where("n_shingles > 0").join(least, "label").select("doc_id", "n_shingles", "component_id")
-    return found.unionByName(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    label = F.when(F.col("n_shingles") > 0, F.coalesce("label", "class")).alias("label")
+    return materialize(own.join(labels, "class", "left").select("id", "doc_id", "n_shingles", label), "named")
+
+
+def link_documents(docs: DataFrame, width: int = WIDTH, threshold=THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    named = linked(docs.select(F.lit(0).cast("long").alias("id"), "doc_id", "text"), width, threshold)
+    least = materialize(named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+    found = named.where("label IS NOT NULL").join(least, "label").select("doc_id", "n_shingles", "component_id")
+    return found.unionByName(named.where("label IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold=THRESHOLD) -> DataFrame:
-    """docs without the rows that link to one of a smaller doc_id; all columns stay. Of rows with one doc_id all stay or go."""
-    kept = link_documents(docs, width, threshold).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of docs for each component, and the rows without shingles; all columns stay."""
+    rows = materialize(carried(docs, F.monotonically_increasing_id().alias("id")), "rows")
+    named = linked(rows.select("id", "row.doc_id", "row.text"), width, threshold)
+    hashes = rows.select("id", F.xxhash64("row.text").alias("hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "id"))
+    kept = named.where("label IS NOT NULL").join(hashes, "id").groupBy("label").agg(first.alias("x")).select("x.id")
+    kept = materialize(kept.unionByName(named.where("label IS NULL").select("id")), "kept")
+    return rows.join(kept, "id", "left_semi").select("row.*")
