@@ -1,41 +1,49 @@
 """Chroma audio fingerprints of media columns.
 
 Samples become frames of twelve pitch-class energies (windowed Fourier transform, each bin added to the class of its
-nearest semitone). Sixteen rectangle filters slide over the frames; an integral image gives each rectangle's sum in four
+nearest semitone). Frames are stretches of time, FRAME_S seconds each HOP_S seconds, so the sample rate makes no
+difference (above 2 * HIGHEST_HZ; below, higher tones are missing). A recording is read and framed in stretches of
+STRETCH frames. Sixteen rectangle filters slide over the frames; an integral image gives each rectangle's sum in four
 look-ups. Each filter's log ratio is cut to two bits, so a position becomes one packed 32-bit integer.
 
 Recordings with equal fingerprints are one class, so copies are searched once. Query classes and all classes meet at
-positions whose packed integers agree in a band of 16 bits and in all but SEED_ERRORS of the 32. Each offset so met is an
-alignment, and the share of wrong bits over its stretch decides. Of a pair's alignments that pass, the one with most
-votes (positions equal in all bits) holds, or below LEAST_VOTES the one with the smallest share of wrong bits.
+positions whose packed integers agree in a band of 16 bits and in all but SEED_ERRORS of the 32. Integers that repeat
+(silence, held tones) make heavy bands: their postings are counted first (4 x 65,536 counts at most) and split over as
+many salts as they need. Each offset so met is an alignment, and the share of wrong bits over its stretch decides. Of a
+pair's alignments that pass, the one with most votes (positions equal in all bits) holds, or below LEAST_VOTES the one
+with the smallest share of wrong bits.
 
 Defined results: null or unreadable media, and recordings shorter than a filter, have an empty fingerprint, are a class
-of their own each and match nothing; ties go to the smaller offset; rows of an equal id each get their own row;
-other columns are ignored; no rows in, no rows out.
+of their own each and match nothing; ties go to the smaller offset; rows of an equal id each get their own row and keep
+their own class, which is named by its least id (null if it has none); rows with a null id are no queries; other columns
+are ignored; no rows in, no rows out.
 """
 
 from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapane.llm.common import join_small, materialize
 
-FRAME, HOP = 512, 256
+FRAME_S, HOP_S = 0.128, 0.064
+STRETCH = 1024  # frames transformed at a time
+READ = 1 << 18  # samples read at a time
 WINDOW = 16  # frames under a filter at most
 LEAST_VOTES = 6  # from here on votes choose between alignments
 #: Bands of a packed integer, one of which agrees at a seed, and how many of all its bits may be wrong there.
 BANDS, SEED_ERRORS = (0xFFFF0000, 0x0000FFFF, 0xFF00FF00, 0x00FF00FF), 5
 MOST_ERROR = 0.25  # of the bits over the aligned stretch
 LEAST_OVERLAP = 16  # positions
+SALT_ROWS = 20_000  # postings of a band that meet in one place
 LOWEST_HZ, HIGHEST_HZ = 60.0, 3600.0
 NOTE_SAMPLES, TONE_RATE = 256, 4000
 #: (pattern, first pitch class, pitch classes, frames) of each filter, made by a rule that spreads them over all four.
@@ -63,43 +71,71 @@ TWELFTHS = [NormalDist().inv_cdf(k / 12) for k in range(1, 12)]
 GRAY = np.array([0, 1, 3, 2], np.int64)
 
 
-def wav_samples(data: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples and rate of a 16-bit WAV file; nothing if it can't be read."""
+Recording = tuple[Iterator[np.ndarray], int]  # mono samples, a stretch at a time, and their rate
+
+
+def wav_samples(data: bytes) -> Recording:
+    """Of a 16-bit WAV file; nothing if it can't be read."""
     try:
-        with wave.open(io.BytesIO(data)) as w:
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32)
-            return x.reshape(-1, w.getnchannels()).mean(axis=1), w.getframerate()
+        w = wave.open(io.BytesIO(data))
     except (wave.Error, EOFError, TypeError, ValueError):
-        return np.empty(0, np.float32), 1
+        return iter(()), 1
+    if w.getsampwidth() != 2 or w.getframerate() < 1 or w.getnchannels() < 1:
+        return iter(()), 1
+
+    def read():
+        n = w.getnchannels()
+        while data := w.readframes(READ):
+            x = np.frombuffer(data[: len(data) // (2 * n) * 2 * n], "<i2").astype(np.float32)
+            yield x.reshape(-1, n).mean(axis=1)
+
+    return read(), w.getframerate()
 
 
-def tones(vector) -> tuple[np.ndarray, int]:
+def tones(vector) -> Recording:
     """A recording of a vector: one note for each number, its pitch the twelfth of a normal distribution (of the vector's own spread) that the number is in."""
     if vector is None or not len(vector):
-        return np.empty(0, np.float32), TONE_RATE
+        return iter(()), TONE_RATE
     v = np.nan_to_num(np.asarray(vector, np.float64))
     pitch = np.searchsorted(TWELFTHS, v / (v.std() or 1.0))
     t = np.arange(NOTE_SAMPLES) / TONE_RATE
-    return np.sin(2 * np.pi * (220 * 2 ** (pitch / 12))[:, None] * t).ravel().astype(np.float32), TONE_RATE
+    return iter([np.sin(2 * np.pi * (220 * 2 ** (pitch / 12))[:, None] * t).ravel().astype(np.float32)]), TONE_RATE
 
 
 @lru_cache(maxsize=8)
-def _pitch_classes(rate: int) -> np.ndarray:
+def _pitch_classes(rate: int, length: int) -> np.ndarray:
     """frequency bins x 12"""
-    hz = np.fft.rfftfreq(FRAME, 1 / rate)
+    hz = np.fft.rfftfreq(length, 1 / rate)
     good = (hz >= LOWEST_HZ) & (hz <= HIGHEST_HZ)
     which = np.round(12 * np.log2(np.maximum(hz, 1) / 440)).astype(int) % 12
     return (good[:, None] & (which[:, None] == np.arange(12))).astype(np.float32)
 
 
-def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
-    """frames x 12, each frame adding up to 1 (0 where silent)."""
-    n = (len(samples) - FRAME) // HOP + 1
-    if n < 1:
-        return np.empty((0, 12), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP] * np.hanning(FRAME).astype(np.float32)
-    energy = (np.abs(np.fft.rfft(frames, axis=1)) ** 2).astype(np.float32) @ _pitch_classes(rate)
-    return energy / np.maximum(energy.sum(axis=1, keepdims=True), 1e-9)
+def chroma(samples: Iterator[np.ndarray], rate: int) -> np.ndarray:
+    """frames x 12, each frame adding up to 1 (0 where silent). Frame i begins at the sample nearest to i * HOP_S."""
+    length = max(2, round(FRAME_S * rate))
+    window, classes = np.hanning(length).astype(np.float32), _pitch_classes(rate, length)
+    out, held, at, done = [np.empty((0, 12), np.float32)], np.empty(0, np.float32), 0, 0  # held begins at sample at
+
+    def frames(n: int) -> np.ndarray:
+        starts = np.round(np.arange(done, done + n) * (HOP_S * rate)).astype(np.int64) - at
+        parts = np.lib.stride_tricks.sliding_window_view(held, length)[starts] * window
+        energy = (np.abs(np.fft.rfft(parts, axis=1)) ** 2).astype(np.float32) @ classes
+        return energy / np.maximum(energy.sum(axis=1, keepdims=True), 1e-9)
+
+    for block in samples:
+        held = np.concatenate([held, block])
+        # frames whose end is here
+        last = int((at + len(held) - length + 0.5) / (HOP_S * rate)) + 2
+        while last >= done and round(last * (HOP_S * rate)) + length > at + len(held):
+            last -= 1
+        while done <= last:
+            n = min(STRETCH, last - done + 1)
+            out.append(frames(n))
+            done += n
+        drop = max(0, min(len(held), round(done * (HOP_S * rate)) - at))
+        held, at = held[drop:], at + drop
+    return np.concatenate(out)
 
 
 def fingerprint(frames: np.ndarray) -> np.ndarray:
@@ -131,36 +167,50 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(media: DataFrame, id_column: str, column: str, read: Callable[[object], tuple[np.ndarray, int]] = wav_samples) -> DataFrame:
+def fingerprints(media: DataFrame, id_column: str, column: str, read: Callable[[object], Recording] = wav_samples) -> DataFrame:
     """id, prints (array of packed integers)."""
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"id": b["id"].astype("int64"), "prints": [fingerprint(chroma(*read(x))) for x in b["media"]]})
+            prints = [fingerprint(chroma(*read(x))) for x in b.column(1).to_pandas()]
+            ends = pa.array(np.cumsum([0, *map(len, prints)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *prints])))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "prints"])
 
     rows = media.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("media"))
-    return rows.where("id IS NOT NULL").mapInPandas(run, "id bigint, prints array<bigint>")
-
-
-def classes(printed: DataFrame) -> DataFrame:
-    """id, class_id: the least id with the same fingerprint; an empty one is a class of its own."""
-    keyed = printed.select("id", F.when(F.size("prints") > 0, F.sha2(F.array_join(F.col("prints").cast("array<string>"), ","), 256)).otherwise(F.concat(F.lit("-"), F.col("id"))).alias("key"))
-    least = materialize(keyed.groupBy("key").agg(F.min("id").alias("class_id")), "audio-classes")
-    return keyed.join(least, "key").select("id", "class_id")
-
-
-def align(printed: DataFrame, members: DataFrame, is_query) -> DataFrame:
-    """query, match (classes), shift, votes, bit_errors (share): alignments of the classes with a query row against all other classes."""
-    prints = materialize(printed.join(members.where("id = class_id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "audio-prints")
-    asked = members.where(is_query).select(F.col("class_id").alias("id")).distinct()
-    keys = F.array(*(F.col("print").bitwiseAND(F.lit(mask).cast("long")) + F.lit(i << 32) for i, mask in enumerate(BANDS)))
-    posted = lambda df, a, p, x: df.select(F.col("id").alias(a), F.posexplode("prints").alias(p, "print")).select(a, p, F.col("print").alias(x), F.explode(keys).alias("key"))
-    queries = materialize(prints.join(asked, "id", "left_semi"), "audio-queries")
-    left, right = posted(queries, "query", "q_at", "q_print"), posted(prints, "match", "m_at", "m_print").withColumnRenamed("key", "m_key")
-    seeds = left.join(right, (F.col("key") == F.col("m_key")) & (F.col("query") != F.col("match")) & (F.bit_count(F.col("q_print").bitwiseXOR(F.col("m_print"))) <= SEED_ERRORS))
-    found = materialize(seeds.select("query", "match", (F.col("m_at") - F.col("q_at")).alias("shift")).distinct(), "audio-seeds")
-    both = found.join(prints.select(F.col("id").alias("match"), F.col("prints").alias("b")), "match")
-    both = join_small(both, queries.select(F.col("id").alias("query"), F.col("prints").alias("a")), "query", "inner")
+    return rows.mapInArrow(run, "id bigint, prints array<bigint>")
+
+
+def keyed(printed: DataFrame) -> DataFrame:
+    """Adds key: a 64-bit hash of the fingerprint; null for an empty one."""
+    return printed.withColumn("key", F.when(F.size("prints") > 0, F.xxhash64("prints")))
+
+
+def bands(prints: DataFrame, name: str) -> DataFrame:
+    """band, {name}, {name}_at, {name}_print: the postings of every position."""
+    each = F.array(*(F.col("print").bitwiseAND(F.lit(mask).cast("long")) + F.lit(i << 32) for i, mask in enumerate(BANDS)))
+    rows = prints.select(F.col("key").alias(name), F.posexplode("prints").alias(f"{name}_at", "print"))
+    return rows.select(F.explode(each).alias("band"), name, f"{name}_at", F.col("print").alias(f"{name}_print"))
+
+
+def seeds(prints: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, match, shift: the offsets at which a query's position and another class's agree well enough."""
+    postings = bands(prints, "match")
+    # at most four times 65,536 rows
+    heavy = materialize(postings.groupBy("band").count().where(F.col("count") > SALT_ROWS).select("band", F.ceil(F.col("count") / SALT_ROWS).alias("salts")), "audio-heavy")
+    salts = lambda df: df.join(F.broadcast(heavy), "band", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    right = salts(postings).withColumn("salt", F.pmod(F.xxhash64("match", "match_at"), F.col("salts"))).drop("salts")
+    left = salts(bands(queries, "query")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    both = left.join(right, ["band", "salt"])
+    near = (F.col("query") != F.col("match")) & (F.bit_count(F.col("query_print").bitwiseXOR(F.col("match_print"))) <= SEED_ERRORS)
+    return both.where(near).select("query", "match", (F.col("match_at") - F.col("query_at")).alias("shift")).distinct()
+
+
+def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, match (keys of classes), shift, votes, bit_errors (share): alignments of the queries with the other classes; both tables have key, prints."""
+    found = materialize(seeds(prints, queries), "audio-seeds")
+    both = found.join(prints.select(F.col("key").alias("match"), F.col("prints").alias("b")), "match")
+    both = join_small(both, queries.select(F.col("key").alias("query"), F.col("prints").alias("a")), "query", "inner")
     begin = F.greatest(F.lit(0), -F.col("shift"))
     n = F.least(F.size("a") - begin, F.size("b") - begin - F.col("shift"))
     both = both.withColumn("begin", begin).withColumn("n", n).where(F.col("n") >= LEAST_OVERLAP)
@@ -176,10 +226,18 @@ def align(printed: DataFrame, members: DataFrame, is_query) -> DataFrame:
 
 def search(printed: DataFrame, every: int = 20) -> DataFrame:
     """One row per recording: id, class_id, n_prints, is_query, n_matches and matches (of its class, for queries: ids divisible by every)."""
-    printed = materialize(printed, "audio")
-    members = materialize(classes(printed), "audio-members")
-    pairs = align(printed, members, F.col("class_id").isNotNull() & (F.col("id") % every == 0))
-    lists = materialize(pairs.groupBy("query").agg(F.sort_array(F.collect_list(F.struct(F.col("match").alias("class_id"), "shift", "votes", "bit_errors"))).alias("matches")), "audio-matches")
-    out = printed.select("id", F.size("prints").cast("long").alias("n_prints")).join(members.dropDuplicates(["id"]), "id").withColumn("is_query", F.col("id") % every == 0)
-    out = out.join(lists.withColumnRenamed("query", "class_id"), "class_id", "left")
-    return out.select("id", "class_id", "n_prints", "is_query", F.when(F.col("is_query"), F.coalesce(F.size("matches"), F.lit(0))).cast("long").alias("n_matches"), F.when(F.col("is_query"), F.col("matches")).alias("matches"))
+    printed = materialize(keyed(printed), "audio")
+    is_query = F.coalesce(F.col("id") % every == 0, F.lit(False))
+    held = printed.where("key IS NOT NULL")
+    classes = materialize(held.groupBy("key").agg(F.min("id").alias("class_id"), F.max(is_query).alias("asked"), F.first("prints").alias("prints")), "audio-classes")
+    queries = materialize(classes.where("asked").select("key", "prints"), "audio-queries")
+    pairs = align(classes.select("key", "prints"), queries)
+    names = classes.select(F.col("key").alias("match"), "class_id")
+    listed = F.sort_array(F.collect_list(F.struct("class_id", "shift", "votes", "bit_errors"))).alias("matches")
+    lists = materialize(pairs.join(names, "match").groupBy(F.col("query").alias("key")).agg(listed), "audio-matches")
+    out = printed.select("id", "key", F.size("prints").cast("long").alias("n_prints"), is_query.alias("is_query"))
+    out = out.join(classes.select("key", "class_id"), "key", "left").join(lists, "key", "left")
+    matches = F.when(F.col("is_query"), F.col("matches"))
+    n = F.when(F.col("is_query"), F.coalesce(F.size("matches"), F.lit(0))).cast("long")
+    class_id = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id"))
+    return out.select("id", class_id.alias("class_id"), "n_prints", "is_query", n.alias("n_matches"), matches.alias("matches"))
