@@ -28,6 +28,7 @@ from terrapane.llm.common import text_of
 #: Fixed value: the pattern that splits text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MOST_CACHED = 200_000
+LONGEST_CACHED = 64  # characters of a piece; longer ones are encoded each time
 BATCH_CHARS = 2_000_000
 NEVER = 1 << 30
 
@@ -40,16 +41,18 @@ def byte_alphabet() -> list[str]:
 
 
 class Memo(dict):
-    """A bounded cache of a function's results."""
+    """A cache of a function's results, bounded in entries and in the length of a text."""
 
     def __init__(self, of, most: int = MOST_CACHED):
         super().__init__()
         self.of, self.most = of, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[key] = self.of(key)
+        out = self.of(key)
+        if not isinstance(key, str) or len(key) <= LONGEST_CACHED:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = out
         return out
 
 
