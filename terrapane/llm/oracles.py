@@ -111,10 +111,12 @@ def _chat() -> str:
     escaped = rf"regexp_replace(text, {quoted(control)}, '\1\2\\\3', 'g')"
     both = quoted("</s>[INST] ok [/INST]")
     frame = len(chat.START) + 1 + len(chat.END)
+    order = "ORDER BY turn, role || chr(10) || escaped || '<|im_end|>'"
     return (
         f"WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', {both} UNION ALL SELECT -1, 1, 'assistant', {both}), "
-        "g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS whole, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss, "
-        f"CAST(sum({frame} + length(role) + length({escaped})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id) "
+        f"e AS (SELECT *, {escaped} AS escaped FROM c), "
+        f"g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' {order}) AS whole, coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '') AS loss, "
+        f"CAST(sum({frame} + length(role) + length(escaped)) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id) "
         "SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"
     )
 
@@ -123,18 +125,26 @@ def _chat() -> str:
 
 
 def _licenses() -> str:
-    known = ", ".join(f"({quoted(licenses._plain(s))}, {quoted(n)})" for n, s in licenses.SENTENCES)
-    rules = sorted(licenses.RULES, key=lambda r: -len(r[1]))
+    """Pieces stand between bars of their own ("| a | | b |"), so that runs need no look-ahead."""
+    lib = licenses
+    known = sorted(lib.known_plain(lib.SENTENCES).items(), key=lambda x: (-len(x[0]), x[0]))
+    runs = "|".join(lib.sentence_pattern(p, r" (?:\| \| )?") for p, _ in known)
+    words = "|".join(sorted({max(p.split(), key=len) for p, _ in known}))
+    fixed = "MAP {" + ", ".join(f"{quoted(p)}: {quoted(n)}" for p, n in known if "*" not in p) + "}"
+    loose = " ".join(f"WHEN regexp_full_match(x, {quoted(lib.sentence_pattern(p, ' '))}) THEN {quoted(n)}" for p, n in known if "*" in p)
+    rules = sorted(lib.RULES, key=lambda r: -len(r[1]))
     text = "' ' || array_to_string(found, '  ') || ' '"
     for i, (_, names) in enumerate(rules):
         text = f"replace({text}, {quoted(' ' + '  '.join(names) + ' ')}, ' @{i} ')"
     names = "[" + ", ".join(quoted(r[0]) for r in rules) + "]"
+    cut = rf"regexp_replace(regexp_replace(text, '(^|[\r\n])[ \t]*(?:dnl|rem|REM|C)[ \t]+', '\1', 'g'), '([.!?:;])[ \t]+([A-Z])', E'\\1\n\\2', 'g')"
+    plain = rf"regexp_replace(regexp_replace(lower({cut}), '[^a-z0-9\r\n]+', ' ', 'g'), ' ?[\r\n][ \r\n]*', ' | | ', 'g')"
     return (
-        rf"WITH s AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?:;])[ \t]+([A-Z])', E'\\1\n\\2', 'g'), '[\r\n]+')) AS x, generate_subscripts(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?:;])[ \t]+([A-Z])', E'\\1\n\\2', 'g'), '[\r\n]+'), 1) AS i FROM documents), "
-        f"k AS (SELECT * FROM (VALUES {known}) AS t(plain, name)), "
-        "f AS (SELECT doc_id, list(name ORDER BY i) AS found FROM s JOIN k ON trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) = plain GROUP BY doc_id), "
-        rf"h AS (SELECT doc_id, CAST(len(found) AS BIGINT) AS n_sentences, list_transform(regexp_extract_all({text}, '@(\d+)', 1), lambda v: {names}[CAST(v AS INT) + 1]) AS licenses FROM f) "
-        "SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, CAST(coalesce(len(licenses), 0) AS BIGINT) AS n_licenses, coalesce(array_to_string(licenses, ','), '') AS licenses FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id"
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), p AS (SELECT doc_id, '| ' || trim({plain}) || ' |' AS pieces FROM d WHERE regexp_matches(lower(text), {quoted(words)})), "
+        rf"h AS (SELECT doc_id, list_transform(regexp_extract_all(pieces, {quoted(rf'\| ({runs}) \|')}, 1), lambda v: replace(v, '| ', '')) AS hits FROM p), "
+        f"f AS (SELECT doc_id, list_transform(hits, lambda x: coalesce(m[x], CASE {loose} END)) AS found FROM h, (SELECT {fixed} AS m) WHERE len(hits) > 0), "
+        rf"r AS (SELECT doc_id, CAST(len(found) AS BIGINT) AS n_sentences, list_transform(regexp_extract_all({text}, '@(\d+)', 1), lambda v: {names}[CAST(v AS INT) + 1]) AS licenses FROM f) "
+        "SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, CAST(coalesce(len(licenses), 0) AS BIGINT) AS n_licenses, coalesce(array_to_string(licenses, ','), '') AS licenses FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id"
     )
 
 
@@ -146,7 +156,8 @@ def _fences(name: str, keys: tuple[str, ...]) -> str:
     part = f"PARTITION BY {by}metric"
     slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in quality.METRICS.items()) + " END"
     two = ", ".join(f"'{m}'" for m, (_, both) in quality.METRICS.items() if both)
-    q = lambda p: f"min(CASE WHEN 100 * upto >= {p} * total THEN bin END) AS q{p}"
+    edge = "((bin - 64 * greatest(0, bin // 64 - 1)) << greatest(0, bin // 64 - 1))"
+    q = lambda p: f"min(CASE WHEN 100 * upto >= {p} * total THEN {edge} END) AS q{p}"
     high = f"q90 + {quality.FENCE} * (q90 - q50) + {slack}"
     low = f"CASE WHEN metric IN ({two}) THEN q10 - {quality.FENCE} * (q50 - q10) - {slack} ELSE -1 END"
     cols = ", ".join(f"max(CASE WHEN metric = '{m}' THEN {side} END) AS {label}_{m}" for label, side in (("low", low), ("high", high)) for m in quality.METRICS)
@@ -156,10 +167,20 @@ def _fences(name: str, keys: tuple[str, ...]) -> str:
     )
 
 
+def _narrowest(side: str, m: str) -> str:
+    """The rule of quality.thresholds: the narrowest of the group's, its language's and (one-sided metrics) all documents' fences."""
+    x, pick = f"{side}_{m}", "greatest" if side == "low" else "least"
+    near = f"{pick}(CASE WHEN own.n >= {quality.LEAST} THEN own.{x} END, CASE WHEN la.n >= {quality.LEAST} THEN la.{x} END)"
+    return f"coalesce({near}, al.{x}) AS {x}" if quality.METRICS[m][1] else f"{pick}({near}, al.{x}) AS {x}"
+
+
 def _quality() -> str:
     within = " AND ".join(f"coalesce({m} >= low_{m} AND {m} <= high_{m}, true)" for m in quality.METRICS)
-    pick = ", ".join(f"CASE WHEN own.n >= {quality.LEAST} THEN own.{x} WHEN la.n >= {quality.LEAST} THEN la.{x} ELSE al.{x} END AS {x}" for x in (f"{s}_{m}" for s in ("low", "high") for m in quality.METRICS))
-    share = lambda a, b: f"CAST(least({quality.BINS}, 1000 * {a} // greatest({b}, 1)) AS BIGINT)"
+    pick = ", ".join(_narrowest(side, m) for side in ("low", "high") for m in quality.METRICS)
+    share = lambda a, b: f"CAST(1000 * {a} // greatest({b}, 1) AS BIGINT)"
+    e = lambda m: f"greatest(0, length(bin({m})) - 7)"
+    bins = ", ".join(f"64 * {e(m)} + ({m} >> {e(m)})" for m in quality.METRICS)
+    names = ", ".join(f"'{m}'" for m in quality.METRICS)
     return rf"""
 WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -173,9 +194,9 @@ WITH w AS (
     CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id
 ), b AS (
   SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEAT_PERCENT} * n_words AS base_failed, {share("n_symbols", "word_chars")} AS symbols, {share("n_dup_lines", "n_lines")} AS dup_lines,
-    {share("n_repeat_words", "n_words")} AS repeats, CAST(least({quality.BINS}, 10 * word_chars // greatest(n_words, 1)) AS BIGINT) AS word_length FROM m
+    {share("n_repeat_words", "n_words")} AS repeats, CAST(10 * word_chars // greatest(n_words, 1) AS BIGINT) AS word_length FROM m
 ), sk AS (
-  SELECT lang, source, metric, bin, count(*) AS n FROM (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS metric, unnest([symbols, dup_lines, repeats, word_length]) AS bin FROM b WHERE NOT base_failed) GROUP BY ALL
+  SELECT lang, source, metric, bin, count(*) AS n FROM (SELECT lang, source, unnest([{names}]) AS metric, unnest([{bins}]) AS bin FROM b WHERE NOT base_failed) GROUP BY ALL
 ), {_fences("own", ("lang", "source"))}, {_fences("la", ("lang",))}, {_fences("al", ())},
 lim AS (SELECT own.lang, own.source, {pick} FROM own LEFT JOIN la ON own.lang IS NOT DISTINCT FROM la.lang LEFT JOIN al ON true)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {within} AS kept FROM b LEFT JOIN lim ON b.lang IS NOT DISTINCT FROM lim.lang AND b.source IS NOT DISTINCT FROM lim.source

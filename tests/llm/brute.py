@@ -53,6 +53,47 @@ def quality(text):
     return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), repeat, failed
 
 
+def licenses(text, sentences, rules, longest_part):
+    """n_sentences, licenses: word by word, without the operator's regexes."""
+    plain = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).split()
+    words, edges = [], {0}
+    for line in re.split(r"[\r\n]+", text):
+        for piece in re.split(r"(?<=[.!?:;])[ \t]+(?=[A-Z])", line):
+            words += plain(piece)
+            edges.add(len(words))
+    known = {}
+    for name, s in sentences:
+        key = tuple(w for part in re.split("(<[^>]*>)", s) for w in (["*"] if part.startswith("<") else plain(part)))
+        known.setdefault(key, name)
+
+    def ends(key, at):
+        """Where the sentence may end if it begins at this word."""
+        if not key:
+            return {at}
+        if key[0] == "*":
+            return set().union(*(ends(key[1:], at + k) for k in range(1, longest_part + 1) if at + k <= len(words)), set())
+        return ends(key[1:], at + 1) if at < len(words) and words[at] == key[0] else set()
+
+    found, at = [], 0
+    order = sorted(known, key=lambda k: (-len(" ".join(k)), " ".join(k)))
+    while at < len(words):
+        best = next(((known[k], min(e)) for k in order if at in edges and (e := ends(k, at) & edges)), None)
+        if best:
+            found.append(best[0])
+        at = best[1] if best else at + 1
+    taken, named = [None] * len(found), []
+    for spdx, names in sorted(rules, key=lambda r: -len(r[1])):
+        i = 0
+        while i + len(names) <= len(found):
+            if not any(taken[i : i + len(names)]) and tuple(found[i : i + len(names)]) == names:
+                taken[i : i + len(names)] = [True] * len(names)
+                named.append((i, spdx))
+                i += len(names)
+            else:
+                i += 1
+    return len(found), [x for _, x in sorted(named)]
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
