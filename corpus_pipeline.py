@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from terrapane.llm import bpe, classifier, jaccard, mixing, secrets
-from terrapane.llm.common import materialize, n_written, release, table
+from terrapane.llm.common import materialize, recorded, release, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        begun = n_written()
-        docs = materialize(stage(spark, docs, sf_dir), name)
-        release(spark, begun)  # the stage's own steps; its result stays
+        with recorded() as steps:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, steps[:-1])  # the stage's own steps; its result stays
     return STAGES[-1][1](spark, docs, sf_dir)
