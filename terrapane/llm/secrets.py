@@ -5,8 +5,8 @@ Each rule's regex is turned into a Boolean trigram query (an OR of ANDs). One pa
 bit_or, the rules whose query holds become candidates, and only these run their regex over the text. A rule with a
 branch that has no trigram of its own (hex runs) scans every text.
 
-A text that holds the rarest trigram of no branch can't be a candidate, so it stays where it is read (only full scans
-run over it) and never meets the index; the others alone are joined with the candidates.
+Up to MOST_BROADCAST candidates (counted) go to the texts. More are joined by a shuffle, and then a text that holds the
+rarest trigram of no branch, which can't be a candidate, stays where it is read, and only full scans run over it.
 
 Defined results: null text counts as empty (no spans); rows of an equal doc_id each get their own row, and share
 candidates, which only costs a regex run; other columns are ignored by `scan_secrets` and kept by `redact`, whatever
@@ -16,13 +16,14 @@ their names; no rows in, no rows out. Positions are code points, the end is excl
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 from re import IGNORECASE, _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import carried, join_small, materialize, text_of
+from terrapane.llm.common import carried, let, materialize, text_of
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,7 @@ RULES = (
 BASE = ("assign", "access", "hex")
 SPAN = "array<struct<start:bigint,place:int,end:bigint,kind:string>>"
 MOST_STRINGS = 32
+MOST_BROADCAST = 200_000  # candidates
 #: Fixed value: letters of English text from the most to the least frequent.
 FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
 
@@ -167,9 +169,6 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """row (all columns of docs), text, and secret_spans, sorted by start and then by the rules' order."""
     rows = carried(docs, "doc_id", "text")
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    asked = F.lit(False)
-    for g in probes(queries):
-        asked = asked | F.lower(text_of()).contains(g)
     none = F.array().cast(SPAN)
 
     def spans(go) -> Column:
@@ -177,13 +176,16 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return F.sort_array(F.concat(none, *parts)).alias("secret_spans")
 
     full = lambda r: None if r.kind in queries else text_of().rlike(r.pattern)
-    plain = rows.where(~asked).select("row", "text", spans(full))
+    listed = lambda r: F.coalesce(F.col(f"is_{r.kind}"), F.lit(False)) if r.kind in queries else full(r)
     if not queries:
-        return plain
+        return rows.select("row", "text", spans(full))
     found = materialize(candidates(docs, queries).withColumnRenamed("doc_id", "candidate_id"), "candidates")
-    both = join_small(rows.where(asked), found, F.col("doc_id").eqNullSafe(F.col("candidate_id")))
-    listed = lambda r: F.coalesce(F.col(f"is_{r.kind}"), F.lit(False)) if r.kind in queries else full(r)
-    return plain.unionByName(both.select("row", "text", spans(listed)))
+    same = F.col("doc_id").eqNullSafe(F.col("candidate_id"))
+    if found.count() <= MOST_BROADCAST:  # nothing is shuffled
+        return rows.join(F.broadcast(found), same, "left").select("row", "text", spans(listed))
+    asked = let(F.lower(text_of()), lambda low: reduce(Column.__or__, (low.contains(g) for g in probes(queries))))
+    both = rows.where(asked).join(found, same, "left").select("row", "text", spans(listed))
+    return rows.where(~asked).select("row", "text", spans(full)).unionByName(both)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

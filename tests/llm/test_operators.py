@@ -485,7 +485,9 @@ HARD = [
 ]
 
 
-def test_secrets_equal_brute_force(spark, docs, texts):
+@pytest.mark.parametrize("most", [0, secrets.MOST_BROADCAST])
+def test_secrets_equal_brute_force(spark, docs, texts, most, monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_BROADCAST", most)  # 0: candidates are joined by a shuffle
     cases = texts | {10_000 + i: t for i, t in enumerate(HARD)} | {20_000: None}
     df = spark.createDataFrame(list(cases.items()), "doc_id long, text string")
     for r in secrets.secret_digest(secrets.scan_secrets(df)).collect():
