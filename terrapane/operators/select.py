@@ -18,6 +18,10 @@ from terrapane.scratch import written
 
 CLASSES = [column_name(c) for c in CODES]
 KEPT_SHARE, PHASE1, PHASE2 = 0.9, 0.4, 0.1
+TOP = 10_000  # rows that one task may order
+PREFIX = 4  # hexadecimal digits of a hash's prefix
+PREFIXES = 16**PREFIX
+SHARE_BITS = 20
 
 
 def progressive_target(base: list[float], bias: float, weights=WEIGHTS, ceiling: list[float] | None = None, most_bias: float = max(BIAS.values())) -> list[float]:
@@ -34,19 +38,37 @@ def hashed(seed: int, key: str = "tile_id") -> Column:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str = "tile_id") -> DataFrame:
-    """n rows, or all of fewer."""
-    return df.orderBy(hashed(seed, key), key).limit(n)
+    """n rows, or all of fewer: those of the smallest hashes.
+
+    Beyond TOP rows the cut is found from counts per hash prefix (PREFIXES at most), so that no task sorts the sample:
+    rows of smaller prefixes are in, and only those of the prefix at the cut are ordered.
+    """
+    if n <= TOP:
+        return df.orderBy(hashed(seed, key), key).limit(n)
+    prefix = F.substring(hashed(seed, key), 1, PREFIX)
+    left = n
+    for r in df.groupBy(prefix.alias("prefix")).count().orderBy("prefix").collect():
+        if r["count"] >= left:
+            edge = df.where(prefix == r["prefix"]).orderBy(hashed(seed, key), key).limit(left)
+            return df.where(prefix < r["prefix"]).unionByName(edge)
+        left -= r["count"]
+    return df
 
 
 def sample_share(df: DataFrame, per_mille: int, seed: int, key: str = "tile_id") -> DataFrame:
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000)) < per_mille)
+    """About per_mille of a thousand rows: those whose hash begins, as a number of SHARE_BITS bits, below that share."""
+    digits = -(-SHARE_BITS // 4)
+    number = F.shiftright(F.conv(F.substring(hashed(seed, key), 1, digits), 16, 10).cast("long"), 4 * digits - SHARE_BITS)
+    return df.where(number * 1000 < per_mille * (1 << SHARE_BITS))
 
 
 def top_per_class(tiles: DataFrame, need: dict[str, int], thresholds=THRESHOLDS) -> DataFrame:
     """tile_id, class, place: for each class the tiles above its threshold with the greatest share; a tile that leads in two classes counts for its first."""
     long = tiles.select("tile_id", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("class"), F.col(c).alias("share"), F.lit(t).alias("least"), F.lit(need.get(c, 0)).alias("need")) for i, (c, t) in enumerate(zip(CLASSES, thresholds, strict=True))))).alias("x")).select("tile_id", "x.*")
     above = long.where((F.col("share") >= F.col("least")) & (F.col("need") > 0))
-    ranked = above.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("share"), "tile_id"))).where("place <= need")
+    # the bound is a literal, so that each task sends on no more rows of a class than the greatest need
+    ranked = above.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("share"), "tile_id"))).where(F.col("place") <= max([*need.values(), 0]))
+    ranked = ranked.where("place <= need")
     first = F.row_number().over(Window.partitionBy("tile_id").orderBy("i"))
     return ranked.withColumn("first", first).where("first = 1").select("tile_id", "class", "place")
 
@@ -66,33 +88,56 @@ def phase_two(tiles: DataFrame, n: int, seed: int) -> DataFrame:
     return sample_rows(tiles, 6 * n, seed).orderBy(F.desc("entropy"), "tile_id").limit(n).select("tile_id")
 
 
+def batches(tiles: DataFrame, batch: int, seed: int) -> DataFrame:
+    """tiles in hashed order, cut to batches of so many: adds batch. Places come from counts per hash prefix and the order within a prefix, not from one sort of all."""
+    rows = tiles.withColumn("hash", hashed(seed)).withColumn("prefix", F.substring("hash", 1, PREFIX))
+    counts = rows.groupBy("prefix").count()
+    before = counts.select("prefix", (F.sum("count").over(Window.orderBy("prefix")) - F.col("count")).alias("before"))  # PREFIXES rows at most
+    within = F.row_number().over(Window.partitionBy("prefix").orderBy("hash", "tile_id")) - 1
+    placed = rows.withColumn("within", within).join(F.broadcast(before), "prefix")
+    return placed.withColumn("batch", F.floor((F.col("before") + F.col("within")) / batch).cast("long")).drop("hash", "prefix", "within", "before")
+
+
 def phase_three(tiles: DataFrame, n: int, target: list[float], sums: list[float], count: int, batch: int, pool: int, seed: int) -> DataFrame:
-    """tile_id: batch by batch, the batch of a random pool that brings the running mix nearest to the target. A quarter of a pool's batches are taken before the next is drawn, so the driver sees pool / batch rows of sums a time."""
-    left, taken, rounds = tiles, None, 0
-    while n > 0:
-        drawn = sample_rows(left, pool, seed + rounds)
-        order = Window.orderBy(hashed(seed + rounds), "tile_id")  # of a pool, which is a parameter
-        numbered = drawn.withColumn("batch", F.floor((F.row_number().over(order) - 1) / batch))
-        numbered = written(numbered, "pool")
-        mixes = numbered.groupBy("batch").agg(F.count(F.lit(1)).alias("size"), *(F.sum(c).alias(c) for c in CLASSES)).where(F.col("size") >= min(batch, n)).orderBy("batch").collect()
-        if not mixes:
-            break
-        chosen, size = [], 0
-        for _ in range(max(1, len(mixes) // 4)):
-            best = min((m for m in mixes if m["batch"] not in chosen), key=lambda m: sum(((s + m[c]) / (count + m["size"]) - t) ** 2 for c, s, t in zip(CLASSES, sums, target, strict=True)))
-            chosen.append(best["batch"])
-            size += best["size"]
+    """tile_id: batch by batch, the batch of a random pool that brings the running mix nearest to the target.
+
+    All tiles get one hashed order; a batch is the next so many of it and a pool the next so many batches. The batches'
+    sums are written once and streamed to the driver in order, a partition at a time; it takes up to a quarter of each
+    pool before it goes on, and starts over with what is left. What the driver keeps is the numbers of taken batches.
+    """
+    numbered = written(batches(tiles, batch, seed), "batches")
+    mixes = numbered.groupBy("batch").agg(F.count(F.lit(1)).alias("size"), *(F.sum(c).alias(c) for c in CLASSES))
+    mixes = written(mixes.repartitionByRange("batch").sortWithinPartitions("batch"), "mixes").orderBy("batch")
+    width, most, taken = max(1, pool // batch), min(batch, n), {}  # taken: batch to how many of its tiles
+
+    def quarter(of: list) -> None:
+        nonlocal n, sums, count
+        for _ in range(max(1, len(of) // 4)):
+            if n <= 0:
+                return
+            best = min((m for m in of if m["batch"] not in taken), key=lambda m: (sum(((s + m[c]) / (count + m["size"]) - t) ** 2 for c, s, t in zip(CLASSES, sums, target, strict=True)), m["batch"]))
+            taken[best["batch"]] = min(best["size"], n)
+            n -= taken[best["batch"]]
             sums, count = [s + best[c] for s, c in zip(sums, CLASSES, strict=True)], count + best["size"]
-            if size >= n or len(chosen) == len(mixes):
+
+    while n > 0:
+        held, seen = [], len(taken)
+        for m in mixes.toLocalIterator():
+            if m["size"] >= most and m["batch"] not in taken:
+                held.append(m)
+            if len(held) == width:
+                quarter(held)
+                held = []
+            if n <= 0:
                 break
-        new = numbered.where(F.col("batch").isin(chosen))
-        if size > n:  # the last batch is cut to what is still needed
-            new = new.orderBy(F.col("batch") == chosen[-1], "tile_id").limit(n)
-        new = new.select("tile_id")
-        taken = written(new if taken is None else taken.unionByName(new), "taken")
-        n, rounds = n - min(size, n), rounds + 1
-        left = tiles.join(taken, "tile_id", "left_anti")
-    return taken if taken is not None else tiles.limit(0).select("tile_id")
+        if held and n > 0:
+            quarter(held)
+        if len(taken) == seen:
+            break
+    spark = tiles.sparkSession
+    chosen = spark.createDataFrame(list(taken.items()), "batch bigint, most bigint")
+    place = F.row_number().over(Window.partitionBy("batch").orderBy("tile_id"))
+    return numbered.join(chosen, "batch").withColumn("place", place).where("place <= most").select("tile_id")
 
 
 def select_subsets(tiles: DataFrame, targets: dict[str, list[float]], sizes: dict[str, int], batch: int = 25, pool: int = 2500, seed: int = 42) -> DataFrame:

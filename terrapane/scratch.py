@@ -5,19 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df's rows written to the shared folder that the session names in spark.checkpoint.dir, and read back: the plan starts anew from files that any executor can read. A local session without the setting gets a temporary folder."""
-    spark = df.sparkSession
+def scratch_base(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir. A local session without the setting gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-scratch-"))
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    return base
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df's rows written to the shared folder and read back: the plan starts anew from files that any executor can read."""
+    spark = df.sparkSession
+    path = f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
