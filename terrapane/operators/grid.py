@@ -1,17 +1,23 @@
 """Grids: tiles of UTM zones, of the poles, of bounds; geographic filters; hierarchy pruning.
 
-Tiles are enumerated by exploding one row per zone to columns and then to rows of tiles, so a large grid spreads over
-tasks without a cross join, and a query that needs no geometry never computes it.
+Tiles are enumerated by exploding one row per zone to columns, which are spread over tasks by the grid's size, and then
+to rows of tiles; so a large grid fills a cluster without a cross join, and a query that needs no geometry never computes
+it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapane.dims import LEVELS, MARGIN, POLAR_HALF, UTM_X0, UTM_X1, UTM_Y0_SOUTH, UTM_Y1_NORTH
 from terrapane.functions import projection, tileid
-from terrapane.functions.geometry import boxes_overlap
+from terrapane.functions.geometry import CORNERS, boxes_overlap
+
+
+TASK_TILES = 2_000_000  # candidates enumerated by a task
 
 
 def utm_indices(zones: DataFrame, level: int) -> DataFrame:
@@ -19,6 +25,7 @@ def utm_indices(zones: DataFrame, level: int) -> DataFrame:
     nx = -(-(UTM_X1 - UTM_X0) // level)
     ny_north, ny_south = -(-UTM_Y1_NORTH // level), -(-UTM_Y0_SOUTH // level)
     xs = zones.withColumn("x_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nx - 1).cast("long"))))
+    xs = xs.repartition(max(1, -(-120 * nx * ny_south // TASK_TILES)), "zone", "x_idx")
     first = F.when(F.col("south"), F.lit(-ny_south)).otherwise(F.lit(0)).cast("long")
     last = F.when(F.col("south"), F.lit(-1)).otherwise(F.lit(ny_north - 1)).cast("long")
     return xs.withColumn("y_idx", F.explode(F.sequence(first, last))).withColumn("level", F.lit(level))
@@ -52,25 +59,42 @@ def centre_in_zone() -> Column:
     return (F.col("lon") >= F.col("lon_min")) & (F.col("lon") < F.col("lon_max")) & (F.col("lat") >= F.col("lat_min")) & (F.col("lat") <= F.col("lat_max"))
 
 
-def corner_bounds(tiles: DataFrame, keys: list[str]) -> DataFrame:
-    """keys with west, south_lat, east, north_lat: the degrees of the four corners. Corners become rows, are projected once, and meet again by key."""
-    corners = F.explode(F.array(*(F.struct(F.col(a).alias("easting"), F.col(b).alias("northing")) for a in ("minx", "maxx") for b in ("miny", "maxy"))))
-    rows = tiles.select(*keys, "zone_num", "south", corners.alias("c")).select(*keys, "zone_num", "south", "c.easting", "c.northing")
-    rows = projection.apply(rows, projection.utm_inverse(lon="c_lon", lat="c_lat"))
-    return rows.groupBy(*keys).agg(F.min("c_lon").alias("west"), F.min("c_lat").alias("south_lat"), F.max("c_lon").alias("east"), F.max("c_lat").alias("north_lat"))
+def may_reach_zone(level: int) -> Column:
+    """Is the box's centre near enough to the central meridian, by the zone's width at the latitude of the box's lower edge? A cheap test on metres, wider than the zone and its margin, that spares most projections."""
+    away = F.when(F.col("south"), 10_000_000 - F.col("maxy")).otherwise(F.col("miny"))
+    width = 345_000 * F.cos(F.radians(F.greatest(F.lit(0.0), F.least(F.lit(89.0), away / 111_700))))
+    return F.abs((F.col("minx") + F.col("maxx")) / 2 - 500_000) <= width + level / MARGIN[level] + 2 * level
+
+
+def with_corners(tiles: DataFrame) -> DataFrame:
+    """Adds lon0, lat0 to lon3, lat3: the degrees of the corners, counter-clockwise from the lower left. Longitudes go on beyond 180, so a tile at the antimeridian does not wrap."""
+    for i, (x, y) in enumerate(CORNERS[:4]):
+        tiles = projection.apply(tiles, projection.utm_inverse(x, y, lon=f"lon{i}", lat=f"lat{i}"), (f"lon{i}", f"lat{i}"))
+    return tiles
+
+
+def reaches_zone(widest: float = 12.0) -> Column:
+    """Does the straight-edged quadrilateral of the corners (with_corners) meet the zone's rectangle of degrees, edges included? Two convex shapes are apart only if an edge of one of them has the other wholly on its outer side."""
+    lons, lats = [F.col(f"lon{i}") for i in range(4)], [F.col(f"lat{i}") for i in range(4)]
+    meets = (F.least(*lons) <= F.col("lon_max")) & (F.greatest(*lons) >= F.col("lon_min")) & (F.least(*lats) <= F.col("lat_max")) & (F.greatest(*lats) >= F.col("lat_min"))
+    for i in range(4):
+        x, y = lons[i], lats[i]
+        dx, dy = lons[(i + 1) % 4] - x, lats[(i + 1) % 4] - y
+        # the rectangle's corner that lies farthest to the inner side of the edge
+        far_y = F.when(dx > 0, F.col("lat_max")).otherwise(F.col("lat_min"))
+        far_x = F.when(dy > 0, F.col("lon_min")).otherwise(F.col("lon_max"))
+        meets = meets & (dx * (far_y - y) - dy * (far_x - x) >= 0)
+    return meets & (F.greatest(*lons) - F.least(*lons) <= widest)
 
 
 def utm_grid(zones: DataFrame, level: int, border: bool = True, widest: float = 12.0) -> DataFrame:
-    """Tiles of the zones: those whose centre is in the zone, and with border those whose corners' bounds reach into it. Tiles that wrap around (wider than widest degrees) go."""
-    tiles = with_centroid_degrees(with_box(utm_indices(zones, level))).where(near_zone(level)).withColumn("inside", centre_in_zone())
+    """Tiles of the zones: those whose centre is in the zone, and with border those whose quadrilateral reaches into it. Tiles that wrap around (wider than widest degrees) go."""
+    boxes = with_box(utm_indices(zones, level)).where(may_reach_zone(level))
+    tiles = with_centroid_degrees(boxes).where(near_zone(level)).withColumn("inside", centre_in_zone())
     if not border:
         return tiles.where("inside").drop("inside")
-    keys = ["zone", "x_idx", "y_idx"]
-    edge = tiles.where(~F.col("inside"))
-    bounds = corner_bounds(edge, keys)
-    reach = (F.col("west") < F.col("lon_max")) & (F.col("east") >= F.col("lon_min")) & (F.col("south_lat") <= F.col("lat_max")) & (F.col("north_lat") >= F.col("lat_min")) & (F.col("east") - F.col("west") <= widest)
-    rescued = edge.join(bounds, keys).where(reach).select(*tiles.columns)
-    return tiles.where("inside").unionByName(rescued).drop("inside")
+    edge = with_corners(tiles.where(~F.col("inside"))).where(reaches_zone(widest)).select(*tiles.columns)
+    return tiles.where("inside").unionByName(edge).drop("inside")
 
 
 def polar_grid(poles: DataFrame, level: int) -> DataFrame:
@@ -138,6 +162,36 @@ def geodesic_lattice(bounds: DataFrame, spacing_m: float) -> DataFrame:
     return rows.withColumn("lon", F.col("west") + F.col("col") * F.col("width")).drop("row", "col", "width")
 
 
+def utm_lattice(bounds: DataFrame, spacing_m: float) -> DataFrame:
+    """bounds (…, zone_num, south, minx, miny, maxx, maxy in a zone's metres) to lattice points: adds row, col, easting, northing, lon, lat. Rows keep their spacing from the zone's origin; towards a pole a row has more columns, greatest(3, width / (spacing * cos(lat))), evenly spread."""
+    s = F.lit(float(spacing_m))
+    start = lambda low, origin: F.col(low) + F.pmod(F.lit(float(origin)) - F.col(low), s)
+    rows = bounds.withColumn("start_x", start("minx", 500_000)).withColumn("start_y", start("miny", 0))
+    n = F.ceil((F.col("maxy") + s - F.col("start_y")) / s).cast("int")
+    rows = rows.withColumn("row", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("northing", F.col("start_y") + F.col("row") * s).withColumn("middle", F.lit(500_000.0))
+    rows = projection.apply(rows, projection.utm_inverse("middle", lon="row_lon", lat="row_lat"), ("row_lon", "row_lat"))
+    columns = F.greatest(F.lit(3), F.floor((F.col("maxx") - F.col("minx")) / (s * F.cos(F.radians("row_lat")))).cast("int"))
+    rows = rows.withColumn("columns", columns).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+    rows = rows.withColumn("easting", F.col("start_x") + F.col("col") * (F.col("maxx") - F.col("start_x")) / (F.col("columns") - 1))
+    return projection.apply(rows, projection.utm_inverse(), ("lon", "lat")).drop("start_x", "start_y", "middle", "row_lon", "row_lat", "columns")
+
+
+def scene_grids(scenes: DataFrame, levels: tuple[int, ...], key: str = "scene_id") -> DataFrame:
+    """scenes (key, west, south, east, north in degrees) to the tiles of every zone that they reach, whose boxes touch the scene's: key, zone, level, x_idx, y_idx. All scenes, zones and levels in one job; a scene's corners and edge middles give its bounds in a zone."""
+    zoned = scenes.select(key, "west", "south", "east", "north", F.explode(zones_of_bounds(F.col("west"), F.col("south"), F.col("east"), F.col("north"))).alias("zone"))
+    zoned = zoned.withColumn("zone_num", F.regexp_extract("zone", r"^(\d+)", 1).cast("int")).withColumn("is_south", F.col("zone").endswith("S"))
+    # a scene's part in the zone, to the zone's edges
+    low, high = 6.0 * F.col("zone_num") - 186, 6.0 * F.col("zone_num") - 180
+    zoned = zoned.withColumn("w", F.greatest("west", low)).withColumn("e", F.least("east", high)).withColumn("mid", (6.0 * F.col("zone_num") - 183))
+    points = F.array(*(F.struct(x.alias("lon"), F.col(y).alias("lat")) for x in (F.col("w"), F.col("e"), F.least("e", F.greatest("w", "mid"))) for y in ("south", "north")))
+    rows = zoned.select(key, "zone", "zone_num", F.col("is_south").alias("south"), F.inline(points))
+    rows = projection.apply(rows, projection.utm_forward())
+    boxes = rows.groupBy(key, "zone", "south").agg(F.min("easting").alias("minx"), F.min("northing").alias("miny"), F.max("easting").alias("maxx"), F.max("northing").alias("maxy"))
+    boxes = boxes.withColumn("origin_x", F.lit(UTM_X0)).withColumn("origin_y", F.when(F.col("south"), UTM_Y0_SOUTH).otherwise(0))
+    made = [bounds_grid(boxes, level).select(key, "zone", "level", "x_idx", "y_idx") for level in levels]
+    return reduce(DataFrame.unionByName, made)
+
+
 def morton(x: Column, y: Column, bits: int = 16) -> Column:
     """Key that interleaves the low bits of two indices: tiles near each other have near keys, so that a range partition by it is a spatial one."""
     key = F.lit(0).cast("long")
