@@ -28,6 +28,37 @@ LEGEND = (
     (100, "Moss and Lichen"),
 )
 CODES = tuple(c for c, _ in LEGEND)
+#: Climate classes by main group, and potential biomes, code and name.
+CLIMATES = {
+    "Equatorial": ("Af", "Am", "As", "Aw"),
+    "Arid": ("BSh", "BSk", "BWh", "BWk"),
+    "Warm Temperate": ("Cfa", "Cfb", "Cfc", "Csa", "Csb", "Csc", "Cwa", "Cwb", "Cwc"),
+    "Boreal": ("Dfa", "Dfb", "Dfc", "Dfd", "Dsa", "Dsb", "Dsc", "Dsd", "Dwa", "Dwb", "Dwc", "Dwd"),
+    "Polar": ("EF", "ET"),
+    "NA": ("NA",),
+}
+BIOMES = (
+    (1, "Trop EG BLF"),
+    (2, "Trop Semi EG BLF"),
+    (3, "Trop Decid BLF"),
+    (4, "Warm-Temp EG BLF"),
+    (7, "Cool-Temp RF"),
+    (8, "Cool EG NL"),
+    (9, "Cool Mixed Forest"),
+    (13, "Temp Decid BLF"),
+    (14, "Cold Decid Forest"),
+    (15, "Cold EG NL"),
+    (16, "Temp Sclerophyll"),
+    (17, "Temp EG Open WL"),
+    (18, "Trop Savanna"),
+    (20, "Xerophytic Scrub"),
+    (22, "Steppe"),
+    (27, "Desert"),
+    (28, "Graminoid & FT"),
+    (30, "Erect Dwarf ST"),
+    (31, "Low&High ST"),
+    (32, "Prost Dwarf ST"),
+)
 #: Least share at which a tile stands for a class, and weights of the progressive targets, in legend order.
 THRESHOLDS = (0.80, 0.70, 0.70, 0.65, 0.60, 0.20, 0.60, 0.40, 0.50, 0.40, 0.05, 0.10)
 WEIGHTS = (0.25, 1.0, 0.9, 1.1, 1.5, 2.0, 0.9, 1.1, 1.2, 1.5, 2.0, 1.5)

@@ -112,6 +112,31 @@ def polar_inverse(pole: str, east: str = "easting", north: str = "northing", lon
     ]
 
 
+_E2 = ECC * ECC
+EASE_K = math.cos(math.radians(30)) / math.sqrt(1 - _E2 * math.sin(math.radians(30)) ** 2)
+_Q_POLE = (1 - _E2) * (1 / (1 - _E2) - math.log((1 - ECC) / (1 + ECC)) / (2 * ECC))
+#: From authalic to geodetic latitude.
+AUTHALIC = (_E2 / 3 + 31 * _E2**2 / 180 + 517 * _E2**3 / 5040, 23 * _E2**2 / 360 + 251 * _E2**3 / 3780, 761 * _E2**3 / 45360)
+
+
+def ease_forward(lon: str = "lon", lat: str = "lat", east: str = "easting", north: str = "northing") -> Steps:
+    """EPSG:6933, cylindrical equal-area with its true scale at 30 degrees."""
+    return [
+        ("p_s", f"sin(radians({lat}))"),
+        ("p_q", f"{_num(1 - _E2)} * (p_s / (1 - {_num(_E2)} * p_s * p_s) - ln((1 - {_num(ECC)} * p_s) / (1 + {_num(ECC)} * p_s)) / {_num(2 * ECC)})"),
+        (east, f"{_num(A * EASE_K)} * radians({lon})"),
+        (north, f"{_num(A / (2 * EASE_K))} * p_q"),
+    ]
+
+
+def ease_inverse(east: str = "easting", north: str = "northing", lon: str = "lon", lat: str = "lat") -> Steps:
+    return [
+        ("q_b", f"asin(greatest({_num(-1.0)}, least({_num(1.0)}, {_num(2 * EASE_K / (A * _Q_POLE))} * {north})))"),
+        (lon, f"degrees({east} / {_num(A * EASE_K)})"),
+        (lat, f"degrees(q_b + {_series(AUTHALIC, '{c} * sin({j} * q_b)')})"),
+    ]
+
+
 def apply(df: DataFrame, steps: Steps, results: tuple[str, ...] = ()) -> DataFrame:
     """df with the steps' last results; helper columns p_ and q_ are dropped.
 

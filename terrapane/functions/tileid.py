@@ -23,18 +23,21 @@ def format_id(level: Column, zone: Column, x: Column, y: Column, buffer: Column
 
 
 def parse_id(tile_id: Column) -> Column:
-    """Struct of level, zone, x_idx, y_idx, buffer, overlap; null if the id is malformed."""
-    part = lambda i: F.regexp_extract(tile_id, PATTERN, i)
-    number = lambda key: F.coalesce(F.regexp_extract(tile_id, rf"_{key}(\d+)", 1).try_cast("int"), F.lit(0))
-    parsed = F.struct(
-        part(1).try_cast("int").alias("level"),
-        part(2).alias("zone"),
-        part(3).try_cast("bigint").alias("x_idx"),
-        part(4).try_cast("bigint").alias("y_idx"),
-        number("buf").alias("buffer"),
-        number("ovrlp").alias("overlap"),
-    )
-    return F.when(tile_id.rlike(PATTERN), parsed)
+    """Struct of level, zone, x_idx, y_idx, buffer, overlap; null if the id is malformed. One match tells well-formed ids, and one split gives all parts."""
+
+    def of(p: Column) -> Column:
+        after = lambda i, n: F.substring(p[i], n + 1, 20)
+        number = lambda key: F.coalesce(F.get(F.filter(p, lambda x: x.startswith(key)), F.lit(0)), F.lit(f"{key}0")).substr(len(key) + 1, 20).try_cast("int")
+        return F.struct(
+            F.rtrim(after(0, 1), F.lit("m")).try_cast("int").alias("level"),
+            p[1].alias("zone"),
+            after(2, 1).try_cast("bigint").alias("x_idx"),
+            after(3, 1).try_cast("bigint").alias("y_idx"),
+            number("buf").alias("buffer"),
+            number("ovrlp").alias("overlap"),
+        )
+
+    return F.when(tile_id.rlike(PATTERN), F.element_at(F.transform(F.array(F.split(tile_id, "_")), of), 1))
 
 
 def epsg(zone: Column) -> Column:

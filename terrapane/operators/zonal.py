@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrapane.functions.arrays import compress_uint8
 from terrapane.functions.proportions import is_all_zero
+from terrapane.operators.grid import overlapping
 
 #: Code of pixels outside the tile's polygon, and of placeholder tiles.
 OUTSIDE, OVERSIZED = 1, -1
@@ -34,6 +35,21 @@ def merged_shares(counts: DataFrame, digits: int = 4) -> DataFrame:
     return n.select("tile_id", F.col("code").cast("int").alias("code"), F.round(F.col("n") / F.sum("n").over(Window.partitionBy("tile_id")), digits).alias("share"))
 
 
+def tile_raster_counts(tiles: DataFrame, rasters: DataFrame, cell: float, pixel: float) -> DataFrame:
+    """tile_id, source, code, n: tiles (tile_id, minx … maxy) against footprints of rasters of one code (source, code, minx … maxy), as whole pixels of their overlap. Boxes meet in coarse cells; nothing is compared with everything."""
+    pairs = overlapping(tiles, rasters, cell, "tile_id", "source")
+    box = lambda df, p, *keys: df.select(*keys, *(F.col(c).alias(f"{p}{c}") for c in ("minx", "miny", "maxx", "maxy")))
+    both = pairs.join(box(tiles, "t_", "tile_id"), "tile_id").join(box(rasters, "r_", "source", "code"), "source")
+    side = lambda a: F.least(f"t_max{a}", f"r_max{a}") - F.greatest(f"t_min{a}", f"r_min{a}")
+    n = F.floor(side("x") * side("y") / (pixel * pixel)).cast("long")
+    return both.select("tile_id", "source", "code", n.alias("n")).where("n > 0")
+
+
+def raster_proportions(tiles: DataFrame, rasters: DataFrame, cell: float, pixel: float, digits: int = 4) -> DataFrame:
+    """tile_id, code, share: tiles meet their rasters, counts are merged over rasters, and become shares; in one pass."""
+    return merged_shares(tile_raster_counts(tiles, rasters, cell, pixel), digits)
+
+
 def parent_means(children: DataFrame, parent: str = "super_id", digits: int = 6) -> DataFrame:
     """children (parent, props) to tile_id, code, share: means over all children, an absent class counting 0."""
     rows = children.groupBy(parent).agg(F.count(F.lit(1)).alias("children"))
