@@ -79,6 +79,52 @@ def flatten_scenes(items: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+BANDS = "array<struct<name:string,common_name:string,center_wavelength:double,full_width_half_max:double,solar_illumination:double>>"
+
+
+def band_features(items: DataFrame, column: str = "value", at: str = "$.properties.eo:bands") -> DataFrame:
+    """scene_id, features: a map of band_<name>_<field> to text for each band of a STAC item; of bands of one name the last holds."""
+    bands = F.from_json(F.get_json_object(column, at.replace("eo:bands", "['eo:bands']").replace(".[", "[")), BANDS)
+    rows = items.select(F.get_json_object(column, "$.id").alias("scene_id"), F.coalesce(bands, F.array()).alias("bands"))
+    name = lambda b: F.replace(F.replace(F.lower(F.coalesce(b["name"], F.lit(""))), F.lit("band_"), F.lit("")), F.lit(" "), F.lit("_"))
+    last = F.filter("bands", lambda b, i: ~F.exists(F.slice("bands", i + 2, F.size("bands")), lambda c: name(c) == name(b)))
+    fields = ("common_name", "center_wavelength", "full_width_half_max", "solar_illumination")
+    entries = F.flatten(F.transform(last, lambda b: F.array(*(F.struct(F.concat(F.lit("band_"), name(b), F.lit(f"_{f}")).alias("key"), b[f].cast("string").alias("value")) for f in fields))))
+    return rows.select("scene_id", F.map_from_entries(entries).alias("features"))
+
+
+def presence_counts(df: DataFrame, columns: list[str], none: str = "none") -> DataFrame:
+    """column, n: in how many rows each column says something."""
+    counted = df.agg(*(F.count_if(F.coalesce(F.col(c) != none, F.lit(False))).alias(c) for c in columns))
+    return counted.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in columns))))
+
+
+def same_distinct(df: DataFrame, a: str, b: str) -> DataFrame:
+    """n_a, n_b, same: have two columns equally many distinct values?"""
+    n = df.agg(F.count_distinct(a).alias("n_a"), F.count_distinct(b).alias("n_b"))
+    return n.withColumn("same", F.col("n_a") == F.col("n_b"))
+
+
+def structure_yaml(files: DataFrame) -> DataFrame:
+    """relative_path, line: the scanned tree as YAML lines, in order; folders are keys and files have their sizes."""
+    depth = F.size(F.split("relative_path", "/")) - 1
+    name = F.regexp_extract("relative_path", "([^/]*)$", 1)
+    line = F.concat(F.repeat(F.lit("  "), depth), F.lit('"'), name, F.lit('":'), F.when(F.col("is_folder"), "").otherwise(F.concat(F.lit(" "), F.col("file_size").cast("string"))))
+    return files.select("relative_path", line.alias("line")).orderBy(F.split("relative_path", "/"))
+
+
+def snapshot(files: DataFrame, path: str, version: str) -> None:
+    """A version of a structure scan: its rows, and its summary as one JSON line."""
+    files.write.parquet(f"{path}/{version}/structure")
+    structure_summary(files).select(F.to_json(F.struct(F.lit(version).alias("version"), "n_files", "n_folders", "megabytes")).alias("value")).write.text(f"{path}/{version}/summary")
+
+
+def grid_readme(manifest: DataFrame, title: str, levels: tuple[int, ...] = LEVELS, buffer: int = 0) -> str:
+    """A short description of a written grid, from its manifest."""
+    n, zones = manifest.agg(F.coalesce(F.sum("tile_count"), F.lit(0)), F.count_distinct("zone")).first()
+    return "\n".join([f"# {title}", "", f"* {n} tiles in {zones} zones", f"* levels: {', '.join(map(str, levels))} metres a side", f"* buffer: {buffer} metres", "* ids: G1200m_31N_X000123_Y000456, with _buf60 for a buffer of 60 metres", ""])
+
+
 def scene_time(text: Column) -> Column:
     """ISO text with a Z or an offset to a timestamp."""
     return F.to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))

@@ -13,7 +13,7 @@ from terrapane.operators import grid, select, zonal
 from terrapane.plans import catalog
 from terrapane.plans.queries import EPSG_TEXT, PARENT_TEXT, TILES_SQL, WIDE_SQL, longs, own, query, tiles, wide
 from terrapane.plans.views import table
-from terrapane.scratch import written
+from terrapane.scratch import scratch_base, written
 from terrapane.sources import files
 from terrapane.streaming import incremental
 
@@ -257,8 +257,7 @@ def array_clip(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def incremental_append(spark, sf_dir):
     """The events appended by a file stream (twice: the second run finds nothing new), then summed up."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/terrapane-streams"
-    where, mark = (f"{base}/{x}-{uuid.uuid4().hex}" for x in ("appended", "progress"))
+    where, mark = (f"{scratch_base(spark)}/{x}-{uuid.uuid4().hex}" for x in ("appended", "progress"))
     source = table(spark, sf_dir, "events")
     for _ in range(2):
         incremental.append_new_files(spark, f"{sf_dir}/events.parquet*", source.schema, where, mark, lambda df: df.select("event_type", "value"))
@@ -286,10 +285,13 @@ def subset_map_back(spark, sf_dir):
     return catalog.map_back(rows, {"small": rows.where("k % 3 = 0"), "large": rows.where("k % 2 = 0")}, "k")
 
 
-@query(f"SELECT count(*) AS n, round(sum(lc_0), 4) AS share FROM ({WIDE_SQL}) WHERE NOT lc_0 > 0.1")
+@query(
+    f"WITH w AS (SELECT *, md5(concat(tile_id, '-42')) AS h FROM ({WIDE_SQL})), drawn AS (SELECT * FROM w WHERE lc_0 > 0.1 AND CAST(concat('0x', substr(h, 1, 5)) AS BIGINT) * 1000 < 250 * 1048576) "
+    "SELECT tile_id, round(lc_0, 4) AS share FROM w WHERE NOT lc_0 > 0.1 UNION ALL SELECT tile_id, round(lc_0, 4) FROM (SELECT * FROM drawn ORDER BY h, tile_id LIMIT 1000)"
+)
 def open_sea_filter(spark, sf_dir):
-    """Tiles with little open sea, all kept by the down-sampling of the rest."""
-    return select.downsample_class(wide(spark, sf_dir), "lc_0", 0.1, 10, 1000).where("NOT lc_0 > 0.1").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lc_0"), 4).alias("share"))
+    """All tiles with little open sea, and of the others a quarter by hash, 1,000 at most."""
+    return select.downsample_class(wide(spark, sf_dir), "lc_0", 0.1, 250, 1000).select("tile_id", F.round("lc_0", 4).alias("share"))
 
 
 CHIP = ("l_suppkey % 3 AS scene_id", "l_orderkey % 480 AS x", "l_partkey % 480 AS y", "CAST(l_linenumber AS BIGINT) AS value", "l_linenumber < 7 AS clear")
@@ -305,11 +307,10 @@ def scene_chip_extract(spark, sf_dir):
     return chips.select("tile_id", "scene_id", F.round("clear_ratio", 6).alias("clear_ratio"), F.size(arrays.decompress_uint8("image")).cast("long").alias("n"))
 
 
-@query("SELECT floor(s_suppkey / 8) AS cell, count(*) AS n FROM supplier GROUP BY 1")
+MORTON_BITS = " + ".join(f"((x >> {i}) % 2) * {4**i} + ((y >> {i}) % 2) * {2 * 4**i}" for i in range(16))
+
+
+@query(f"SELECT tile_id, CAST({MORTON_BITS} AS BIGINT) AS key FROM (SELECT * FROM ({TILES_SQL}) WHERE zone LIKE '%N')")
 def morton_cells(spark, sf_dir):
-    """Keys of neighbouring indices fall in the same cell of eight."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
-    x = F.shiftright("k", 1).bitwiseAND(F.lit(0)).cast("long")
-    even = sum((F.shiftleft(F.shiftright("k", 2 * i).bitwiseAND(F.lit(1).cast("long")), i) for i in range(16)), x)
-    odd = sum((F.shiftleft(F.shiftright("k", 2 * i + 1).bitwiseAND(F.lit(1).cast("long")), i) for i in range(16)), x)
-    return s.select(F.floor(grid.morton(even, odd) / 8).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    """Locality keys of the northern tiles, whose indices are not negative."""
+    return tiles(spark, sf_dir).where("zone LIKE '%N'").select("tile_id", grid.morton(F.col("x_idx"), F.col("y_idx")).alias("key"))

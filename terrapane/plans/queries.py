@@ -103,9 +103,11 @@ def tile_lineage_explode(spark, sf_dir):
     return longs(rows.select("tile_id", "target", "related"), "target")
 
 
-@query(f"SELECT tile_id, CAST(0 AS BIGINT) AS related FROM ({TILES_SQL}) WHERE level = 1200")
+@query(f"SELECT tile_id, target, CASE WHEN target >= level AND target % level = 0 THEN 1 WHEN target < level AND level % target = 0 THEN (level // target) * (level // target) ELSE 0 END AS related FROM ({TILES_SQL}), (SELECT CAST(unnest([200, 700, 2400]) AS BIGINT) AS target) WHERE level <= 2400")
 def tile_lineage_missing(spark, sf_dir):
-    return tiles(spark, sf_dir).where("level = 1200").select("tile_id", F.size(tileid.lineage(*own(), F.lit(700))).cast("long").alias("related"))
+    """How many tiles each tile is related to at levels that fit and at levels that do not (none)."""
+    rows = tiles(spark, sf_dir).where("level <= 2400").withColumn("target", F.explode(F.array(*(F.lit(x).cast("long") for x in (200, 700, 2400)))))
+    return rows.select("tile_id", "target", F.size(tileid.lineage(*own(), F.col("target"))).cast("long").alias("related"))
 
 
 @query(f"SELECT tile_id, md5(concat_ws('_', tile_id, CAST(level AS STRING), zone)) AS tile_hash FROM ({TILES_SQL})")
@@ -146,12 +148,15 @@ def tile_reconstruct(spark, sf_dir):
     return grid.with_box(rows).select("tile_id", "zone", "minx", "miny", "maxx", "maxy", geometry.area().alias("area"))
 
 
-@query(f"SELECT tile_id, printf('POLYGON ((%.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f))', a, b, c, b, c, d, a, d, a, b) AS wkt, a AS minx, d AS maxy FROM (SELECT tile_id, CAST(100000 + x * level AS DOUBLE) AS a, CAST(y * level AS DOUBLE) AS b, CAST(100000 + (x + 1) * level AS DOUBLE) AS c, CAST((y + 1) * level AS DOUBLE) AS d FROM ({TILES_SQL}) WHERE zone LIKE '%N')")
+BOX_TEXT = "SELECT tile_id, CAST(100000 + x * level AS DOUBLE) AS a, CAST(y0 + y * level AS DOUBLE) AS b, CAST(100000 + (x + 1) * level AS DOUBLE) AS c, CAST(y0 + (y + 1) * level AS DOUBLE) AS d FROM (SELECT *, CASE WHEN zone LIKE '%S' THEN 10000000 ELSE 0 END AS y0 FROM ({tiles}))".format(tiles=TILES_SQL)
+
+
+@query(f"SELECT tile_id, printf('POLYGON ((%.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f))', a, b, c, b, c, d, a, d, a, b) AS wkt, a AS minx, b AS miny, c AS maxx, d AS maxy FROM ({BOX_TEXT})")
 def wkt_roundtrip(spark, sf_dir):
-    rows = tileid.expand_ids(tiles(spark, sf_dir).where("zone LIKE '%N'").select("tile_id")).withColumn("origin_x", F.lit(UTM_X0)).withColumn("origin_y", F.lit(0))
+    """Boxes from ids, written as WKT and read back."""
+    rows = tileid.expand_ids(tiles(spark, sf_dir).select("tile_id")).withColumn("origin_x", F.lit(UTM_X0)).withColumn("origin_y", F.when(F.col("zone").endswith("S"), UTM_Y0_SOUTH).otherwise(0))
     rows = grid.with_box(rows).select("tile_id", geometry.wkt_polygon().alias("wkt"))
-    bounds = geometry.wkt_bounds(F.col("wkt"))
-    return rows.select("tile_id", "wkt", bounds[0], bounds[3])
+    return rows.select("tile_id", "wkt", *geometry.wkt_bounds(F.col("wkt")))
 
 
 # --- projections and lookups ----------------------------------------------------------------------------------------
@@ -213,7 +218,7 @@ def zones_from_bounds(spark, sf_dir):
 def zones_in_use(spark, sf_dir):
     """The zones that hold customers, with their bounds. At most 120 rows, whatever the input."""
     used = spatial.with_zone(view(spark, sf_dir, "customer", POINTS)).select("zone").distinct()
-    return F.broadcast(zone_table(spark)).join(used, "zone", "left_semi")
+    return zone_table(spark).join(F.broadcast(used), "zone", "left_semi")
 
 
 L = 120000
@@ -235,10 +240,23 @@ def grid_utm_tiles(spark, sf_dir):
     return made.join(held, "tile_id", "left").select("tile_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.coalesce("points", F.lit(0).cast("long")).alias("points"))
 
 
-@query()
+CORNER_ROWS = nest(
+    f"SELECT zone, zone_num, south, x_idx, y_idx, lon_min, lon_max, lat_min, lat_max, i, 100000 + (x_idx + dx) * 120000.0 AS easting, origin_y + (y_idx + dy) * 120000.0 AS northing FROM ({NEAR}), (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) AS c(i, dx, dy) "
+    "WHERE lon >= lon_min - h AND lon <= lon_max + h AND NOT (lon >= lon_min AND lon < lon_max AND lat >= lat_min AND lat <= lat_max)",
+    projection.utm_inverse(),
+)
+QUADS = "SELECT zone, x_idx, y_idx, lon_min, lon_max, lat_min, lat_max, list(lon ORDER BY i) AS xs, list(lat ORDER BY i) AS ys FROM ({rows}) GROUP BY ALL".format(rows=CORNER_ROWS)
+#: Two convex shapes meet unless a side of one has the other on its outer side: the sides of the rectangle, then those of the quadrilateral.
+MEETS = "list_min(xs) <= lon_max AND list_max(xs) >= lon_min AND list_min(ys) <= lat_max AND list_max(ys) >= lat_min AND list_max(xs) - list_min(xs) <= 12 AND " + " AND ".join(
+    f"(xs[{j}] - xs[{i}]) * (CASE WHEN xs[{j}] > xs[{i}] THEN lat_max ELSE lat_min END - ys[{i}]) - (ys[{j}] - ys[{i}]) * (CASE WHEN ys[{j}] > ys[{i}] THEN lon_min ELSE lon_max END - xs[{i}]) >= 0" for i, j in ((1, 2), (2, 3), (3, 4), (4, 1))
+)
+
+
+@query(f"SELECT zone, count(*) AS tiles, CAST(sum(x_idx) AS BIGINT) AS x_sum, CAST(sum(y_idx) AS BIGINT) AS y_sum FROM (SELECT zone, x_idx, y_idx FROM ({GRID_SQL}) UNION ALL SELECT zone, x_idx, y_idx FROM ({QUADS}) WHERE {MEETS}) GROUP BY zone")
 def grid_border_tiles(spark, sf_dir):
-    """Tiles of each zone in use, with those at its border; held against derived counts in the tests."""
-    return grid.utm_grid(zones_in_use(spark, sf_dir), L).groupBy("zone").agg(F.count(F.lit(1)).alias("tiles"))
+    """Tiles of each zone in use, with those at its border."""
+    made = grid.utm_grid(zones_in_use(spark, sf_dir), L)
+    return made.groupBy("zone").agg(F.count(F.lit(1)).alias("tiles"), F.sum("x_idx").alias("x_sum"), F.sum("y_idx").alias("y_sum"))
 
 
 @query(f"SELECT tile_id, super_id FROM (SELECT tile_id, CAST(NULL AS STRING) AS super_id FROM ({GRID_SQL}))")
