@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import SPACES, WORD, carried, join_small, materialize, text_of
+from terrapane.llm.common import SPACES, WORD, carried, join_small, materialize, row_key, text_of
 
 BINS = 20
 SMOOTHING = 0.2  # added to each count
@@ -139,6 +139,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of docs that are kept, with all their columns. They are written once beside their features, so that each keeps its own verdict and no text is shuffled."""
+    """The rows of docs that are kept, with all their columns. A verdict goes with what a row says (row_key), so rows of one doc_id have one each."""
     rows = carried(docs, "doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path"))
-    return posteriors(rows, labels, "host", "path", ("row",)).where("kept").select("row.*")
+    key = row_key("doc_id", "host", "path", "text")
+    judged = posteriors(rows.drop("row").withColumn("key", key), labels, "host", "path", ("key",))
+    kept = materialize(judged.where("kept").select("key").distinct(), "kept")
+    return rows.select("row", key.alias("key")).join(kept, "key", "left_semi").select("row.*")

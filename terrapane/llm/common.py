@@ -72,6 +72,11 @@ def carried(docs: DataFrame, *others: Column | str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *others)
 
 
+def row_key(*columns: str) -> Column:
+    """64 bits of what a row says in these columns; null differs from all values."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Compute value once and use it many times in body."""
     return F.element_at(F.transform(F.array(value), body), 1)

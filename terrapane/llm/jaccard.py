@@ -21,7 +21,7 @@ Defined results: lower case for A-Z only; a text of fewer words than a shingle i
 empty and blank texts have n_shingles 0 and are their own component; rows of an equal doc_id are rows of one component
 if their texts link; null doc_id is passed over when the smallest is taken (a component of only those has null); other
 columns are ignored by `link_documents` and kept by `keep_one`, whatever their names; no rows in, no rows out. `keep_one`
-keeps one row of each component, that of the smallest doc_id (null last), then of the smallest hash of its text.
+keeps one row of each component, that of the smallest doc_id (null last), then of the smallest hash of what it says.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import carried, materialize, text_of
+from terrapane.llm.common import carried, materialize, row_key, text_of
 from terrapane.llm.graph import components
 
 WIDTH = 5
@@ -395,11 +395,15 @@ def link_documents(docs: DataFrame, width: int = WIDTH, threshold=THRESHOLD) ->
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold=THRESHOLD) -> DataFrame:
-    """One row of docs for each component, and the rows without shingles; all columns stay."""
-    rows = materialize(carried(docs, F.monotonically_increasing_id().alias("id")), "rows")
-    named = linked(rows.select("id", "row.doc_id", "row.text"), width, threshold)
-    hashes = rows.select("id", F.xxhash64("row.text").alias("hash"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "id"))
-    kept = named.where("label IS NOT NULL").join(hashes, "id").groupBy("label").agg(first.alias("x")).select("x.id")
-    kept = materialize(kept.unionByName(named.where("label IS NULL").select("id")), "kept")
-    return rows.join(kept, "id", "left_semi").select("row.*")
+    """One row of docs for each component, and the rows without shingles; all columns stay. Rows are told apart by what they say; of rows equal in doc_id and text, that of the smallest hash of all columns stays."""
+    rows = carried(docs, row_key("doc_id", "text").alias("key"))
+    named = linked(docs.select(row_key("doc_id", "text").alias("id"), "doc_id", "text"), width, threshold)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id"))
+    one = named.where("label IS NOT NULL").groupBy("label").agg(first.alias("x")).select(F.col("x.id").alias("key"))
+    kept = materialize(one.unionByName(named.where("label IS NULL").select(F.col("id").alias("key")).distinct()), "kept")
+    out = rows.join(kept, "key", "left_semi")
+    again = materialize(named.where("label IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("key")).join(kept, "key", "left_semi"), "again")
+    if again.limit(1).count() == 0:
+        return out.select("row.*")
+    least = out.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.join(again, "key", "left_anti").select("row.*").unionByName(least.select("row.*"))

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import WORD, carried, join_small, materialize, text_of
+from terrapane.llm.common import WORD, carried, join_small, materialize, row_key, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -69,8 +69,7 @@ def targets(ranks: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def sizes_of(docs: DataFrame, *keep: str) -> DataFrame:
     """keep, doc_id, source, size, key: equal for rows that are equal in doc_id, source and text."""
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "text")
-    return docs.select(*keep, "doc_id", "source", size.alias("size"), key.alias("key"))
+    return docs.select(*keep, "doc_id", "source", size.alias("size"), row_key("doc_id", "source", "text").alias("key"))
 
 
 def rate_of(size: Column, lam: Column, most: int, tilt: float) -> Column:
@@ -167,16 +166,16 @@ def places(rows: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, tilt: float = TILT) -> DataFrame:
-    """docs as the mix takes them: each row as often as its copies say."""
-    rows = materialize(carried(docs, F.monotonically_increasing_id().alias("id")), "rows")
-    sizes = materialize(sizes_of(rows.select("id", "row.doc_id", "row.source", "row.text"), "id"), "sizes")
+    """docs as the mix takes them: each row as often as its copies say. Copies go with what a row says; only rows that are said again are written, to be numbered."""
+    sizes = materialize(sizes_of(docs), "sizes")
     taken = materialize(dealt(sizes, weights, most, tilt).where("copies > 0").select("key", "rows", "copies"), "copies")
-    named = sizes.select("id", "key").join(taken, "key")
-    times = named.where("rows = 1").select("id", "copies")
-    if taken.where("rows > 1").limit(1).count():
-        shared = materialize(named.where("rows > 1"), "shared")
-        times = times.unionByName(shared.join(places(shared.select("id", "key")), "id").select("id", share_of(F.col("place")).alias("copies")))
-    picked = rows.join(times.where("copies > 0"), "id")
+    rows = carried(docs, row_key("doc_id", "source", "text").alias("key"))
+    picked = rows.join(taken.where("rows = 1"), "key").select("row", "copies")
+    shared = taken.where("rows > 1")
+    if shared.limit(1).count():
+        again = materialize(rows.join(shared, "key").withColumn("id", F.monotonically_increasing_id()), "again")
+        numbered = again.join(places(again.select("id", "key")), "id")
+        picked = picked.unionByName(numbered.select("row", share_of(F.col("place")).alias("copies")).where("copies > 0"))
     return picked.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 

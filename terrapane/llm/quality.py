@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import SPACES, WORD, carried, join_small, let, materialize, text_of
+from terrapane.llm.common import SPACES, WORD, carried, join_small, let, materialize, row_key, text_of
 
 LEAST_WORDS = 50
 MOST_REPEAT_PERCENT = 50
@@ -144,8 +144,12 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. They are written once beside their metrics, so that each keeps its own verdict and no text is shuffled."""
-    return judge(carried(docs, "doc_id", "text", "lang", "source"), ("row",)).where("kept").select("row.*")
+    """The rows of docs that are kept, with all their columns. A verdict goes with what a row says (row_key), so rows of one doc_id have one each."""
+    rows = carried(docs, "doc_id", "text", "lang", "source")
+    key = row_key("doc_id", "lang", "source", "text")
+    judged = judge(rows.drop("row").withColumn("key", key), ("key",))
+    kept = materialize(judged.where("kept").select("key").distinct(), "kept")
+    return rows.select("row", key.alias("key")).join(kept, "key", "left_semi").select("row.*")
 
 
 def quality_digest(judged: DataFrame) -> DataFrame:
