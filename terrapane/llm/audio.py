@@ -7,7 +7,8 @@ STRETCH frames. Sixteen rectangle filters slide over the frames; an integral ima
 look-ups. Each filter's log ratio is cut to two bits, so a position becomes one packed 32-bit integer.
 
 Recordings with equal fingerprints are one class, so copies are searched once. Query classes and all classes meet at
-positions whose packed integers agree in a band of 16 bits and in all but SEED_ERRORS of the 32. Integers that repeat
+positions whose packed integers agree in a band of 16 bits and in all but SEED_ERRORS of the 32, if the CONTEXT integers
+from there on agree, too; so what only looks alike at one position is not passed on. Integers that repeat
 (silence, held tones) make heavy bands: their postings are counted first (4 x 65,536 counts at most) and split over as
 many salts as they need. Each offset so met is an alignment, and the share of wrong bits over its stretch decides. Of a
 pair's alignments that pass, the one with most votes (positions equal in all bits) holds, or below LEAST_VOTES the one
@@ -24,12 +25,12 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapane.llm.common import join_small, materialize
@@ -40,6 +41,8 @@ READ = 1 << 18  # samples read at a time
 WINDOW = 16  # frames under a filter at most
 LEAST_VOTES = 6  # from here on votes choose between alignments
 #: Bands of a packed integer, one of which agrees at a seed, and how many of all its bits may be wrong there.
+#: A seed's first CONTEXT integers and the share of their bits that may be wrong: more than MOST_ERROR, as they are few.
+CONTEXT, CONTEXT_ERROR = 12, 0.27
 BANDS, SEED_ERRORS = (0xFFFF0000, 0x0000FFFF, 0xFF00FF00, 0x00FF00FF), 5
 MOST_ERROR = 0.25  # of the bits over the aligned stretch
 LEAST_OVERLAP = 16  # positions
@@ -187,23 +190,38 @@ def keyed(printed: DataFrame) -> DataFrame:
 
 
 def bands(prints: DataFrame, name: str) -> DataFrame:
-    """band, {name}, {name}_at, {name}_print: the postings of every position."""
-    each = F.array(*(F.col("print").bitwiseAND(F.lit(mask).cast("long")) + F.lit(i << 32) for i, mask in enumerate(BANDS)))
-    rows = prints.select(F.col("key").alias(name), F.posexplode("prints").alias(f"{name}_at", "print"))
-    return rows.select(F.explode(each).alias("band"), name, f"{name}_at", F.col("print").alias(f"{name}_print"))
+    """band, {name}, {name}_at, {name}_0 and on, {name}_before: the postings of every position that has CONTEXT integers from it on, packed by two, and the integer before it."""
+    packed = lambda i, k: F.shiftleft(F.get("prints", i + k), 32).bitwiseOR(F.get("prints", i + k + 1))
+    at = F.filter(F.sequence(F.lit(0), F.size("prints") - CONTEXT), lambda i: (i >= 0) & (i + CONTEXT <= F.size("prints")))
+    each = F.transform(at, lambda i: F.struct(i.alias(f"{name}_at"), *(packed(i, k).alias(f"{name}_{k // 2}") for k in range(0, CONTEXT, 2)), F.get("prints", i - 1).alias(f"{name}_before")))
+    rows = prints.select(F.col("key").alias(name), F.inline(each))
+    first = F.shiftrightunsigned(F.col(f"{name}_0"), 32)
+    keys = F.array(*(first.bitwiseAND(F.lit(mask).cast("long")) + F.lit(i << 32) for i, mask in enumerate(BANDS)))
+    return rows.select(F.explode(keys).alias("band"), *rows.columns)
 
 
 def seeds(prints: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, match, shift: the offsets at which a query's position and another class's agree well enough."""
+    """query, match, shift: the offsets at which a query's position and another class's agree well enough, they and those that follow. Of positions in a row that do, the first alone is passed on, and in one band, so that true copies make few rows."""
     postings = bands(prints, "match")
     # at most four times 65,536 rows
     heavy = materialize(postings.groupBy("band").count().where(F.col("count") > SALT_ROWS).select("band", F.ceil(F.col("count") / SALT_ROWS).alias("salts")), "audio-heavy")
     salts = lambda df: df.join(F.broadcast(heavy), "band", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     right = salts(postings).withColumn("salt", F.pmod(F.xxhash64("match", "match_at"), F.col("salts"))).drop("salts")
     left = salts(bands(queries, "query")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-    both = left.join(right, ["band", "salt"])
-    near = (F.col("query") != F.col("match")) & (F.bit_count(F.col("query_print").bitwiseXOR(F.col("match_print"))) <= SEED_ERRORS)
-    return both.where(near).select("query", "match", (F.col("match_at") - F.col("query_at")).alias("shift")).distinct()
+    most = int(CONTEXT_ERROR * 32 * CONTEXT)
+    low = F.lit(0xFFFFFFFF).cast("long")
+    apart = [F.col(f"query_{k}").bitwiseXOR(F.col(f"match_{k}")) for k in range(CONTEXT // 2)]
+    wrong = reduce(Column.__add__, map(F.bit_count, apart))
+    first, before = F.shiftrightunsigned(apart[0], 32), F.col("query_before").bitwiseXOR(F.col("match_before"))
+    agrees = lambda x, i: x.bitwiseAND(F.lit(BANDS[i]).cast("long")) == 0
+    earlier = reduce(Column.__or__, (agrees(first, i) & (F.shiftright("band", 32) > i) for i in range(len(BANDS))))
+    # the position before is a seed by the same rule: then this one adds nothing
+    last = F.bit_count(apart[-1].bitwiseAND(low))
+    follows = reduce(Column.__or__, (agrees(before, i) for i in range(len(BANDS)))) & (F.bit_count(before) <= SEED_ERRORS) & (wrong + F.bit_count(before) - last <= most)
+    near = (F.col("query") != F.col("match")) & (F.bit_count(first) <= SEED_ERRORS) & (wrong <= most) & ~earlier & ~F.coalesce(follows, F.lit(False))
+    left = left.withColumnsRenamed({"band": "q_band", "salt": "q_salt"})
+    both = left.join(right, (F.col("q_band") == F.col("band")) & (F.col("q_salt") == F.col("salt")) & near)
+    return both.select("query", "match", (F.col("match_at") - F.col("query_at")).alias("shift")).distinct()
 
 
 def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
