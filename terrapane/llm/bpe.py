@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import text_of
+from terrapane.llm.common import freeing, text_of
 
 #: Fixed value: the pattern that splits text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -190,7 +190,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in freeing(batches):
             for part in _slices(batch, pa.compute.binary_length(batch.column(1)).to_pylist()):
                 flat, ends = array("i"), [0]
                 for text in part.column(1).to_pylist():
@@ -208,7 +208,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in freeing(batches):
             column = batch.column(1)
             for part in _slices(batch, (4 * n for n in pa.compute.list_value_length(column).to_pylist())):
                 lists = part.column(1)

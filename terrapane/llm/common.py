@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +86,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def join_small(df: DataFrame, small: DataFrame, on, how: str = "left", most_rows: int = 200_000) -> DataFrame:
     """Join a materialized table: broadcast below most_rows (counted), a shuffled join that AQE may split beyond it."""
     return df.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
+
+
+def freeing(batches: Iterator) -> Iterator:
+    """The batches that a task reads. What Arrow's pool keeps of earlier ones goes back before the next is read, since a Python worker outlives its task and would hold it while others run."""
+    pool = pa.default_memory_pool()
+    for batch in batches:
+        yield batch
+        del batch
+        pool.release_unused()
+    pool.release_unused()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import carried, materialize, row_key, text_of
+from terrapane.llm.common import carried, freeing, materialize, row_key, text_of
 from terrapane.llm.graph import components
 
 WIDTH = 5
@@ -152,7 +152,7 @@ def document_classes(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(n, pa.int64()) for c in names], names=names)
 
     def run(batches):
-        for batch in batches:
+        for batch in freeing(batches):
             for i in range(0, batch.num_rows, ROWS):
                 b = batch.slice(i, ROWS)
                 flat, sizes = shingle_sets(b.column(2).to_pylist(), width)
@@ -186,7 +186,7 @@ def inverted_rows(docs: DataFrame, buckets: int, heavy, width: int = WIDTH, thre
 
     def run(batches):
         rare_last = heavy.value
-        for b in (x.iloc[i : i + ROWS] for x in batches for i in range(0, len(x), ROWS)):
+        for b in (x.iloc[i : i + ROWS] for x in freeing(batches) for i in range(0, len(x), ROWS)):
             flat, sizes = shingle_sets(list(b["text"]), width)
             names = np.array(_classes(flat, sizes), np.int64)
             first = np.zeros(len(sizes), bool)
@@ -265,7 +265,7 @@ def candidate_classes(shared: DataFrame, threshold=THRESHOLD) -> DataFrame:
     parts = shared.groupBy("class").agg(F.first("size").alias("size"), F.collect_list("shingles").alias("shingles"), F.collect_list("degrees").alias("degrees"))
 
     def run(batches):
-        for b in batches:
+        for b in freeing(batches):
             out = []
             for c, size, s, d in zip(b["class"], b["size"], b["shingles"], b["degrees"], strict=True):
                 values, degree = np.frombuffer(b"".join(s), np.int64), np.frombuffer(b"".join(d), "<i4")
