@@ -56,12 +56,27 @@ class Memo(dict):
         return out
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """What each token decodes to: all that a decoding worker holds."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    to_byte = {c: b for b, c in enumerate(byte_alphabet())}
+    own = {i: bytes(map(to_byte.__getitem__, t)) for t, i in spec["model"]["vocab"].items()}
+    return own | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
+def decode_ids(ids, bytes_of: dict[int, bytes]) -> str:
+    return b"".join(map(bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+
 class Codec:
     def __init__(self, path: str):
         import ahocorasick
         import regex
         from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -69,10 +84,7 @@ class Codec:
         self.library_pieces = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        to_char = byte_alphabet()
-        self.table = {b: c for b, c in enumerate(to_char)}
-        to_byte = {c: b for b, c in enumerate(to_char)}
-        self.bytes_of = {i: bytes(map(to_byte.__getitem__, t)) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.table = dict(enumerate(byte_alphabet()))
         self.rank: dict[tuple[int, int], int] = {}
         made: dict[int, tuple[int, int, int]] = {}  # token: left, right, rank
         for r, m in enumerate(spec["model"]["merges"]):
@@ -164,7 +176,7 @@ class Codec:
         return chain.from_iterable((self.special[p],) if i % 2 else chain.from_iterable(map(self.ids_of.__getitem__, self.pieces(p))) for i, p in enumerate(parts))
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return decode_ids(ids, token_bytes(self.path))
 
 
 @lru_cache(maxsize=2)
@@ -207,14 +219,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, text."""
 
     def run(batches):
-        c = codec(path)
+        bytes_of = token_bytes(path)
         for batch in freeing(batches):
             column = batch.column(1)
             for part in _slices(batch, (4 * n for n in pa.compute.list_value_length(column).to_pylist())):
                 lists = part.column(1)
                 flat = lists.flatten().to_numpy().tolist()
                 ends = list(accumulate(pa.compute.list_value_length(lists).to_pylist(), initial=0))
-                texts = [c.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+                texts = [decode_ids(flat[a:b], bytes_of) for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     rows = encoded.select("doc_id", "ids")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,10 +90,13 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "left", most_rows
 
 
 def freeing(batches: Iterator) -> Iterator:
-    """The batches that a task reads. What Arrow's pool keeps of earlier ones goes back before the next is read, since a Python worker outlives its task and would hold it while others run."""
+    """The batches that a task reads. A Python worker outlives its task and would hold what it took while others run: what Arrow's pool keeps of earlier batches goes back before the next is read, and what the C library keeps goes back at the end."""
     pool = pa.default_memory_pool()
     for batch in batches:
         yield batch
         del batch
         pool.release_unused()
     pool.release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
