@@ -89,6 +89,48 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "left", most_rows
     return df.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
 
 
+def ascii_lower(text: Column) -> Column:
+    """text with A-Z alone in lower case; texts of ASCII alone go the fast way."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+#: Bits of a set of keys on the map side: 32 for each key, to at most 2**28, which are 32 MB.
+FEWEST_BITS, MOST_BITS, BITS_A_KEY, BLOCK_BITS = 15, 28, 32, 15
+
+
+def maybe_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows with maybe: false where the 64-bit hash of the column key is surely not that of a row of keys (a written table with a column of the same name), else true. A bitmap with one bit a key is cut into blocks of 4 KB and broadcast; its size is bounded, and when there are more keys than it tells apart, more rows are maybes."""
+    bits = max(FEWEST_BITS, min(MOST_BITS, (BITS_A_KEY * max(1, keys.count()) - 1).bit_length()))
+    at = lambda: F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
+    ones = keys.select(at().alias("bit")).groupBy(F.shiftright("bit", BLOCK_BITS).alias("bit_block"))
+    blocks = ones.agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))).alias("bit_map"))
+    rows = rows.select("*", at().alias("bit")).withColumn("bit_block", F.shiftright("bit", BLOCK_BITS))
+    rows = rows.join(F.broadcast(blocks), "bit_block", "left")
+    place = F.col("bit").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring("bit_map", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, CAST(bit & 7 AS INT))")) != 0
+    return rows.withColumn("maybe", F.coalesce(is_set, F.lit(False))).drop("bit", "bit_block", "bit_map")
+
+
+def join_where_held(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with held (a written table, one row a key; null keys meet) on key. Rows that are surely not held go by without a shuffle; only the others are joined."""
+    told = maybe_among(rows, key, held)
+    others = [c for c in held.columns if c != key]
+    free = told.where("NOT maybe").select(*rows.columns, *(F.lit(None).cast(held.schema[c].dataType).alias(c) for c in others))
+    right = held.withColumnRenamed(key, "held_key")
+    met = told.where("maybe").join(right, F.col(key).eqNullSafe(F.col("held_key")), "left").select(*rows.columns, *others)
+    return free.unionByName(met)
+
+
+def without_held(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not in held (a written table; null keys meet). Rows that are surely not held go by without a shuffle."""
+    told = maybe_among(rows, key, held)
+    right = held.select(F.col(key).alias("held_key"))
+    met = told.where("maybe").join(right, F.col(key).eqNullSafe(F.col("held_key")), "left_anti")
+    return told.where("NOT maybe").select(*rows.columns).unionByName(met.select(*rows.columns))
+
+
 def freeing(batches: Iterator) -> Iterator:
     """The batches that a task reads. A Python worker outlives its task and would hold what it took while others run: what Arrow's pool keeps of earlier batches goes back before the next is read, and what the C library keeps goes back at the end."""
     pool = pa.default_memory_pool()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrapane.llm import chat, classifier, licenses, quality, secrets
+from terrapane.llm import chat, classifier, licenses, linededup, quality, secrets
 
 
 def quoted(s: str) -> str:
@@ -203,6 +203,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+# --- 11 --------------------------------------------------------------------------------------------------------------
+
+
+LINES = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= {linededup.LEAST_CHARS} GROUP BY key HAVING count(DISTINCT rid) >= {linededup.LEAST_DOCS}),
+j AS (SELECT rid, k.doc_id, line, i, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.last AS goes FROM k LEFT JOIN c ON k.key = c.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE goes) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT goes), '')) AS kept_sha256 FROM j GROUP BY rid
+"""
+
+
 ORACLES = {
     "op2_quality_classifier": _classifier(),
     "op4_jaccard_join": JACCARD,
@@ -210,4 +223,5 @@ ORACLES = {
     "op6_chat_format": _chat(),
     "op7_license_scan": _licenses(),
     "op10_quality_rules": _quality(),
+    "op11_line_dedup": LINES,
 }

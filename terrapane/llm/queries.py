@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from terrapane.llm import audio, bpe, chat, classifier, jaccard, licenses, mixing, oracles, quality, secrets, tokencount
+from terrapane.llm import audio, bpe, chat, classifier, jaccard, licenses, linededup, mixing, oracles, quality, secrets, tokencount
 from terrapane.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_digest(quality.judge(table(spark, sf_dir, "documents")))
 
 
+def op11_line_dedup(spark, sf_dir):
+    return linededup.line_digest(linededup.with_kept_lines(table(spark, sf_dir, "documents")))
+
+
 _ALL = (
     op1_audio_fingerprints,
     op2_quality_classifier,
@@ -66,6 +70,7 @@ _ALL = (
     op8_token_counts,
     op9_mixing,
     op10_quality_rules,
+    op11_line_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = oracles.ORACLES
