@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrapane.llm import chat, classifier, licenses, linededup, quality, secrets
+from terrapane.llm import chat, classifier, licenses, linededup, quality, secrets, spelling
 
 
 def quoted(s: str) -> str:
@@ -216,6 +216,32 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
 """
 
 
+# --- 12 --------------------------------------------------------------------------------------------------------------
+
+
+SPELLINGS = rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n, string_split(concat(doc_id, ':', run), '') AS letters FROM r GROUP BY doc_id, run),
+b AS (SELECT doc_id, run, n, flatten(list_transform(letters, lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), ord(x) - 64] END)) AS bytes FROM c),
+h AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], bytes), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, crc),
+d AS (SELECT n, CASE WHEN h % {spelling.DAMAGE} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+cut AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+p AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT cut.word, w.word FROM cut JOIN w ON cut.rest = w.word
+  UNION SELECT w.word, cut.word FROM cut JOIN w ON cut.rest = w.word
+),
+f AS (
+  SELECT word, count(*) AS n_near, min({{'o': -other_n, 'w': other}}) AS best, any_value(n) AS n FROM (SELECT p.word, a.n, p.other, b.n AS other_n FROM p JOIN w a ON a.word = p.word JOIN w b ON b.word = p.other) GROUP BY word
+),
+g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.o >= 2 * w.n THEN best.w END AS form, CASE WHEN -best.o >= 2 * w.n THEN -best.o END AS form_n FROM w LEFT JOIN f ON f.word = w.word),
+walk AS (SELECT word, word AS at FROM g UNION ALL SELECT walk.word, g.form FROM walk JOIN g ON g.word = walk.at WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, walk.at AS root, g.n, g.n_near, CAST(g.form_n AS BIGINT) AS form_n FROM g JOIN walk ON walk.word = g.word JOIN g e ON e.word = walk.at WHERE e.form IS NULL
+"""
+
+
 ORACLES = {
     "op2_quality_classifier": _classifier(),
     "op4_jaccard_join": JACCARD,
@@ -224,4 +250,5 @@ ORACLES = {
     "op7_license_scan": _licenses(),
     "op10_quality_rules": _quality(),
     "op11_line_dedup": LINES,
+    "op12_spelling_variants": SPELLINGS,
 }

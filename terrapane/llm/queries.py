@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from terrapane.llm import audio, bpe, chat, classifier, jaccard, licenses, linededup, mixing, oracles, quality, secrets, tokencount
+from terrapane.llm import audio, bpe, chat, classifier, jaccard, licenses, linededup, mixing, oracles, quality, secrets, spelling, tokencount
 from terrapane.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op11_line_dedup(spark, sf_dir):
     return linededup.line_digest(linededup.with_kept_lines(table(spark, sf_dir, "documents")))
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_audio_fingerprints,
     op2_quality_classifier,
@@ -71,6 +75,7 @@ _ALL = (
     op9_mixing,
     op10_quality_rules,
     op11_line_dedup,
+    op12_spelling_variants,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = oracles.ORACLES
