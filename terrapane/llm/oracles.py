@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrapane.llm import chat, classifier, licenses, linededup, quality, secrets, spelling
+from terrapane.llm import chat, classifier, collocations, licenses, linededup, quality, secrets, spelling
 
 
 def quoted(s: str) -> str:
@@ -242,6 +242,27 @@ SELECT g.word, g.form, walk.at AS root, g.n, g.n_near, CAST(g.form_n AS BIGINT)
 """
 
 
+# --- 13 --------------------------------------------------------------------------------------------------------------
+
+
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, '{collocations.NO_LANG}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (SELECT lang, words[i:i + k - 1] AS words FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w) JOIN (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS k) ON i + k - 1 <= len(words)),
+f AS (SELECT lang, words, count(*) AS f FROM g GROUP BY lang, words HAVING count(*) >= {collocations.LEAST}),
+n AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang),
+cover AS (SELECT lang, words[1:len(words) - 1] AS words, f FROM f UNION ALL SELECT lang, words[2:], f FROM f),
+cand AS (SELECT f.* FROM f WHERE len(words) > 1 AND NOT EXISTS (SELECT 1 FROM cover WHERE cover.lang = f.lang AND cover.words = f.words AND cover.f >= f.f)),
+cut AS (
+  SELECT c.lang, c.words, c.f AS a, n.n, k, a.f AS l, b.f AS r, (1000::HUGEINT * c.f * n.n) // (a.f::HUGEINT * b.f) AS score
+  FROM (SELECT *, unnest(range(1, len(words))) AS k FROM cand) c JOIN n ON n.lang = c.lang JOIN f a ON a.lang = c.lang AND a.words = c.words[1:k] JOIN f b ON b.lang = c.lang AND b.words = c.words[k + 1:]
+),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS place FROM cut),
+ranked AS (SELECT *, array_to_string(words, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank FROM best WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= {collocations.TOP}
+"""
+
+
 ORACLES = {
     "op2_quality_classifier": _classifier(),
     "op4_jaccard_join": JACCARD,
@@ -251,4 +272,5 @@ ORACLES = {
     "op10_quality_rules": _quality(),
     "op11_line_dedup": LINES,
     "op12_spelling_variants": SPELLINGS,
+    "op13_collocations": PHRASES,
 }

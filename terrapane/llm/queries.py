@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from terrapane.llm import audio, bpe, chat, classifier, jaccard, licenses, linededup, mixing, oracles, quality, secrets, spelling, tokencount
+from terrapane.llm import audio, bpe, chat, classifier, collocations, jaccard, licenses, linededup, mixing, oracles, quality, secrets, spelling, tokencount
 from terrapane.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op12_spelling_variants(spark, sf_dir):
     return spelling.group_spellings(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_audio_fingerprints,
     op2_quality_classifier,
@@ -76,6 +80,7 @@ _ALL = (
     op10_quality_rules,
     op11_line_dedup,
     op12_spelling_variants,
+    op13_collocations,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = oracles.ORACLES
