@@ -148,12 +148,12 @@ def range_bounds(docs: DataFrame, window_range: int = RANGE, least_ranges: int =
     return [(lang.decode(), [bytes(w) for w in words]) for lang, words in cuts]
 
 
-def window_runs(docs: DataFrame, bounds: list[tuple[str, list[bytes]]]) -> DataFrame:
+def window_runs(docs: DataFrame, bounds: list[tuple[str, list[bytes]]], stretch: int = STRETCH) -> DataFrame:
     """part, lang, run: the windows of docs (lang, text), counted by stretches, in sorted runs, one for each range that a stretch meets."""
     known = [w for _, words in bounds for w in words if w]
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, parts in _stretches(freeing(batches), STRETCH, known):
+        for codes, parts in _stretches(freeing(batches), stretch, known):
             named = list(codes)
             named[0] = b""  # none, below all words
             order = sorted(range(len(named)), key=named.__getitem__)
@@ -214,10 +214,10 @@ def merged_counts(runs: list[bytes], least: int, bounds: list[list[bytes]]) -> I
         rows, n, group = rows[:, keep], n[keep], group[keep]
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, window_range: int = RANGE) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = LEAST, window_range: int = RANGE, stretch: int = STRETCH) -> DataFrame:
     """lang, words, f: all phrases of up to LONGEST words with f >= least, and the empty one, whose f counts all words of the language. Written."""
     bounds = range_bounds(docs, window_range, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = window_runs(docs, bounds)
+    runs = window_runs(docs, bounds, stretch)
     schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("f", pa.int64())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
