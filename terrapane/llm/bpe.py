@@ -204,9 +204,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         for batch in freeing(batches):
             for part in _slices(batch, pa.compute.binary_length(batch.column(1)).to_pylist()):
-                flat, ends = array("i"), [0]
+                flat, ends, last, own = array("i"), [0], None, array("i")
                 for text in part.column(1).to_pylist():
-                    flat.extend(c.encode(text))
+                    if text != last:  # copies that a mix takes stand together, and are encoded once
+                        last, own = text, array("i", c.encode(text))
+                    flat.extend(own)
                     ends.append(len(flat))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])

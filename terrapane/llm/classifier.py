@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import SPACES, WORD, carried, join_small, materialize, row_key, text_of
+from terrapane.llm.common import SPACES, WORD, carried, join_small, materialize, row_key, text_of, without_held
 
 BINS = 20
 SMOOTHING = 0.2  # added to each count
@@ -143,5 +143,5 @@ def filter_documents(docs: DataFrame, labels: DataFrame, host: str = "source", p
     rows = carried(docs, "doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path"))
     key = row_key("doc_id", "host", "path", "text")
     judged = posteriors(rows.drop("row").withColumn("key", key), labels, "host", "path", ("key",))
-    kept = materialize(judged.where("kept").select("key").distinct(), "kept")
-    return rows.select("row", key.alias("key")).join(kept, "key", "left_semi").select("row.*")
+    gone = materialize(judged.where(~F.coalesce("kept", F.lit(False))).select("key").distinct(), "gone")
+    return without_held(rows.select("row", key.alias("key")), gone, "key").select("row.*")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import carried, freeing, materialize, row_key, text_of
+from terrapane.llm.common import carried, freeing, materialize, row_key, text_of, without_held
 from terrapane.llm.graph import components
 
 WIDTH = 5
@@ -401,7 +401,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold=THRESHOLD) -> DataFr
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id"))
     one = named.where("label IS NOT NULL").groupBy("label").agg(first.alias("x")).select(F.col("x.id").alias("key"))
     kept = materialize(one.unionByName(named.where("label IS NULL").select(F.col("id").alias("key")).distinct()), "kept")
-    out = rows.join(kept, "key", "left_semi")
+    gone = materialize(named.select(F.col("id").alias("key")).distinct().join(kept, "key", "left_anti"), "gone")
+    out = without_held(rows, gone, "key")
     again = materialize(named.where("label IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("key")).join(kept, "key", "left_semi"), "again")
     if again.limit(1).count() == 0:
         return out.select("row.*")

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import WORD, carried, join_small, materialize, row_key, text_of
+from terrapane.llm.common import WORD, carried, join_small, join_where_held, materialize, row_key, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -166,14 +166,15 @@ def places(rows: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, tilt: float = TILT) -> DataFrame:
-    """docs as the mix takes them: each row as often as its copies say. Copies go with what a row says; only rows that are said again are written, to be numbered."""
+    """docs as the mix takes them: each row as often as its copies say. Copies go with what a row says; rows taken once go by without a join, and only rows that are said again are written, to be numbered."""
     sizes = materialize(sizes_of(docs), "sizes")
-    taken = materialize(dealt(sizes, weights, most, tilt).where("copies > 0").select("key", "rows", "copies"), "copies")
+    other = materialize(dealt(sizes, weights, most, tilt).where("rows <> 1 OR copies <> 1").select("key", "rows", "copies"), "copies")
     rows = carried(docs, row_key("doc_id", "source", "text").alias("key"))
-    picked = rows.join(taken.where("rows = 1"), "key").select("row", "copies")
-    shared = taken.where("rows > 1")
+    joined = join_where_held(rows, other, "key")
+    picked = joined.where("rows IS NULL OR rows = 1 AND copies > 0").select("row", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
+    shared = other.where("rows > 1")
     if shared.limit(1).count():
-        again = materialize(rows.join(shared, "key").withColumn("id", F.monotonically_increasing_id()), "again")
+        again = materialize(joined.where("rows > 1 AND copies > 0").withColumn("id", F.monotonically_increasing_id()), "again")
         numbered = again.join(places(again.select("id", "key")), "id")
         picked = picked.unionByName(numbered.select("row", share_of(F.col("place")).alias("copies")).where("copies > 0"))
     return picked.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
