@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from terrapane.llm.common import text_of
 
-#: Sentences of public licenses and notices. Identifier, sentence; <x> stands for one to LONGEST_PART words.
+#: Sentences of public licenses and notices. Identifier, sentence; <x> stands for one word or more.
 TEXTS = (
     ("mit-title", "The MIT License (MIT)"),
     ("mit-title", "The MIT License"),
@@ -94,7 +94,7 @@ NOTICES = ("Licensed under the {}.", "Released under the {}.", "Distributed unde
 COMMONS = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
 COMMONS_VERSIONS = ("3.0", "4.0")
 GNU = (("GPL", "", "2", "2.0"), ("GPL", "", "3", "3.0"), ("LGPL", "Lesser ", "2.1", "2.1"), ("LGPL", "Lesser ", "3", "3.0"), ("AGPL", "Affero ", "3", "3.0"))
-LONGEST_PART = 8  # words for a variable part
+LONGEST_LEAD = 8  # words of a part that begins a sentence and goes on over a line's end; on one line it has any number
 
 
 def _notices() -> list[tuple[str, str, str]]:
@@ -166,9 +166,10 @@ def known_plain(library) -> dict[str, str]:
 
 
 def sentence_pattern(plain: str, gap: str = r" (?:\| )?") -> str:
-    """A regex for the sentence's words; gap stands between them."""
-    part = rf"[a-z0-9]+(?:{gap}[a-z0-9]+){{0,{LONGEST_PART - 1}}}?"
-    return gap.join(part if w == "*" else w for w in plain.split())
+    """A regex for the sentence's words; gap stands between them. The fixed words are the anchors: between two of them, or after the last, a variable part is any words over any lines, as few as do. What begins a sentence has no anchor before it; so it is any words of one piece, or LONGEST_LEAD at most over pieces, or it would take in all that stands before."""
+    part = "[a-z0-9][a-z0-9 |]*?"
+    lead = rf"(?:[a-z0-9]+(?:{gap}[a-z0-9]+){{0,{LONGEST_LEAD - 1}}}?|[a-z0-9][a-z0-9 ]*?)"
+    return gap.join((part if i else lead) if w == "*" else w for i, w in enumerate(plain.split()))
 
 
 def pieces(text: Column) -> Column:

@@ -168,10 +168,12 @@ def _fences(name: str, keys: tuple[str, ...]) -> str:
 
 
 def _narrowest(side: str, m: str) -> str:
-    """The rule of quality.thresholds: the narrowest of the group's, its language's and (one-sided metrics) all documents' fences."""
+    """The rule of quality.thresholds: the narrowest of the group's and its language's fences, shrunk to what is above them, and (one-sided metrics) all documents'."""
     x, pick = f"{side}_{m}", "greatest" if side == "low" else "least"
-    near = f"{pick}(CASE WHEN own.n >= {quality.LEAST} THEN own.{x} END, CASE WHEN la.n >= {quality.LEAST} THEN la.{x} END)"
-    return f"coalesce({near}, al.{x}) AS {x}" if quality.METRICS[m][1] else f"{pick}({near}, al.{x}) AS {x}"
+    shrunk = lambda n, fence, above: f"(CAST({n} AS DOUBLE) * {fence} + {quality.PRIOR} * {above}) / ({n} + {quality.PRIOR})"
+    of_lang = shrunk("la.n", f"la.{x}", f"CAST(al.{x} AS DOUBLE)")
+    near = f"{pick}({shrunk('own.n', f'own.{x}', of_lang)}, {of_lang})"
+    return f"{near} AS {x}" if quality.METRICS[m][1] else f"{pick}({near}, al.{x}) AS {x}"
 
 
 def _quality() -> str:

@@ -5,10 +5,11 @@ sketches of the log-linear kind: values below 128 are counted each on their own,
 seven leading bits, so a quantile read from the sketch is at most 1/64 of itself too small, whatever the range. Counts of
 bins add up over partitions and groups in any order, and a sketch has at most 128 bins and 64 for each further doubling
 of the greatest value. Thresholds are fences read from the sketch (the upper one q90 + FENCE * (q90 - q50) + slack, the
-lower one alike), joined back to the documents. A group with fewer than LEAST documents reads the sketch of its language,
-or else of all. No group's fence is wider than its language's, nor (but for word lengths, which go with the language)
-than that of all documents, so that a source or language with much junk does not make room for it; what more than a
-tenth of all documents have is not junk.
+lower one alike), joined back to the documents. A group's fence is shrunk towards its language's, and a language's towards
+that of all documents, as if PRIOR documents had said so; a group's say grows with its documents, without a step. No
+group's fence is wider than its language's, nor (but for word lengths, which go with the language) than that of all
+documents, so that a source or language with much junk does not make room for it; what more than a tenth of all documents
+have is not junk.
 
 Defined results: null text has no words and fails the base rules; null language or source is a group of its own; rows of
 an equal doc_id are judged each on its own; other columns are ignored by `judge` and kept by `filter_documents`, whatever
@@ -25,7 +26,7 @@ from terrapane.llm.common import SPACES, WORD, carried, join_small, let, materia
 LEAST_WORDS = 50
 MOST_REPEAT_PERCENT = 50
 FENCE = 3
-LEAST = 100
+PRIOR = 100  # documents that the fence above a group's own counts for
 EXACT_BITS = 7  # of a value, that its bin keeps
 #: metric (in thousandths, word_length in tenths): slack above the upper fence; a lower fence too?
 METRICS = {"symbols": (20, False), "dup_lines": (300, False), "repeats": (300, False), "word_length": (20, True)}
@@ -116,7 +117,7 @@ def fences(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and their fences: the narrowest of the group's, its language's and all documents', where the first two have LEAST documents. The fences of all hold for two-sided metrics only where neither has."""
+    """lang, source and their fences: the narrowest of the group's and its language's, both shrunk to what is above them, and, for one-sided metrics, all documents'."""
     names = [f"{side}_{m}" for side in ("low", "high") for m in METRICS]
     own = fences(sketch, ("lang", "source"))
     lang = fences(sketch, ("lang",)).select(F.col("lang").alias("of"), F.col("n").alias("lang_n"), *(F.col(x).alias(f"lang_{x}") for x in names))
@@ -124,9 +125,11 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     both = own.join(lang, F.col("lang").eqNullSafe(F.col("of")), "left").join(F.broadcast(every.limit(1)), F.lit(True), "left")
 
     def narrowest(side: str, m: str) -> Column:
-        x, pick = f"{side}_{m}", F.greatest if side == "low" else F.least  # both pass over nulls
-        near = pick(F.when(F.col("n") >= LEAST, F.col(x)), F.when(F.col("lang_n") >= LEAST, F.col(f"lang_{x}")))
-        return (F.coalesce(near, F.col(f"all_{x}")) if METRICS[m][1] else pick(near, F.col(f"all_{x}"))).alias(x)
+        x, pick = f"{side}_{m}", F.greatest if side == "low" else F.least
+        shrunk = lambda n, fence, above: (F.col(n) * F.col(fence) + PRIOR * above) / (F.col(n) + PRIOR)
+        of_lang = shrunk("lang_n", f"lang_{x}", F.col(f"all_{x}"))
+        near = pick(shrunk("n", x, of_lang), of_lang)
+        return (near if METRICS[m][1] else pick(near, F.col(f"all_{x}"))).alias(x)
 
     return both.select("lang", "source", *(narrowest(side, m) for side in ("low", "high") for m in METRICS))
 

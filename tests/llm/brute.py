@@ -53,7 +53,7 @@ def quality(text):
     return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), repeat, failed
 
 
-def licenses(text, sentences, rules, longest_part):
+def licenses(text, sentences, rules, longest_lead):
     """n_sentences, licenses: word by word, without the operator's regexes."""
     plain = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).split()
     words, edges = [], {0}
@@ -66,13 +66,14 @@ def licenses(text, sentences, rules, longest_part):
         key = tuple(w for part in re.split("(<[^>]*>)", s) for w in (["*"] if part.startswith("<") else plain(part)))
         known.setdefault(key, name)
 
-    def ends(key, at):
+    def ends(key, at, first=True):
         """Where the sentence may end if it begins at this word."""
         if not key:
             return {at}
         if key[0] == "*":
-            return set().union(*(ends(key[1:], at + k) for k in range(1, longest_part + 1) if at + k <= len(words)), set())
-        return ends(key[1:], at + 1) if at < len(words) and words[at] == key[0] else set()
+            some = (k for k in range(1, len(words) - at + 1) if not first or k <= longest_lead or not any(e in edges for e in range(at + 1, at + k)))
+            return set().union(*(ends(key[1:], at + k, False) for k in some), set())
+        return ends(key[1:], at + 1, False) if at < len(words) and words[at] == key[0] else set()
 
     found, at = [], 0
     order = sorted(known, key=lambda k: (-len(" ".join(k)), " ".join(k)))

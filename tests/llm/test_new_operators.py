@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from terrapane.llm import collocations, linededup, spelling
+from terrapane.llm import collocations, linededup, quality, spelling
 from terrapane.llm.common import join_where_held, materialize, without_held
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -244,3 +244,18 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_no_texts_no_phrases(spark):
     assert collocations.collocations(frame(spark, [(1, "a b", "en")]).limit(0)).collect() == []
     assert collocations.collocations(frame(spark, [(1, None, None), (2, "", "en")])).collect() == []
+
+
+# --- quality fences ------------------------------------------------------------------------------------------------------
+
+
+def test_fences_move_smoothly_with_a_group(spark):
+    """Groups of 1 to 400 equal documents: fences change by less than a hundredth of the gap for a document more, and reach the group's own."""
+    high = {}
+    for n in (1, 50, 99, 100, 101, 400):
+        rows = [("en", "small", "symbols", 10, n)] + [("en", "large", "symbols", b, 1_000) for b in (0, 40, 90)]
+        sketch = spark.createDataFrame(rows, "lang string, source string, metric string, bin long, n long")
+        high[n] = {r.source: r.high_symbols for r in quality.thresholds(sketch).collect()}["small"]
+    own, lang = 10 + 20, 90 + 3 * 50 + 20
+    assert all(abs(h - (n * own + quality.PRIOR * lang) / (n + quality.PRIOR)) < 5 for n, h in high.items())
+    assert abs(high[99] - high[100]) < 0.01 * (lang - own) > abs(high[100] - high[101])

@@ -246,7 +246,7 @@ def test_audio_recall_by_bit_errors_alone(spark, sf):
     prints = [audio.fingerprint(audio.chroma(*audio.tones(v))) for v in base]
     prints = [p for i, p in enumerate(prints) if not any(np.array_equal(p, q) for q in prints[:i])]
     rng, rows, rate = np.random.default_rng(3), list(enumerate(prints)), {}
-    for percent in (5, 10, 15, 20, 24):
+    for percent in (5, 10, 15, 18, 20):
         for i, p in enumerate(prints):
             flips = (rng.random((len(p), 32)) < percent / 100) @ (1 << np.arange(32, dtype=np.int64))
             rate[len(rows)] = percent
@@ -263,9 +263,11 @@ def test_audio_recall_by_bit_errors_alone(spark, sf):
                 if n >= audio.LEAST_OVERLAP and (e := int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n)) <= audio.MOST_ERROR:
                     want[q, m] = min(want.get((q, m), (9, 0)), (e, s))
     assert set(got) <= set(want) and all(got[k][0] == want[k][1] and abs(got[k][1] - want[k][0]) < 1e-6 for k in got)
-    recall = {p: sum(k in got for k in want if rate.get(k[1]) == p) / sum(rate.get(k[1]) == p for k in want) for p in (5, 10, 15, 20, 24)}
+    recall = {p: sum(k in got for k in want if rate.get(k[1]) == p) / sum(rate.get(k[1]) == p for k in want) for p in (5, 10, 15, 18, 20)}
     print("recall", recall)
-    assert recall[5] == recall[10] == 1 and recall[15] >= 0.97 and recall[20] >= 0.8
+    assert recall[5] == recall[10] == 1 and recall[15] >= 0.97 and recall[18] >= 0.9 and recall[20] >= 0.9
+    near = [k for k, (e, _) in want.items() if e > 0.18]  # the alignments next to the bound itself
+    assert len(near) > 20 and sum(k in got for k in near) >= 0.9 * len(near)
 
 
 def test_audio_empty(spark):
@@ -728,6 +730,20 @@ def test_wrapped_licenses(spark):
     assert got == {i: (WRAPPED[i.split(" ")[0]][1], [i.split(" ")[0]]) for i, _ in rows}
 
 
+def test_variable_parts_have_any_length(spark):
+    """A clause with holders of 1 to 40 words, on one line and wrapped."""
+    import textwrap
+
+    rows = []
+    for n in (1, 8, 9, 11, 40):
+        name = " ".join(f"holder{i}" for i in range(n))
+        clause = f"Neither the name of {name} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+        lead = f"{' '.join(f'prog{i}' for i in range(n))} is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+        rows += [(f"name {n}", clause), (f"wrapped {n}", textwrap.fill(clause, 60)), (f"lead {n}", lead)]
+    got = {r.doc_id: r.found for r in licenses.known_sentences(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {i: ["later-GPL-3.0" if i.startswith("lead") else "bsd-name"] for i, _ in rows}
+
+
 def test_licenses_equal_a_plain_scan(spark):
     """Texts cut from licenses at random and refilled to other widths, against word-by-word matching without regexes."""
     import textwrap
@@ -739,7 +755,7 @@ def test_licenses_equal_a_plain_scan(spark):
         picked = [parts[j] for j in rng.integers(0, len(parts), rng.integers(1, 6))]
         rows.append((i, "\n\n".join(textwrap.fill(x, int(rng.integers(24, 100))) for x in picked)))
     got = {r.doc_id: (r.n_sentences, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: brute.licenses(t, licenses.SENTENCES, licenses.RULES, licenses.LONGEST_PART) for i, t in rows}
+    assert got == {i: brute.licenses(t, licenses.SENTENCES, licenses.RULES, licenses.LONGEST_LEAD) for i, t in rows}
     assert len({tuple(x[1]) for x in got.values()}) > 10
 
 
