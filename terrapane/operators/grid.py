@@ -133,11 +133,29 @@ def drop_zero_ancestors(tiles: DataFrame, zero: DataFrame, ref_level: int) -> Da
     return keyed.join(refs, ["zone", "r_x", "r_y"], "left_anti").drop("r_x", "r_y")
 
 
-def zones_of_bounds(west: Column, south: Column, east: Column, north: Column) -> Column:
-    """Array of the UTM zones that a box of degrees reaches, by its middle's hemisphere."""
+def bounds_parts(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Array of the parts (w, s, e, n) of a box of degrees, cut at 180 degrees, if west > east, and at the equator; at most four. A part up to the equator from below is southern."""
+    at = lambda *x: F.struct(*(v.cast("double").alias(c) for v, c in zip(x, "wsen", strict=True)))
+    zero, turn = F.lit(0.0), F.lit(180.0)
+    wide = F.when(west > east, F.array(at(west, south, turn, north), at(-turn, south, east, north))).otherwise(F.array(at(west, south, east, north)))
+    crosses = (south < 0) & (north > 0)
+    cut = lambda p: F.when(crosses, F.array(at(p["w"], p["s"], p["e"], zero), at(p["w"], zero, p["e"], p["n"]))).otherwise(F.array(p))
+    return F.flatten(F.transform(wide, cut))
+
+
+def zone_numbers(west: Column, east: Column) -> Column:
     number = lambda lon: F.least(F.lit(60), (F.floor((lon + 180) / 6) + 1).cast("int"))
-    side = F.when((south + north) / 2 >= 0, F.lit("N")).otherwise(F.lit("S"))
-    return F.transform(F.sequence(number(west), number(east)), lambda z: F.concat(z.cast("string"), side))
+    return F.sequence(number(west), number(east))
+
+
+def side_of(south: Column) -> Column:
+    return F.when(south < 0, F.lit("S")).otherwise(F.lit("N"))
+
+
+def zones_of_bounds(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Array of the UTM zones that a box of degrees reaches, over 180 degrees and on both sides of the equator."""
+    zones = lambda p: F.transform(zone_numbers(p["w"], p["e"]), lambda z: F.concat(z.cast("string"), side_of(p["s"])))
+    return F.array_distinct(F.flatten(F.transform(bounds_parts(west, south, east, north), zones)))
 
 
 def overlapping(a: DataFrame, b: DataFrame, cell: float, a_id: str, b_id: str) -> DataFrame:
@@ -177,9 +195,10 @@ def utm_lattice(bounds: DataFrame, spacing_m: float) -> DataFrame:
 
 
 def scene_grids(scenes: DataFrame, levels: tuple[int, ...], key: str = "scene_id") -> DataFrame:
-    """scenes (key, west, south, east, north in degrees) to the tiles of every zone that they reach, whose boxes touch the scene's: key, zone, level, x_idx, y_idx. All scenes, zones and levels in one job; a scene's corners and edge middles give its bounds in a zone."""
-    zoned = scenes.select(key, "west", "south", "east", "north", F.explode(zones_of_bounds(F.col("west"), F.col("south"), F.col("east"), F.col("north"))).alias("zone"))
-    zoned = zoned.withColumn("zone_num", F.regexp_extract("zone", r"^(\d+)", 1).cast("int")).withColumn("is_south", F.col("zone").endswith("S"))
+    """scenes (key, west, south, east, north in degrees) to the tiles of every zone that they reach, whose boxes touch the scene's: key, zone, level, x_idx, y_idx. All scenes, zones and levels in one job; a scene's corners and edge middles give its bounds in a zone. A scene with west > east goes over 180 degrees, and one over the equator has tiles of both sides, none beyond it."""
+    parts = scenes.select(key, F.inline(bounds_parts(F.col("west"), F.col("south"), F.col("east"), F.col("north"))))
+    zoned = parts.select(key, F.col("w").alias("west"), F.col("s").alias("south"), F.col("e").alias("east"), F.col("n").alias("north"), F.explode(zone_numbers(F.col("w"), F.col("e"))).alias("zone_num"))
+    zoned = zoned.withColumn("is_south", F.col("south") < 0).withColumn("zone", F.concat(F.col("zone_num").cast("string"), side_of(F.col("south"))))
     # a scene's part in the zone, to the zone's edges
     low, high = 6.0 * F.col("zone_num") - 186, 6.0 * F.col("zone_num") - 180
     zoned = zoned.withColumn("w", F.greatest("west", low)).withColumn("e", F.least("east", high)).withColumn("mid", (6.0 * F.col("zone_num") - 183))
@@ -188,7 +207,7 @@ def scene_grids(scenes: DataFrame, levels: tuple[int, ...], key: str = "scene_id
     rows = projection.apply(rows, projection.utm_forward())
     boxes = rows.groupBy(key, "zone", "south").agg(F.min("easting").alias("minx"), F.min("northing").alias("miny"), F.max("easting").alias("maxx"), F.max("northing").alias("maxy"))
     boxes = boxes.withColumn("origin_x", F.lit(UTM_X0)).withColumn("origin_y", F.when(F.col("south"), UTM_Y0_SOUTH).otherwise(0))
-    made = [bounds_grid(boxes, level).select(key, "zone", "level", "x_idx", "y_idx") for level in levels]
+    made = [bounds_grid(boxes, level).where("NOT (south AND y_idx >= 0)").select(key, "zone", "level", "x_idx", "y_idx") for level in levels]
     return reduce(DataFrame.unionByName, made)
 
 

@@ -47,5 +47,6 @@ def write_wgs84(tiles: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def merge_files(tiles_by_file: DataFrame, path: str, mode: str = "error") -> None:
-    """Grid files of any levels and zones, read as one table (files.read_tables), merged to one WGS84 table without repeated tiles."""
-    write_wgs84(tiles_by_file.dropDuplicates(["tile_id"]), path, mode)
+    """Grid files of any levels and zones, read as one table (files.read_tables), merged to one WGS84 table without repeated tiles: of rows of one tile_id, that with the smallest hash of all columns stays."""
+    one = tiles_by_file.groupBy("tile_id").agg(F.min_by(F.struct(*tiles_by_file.columns), F.xxhash64(*tiles_by_file.columns)).alias("row"))
+    write_wgs84(one.select("row.*"), path, mode)

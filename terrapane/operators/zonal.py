@@ -11,6 +11,7 @@ from terrapane.operators.grid import overlapping
 
 #: Code of pixels outside the tile's polygon, and of placeholder tiles.
 OUTSIDE, OVERSIZED = 1, -1
+MOST_GRIDS = 64  # (level, origin_x, origin_y) of one call of scene_chips
 
 
 def class_shares(pixels: DataFrame, digits: int = 5) -> DataFrame:
@@ -101,9 +102,12 @@ def scene_chips(tiles: DataFrame, pixels: DataFrame, least_clear: float = 0.8) -
     Pixels find their tiles by index arithmetic on each level and origin of the tiles, not by a spatial test. A chip below the clear ratio,
     or with nothing but zeros, is left out. A tile is bounded by its level's pixels.
     """
-    grids = tiles.select("level", "origin_x", "origin_y").distinct()  # a few rows
+    grids = tiles.select("level", "origin_x", "origin_y").distinct().limit(MOST_GRIDS + 1).collect()
+    if len(grids) > MOST_GRIDS:
+        raise ValueError(f"tiles have more than {MOST_GRIDS} grids (level, origin_x, origin_y): a pixel is looked up in each")
+    found = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in ("level", "origin_x", "origin_y"))) for r in grids)) if grids else F.array().cast(tiles.select(F.array(F.struct("level", "origin_x", "origin_y"))).schema[0].dataType)
     at = lambda c, o: F.floor((F.col(c) - F.col(o)) / F.col("level")).cast("long")
-    placed = pixels.select("scene_id", "x", "y", "value", "clear").join(F.broadcast(grids)).withColumn("x_idx", at("x", "origin_x")).withColumn("y_idx", at("y", "origin_y"))
+    placed = pixels.select("scene_id", "x", "y", "value", "clear", F.inline(found)).withColumn("x_idx", at("x", "origin_x")).withColumn("y_idx", at("y", "origin_y"))
     keys = ["level", "origin_x", "origin_y", "x_idx", "y_idx"]
     rows = placed.join(tiles.select("tile_id", *keys), keys)
     pixel = F.struct((-F.col("y")).alias("down"), "x", "value", F.col("clear").cast("int").alias("clear"))

@@ -204,11 +204,23 @@ def latlon_to_tile(spark, sf_dir):
     return spatial.points_to_tiles(view(spark, sf_dir, "customer", POINTS), 1200).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Every ninth box goes over 180 degrees.
+TURNED_BOXES = ("p_partkey AS k", *(f"CASE WHEN p_partkey % 9 = 0 THEN {t} ELSE {c} END AS {n}" for t, c, n in (("179.0 - p_size % 20", DEGREE_BOXES[1][:-8], "west"), ("-178.5 + p_size % 7", DEGREE_BOXES[3][:-8], "east"))), DEGREE_BOXES[2], DEGREE_BOXES[4])
+
+
+def parts_sql(base: str) -> str:
+    """The boxes of degrees of base, cut at 180 degrees and at the equator."""
+    turned = f"SELECT * FROM ({base}) WHERE west <= east UNION ALL SELECT * REPLACE (180.0 AS east) FROM ({base}) WHERE west > east UNION ALL SELECT * REPLACE (-180.0 AS west) FROM ({base}) WHERE west > east"
+    over = "south < 0 AND north > 0"
+    return f"SELECT * FROM ({turned}) WHERE NOT ({over}) UNION ALL SELECT * REPLACE (0.0 AS north) FROM ({turned}) WHERE {over} UNION ALL SELECT * REPLACE (0.0 AS south) FROM ({turned}) WHERE {over}"
+
+
 @query(
-    f"SELECT k, concat(CAST(unnest(range(CAST(least(60, floor((west + 180) / 6) + 1) AS BIGINT), CAST(least(60, floor((east + 180) / 6) + 1) AS BIGINT) + 1)) AS STRING), CASE WHEN (south + north) / 2 >= 0 THEN 'N' ELSE 'S' END) AS zone FROM ({sql('part', DEGREE_BOXES)})"
+    "SELECT DISTINCT k, concat(CAST(unnest(range(CAST(least(60, floor((west + 180) / 6) + 1) AS BIGINT), CAST(least(60, floor((east + 180) / 6) + 1) AS BIGINT) + 1)) AS STRING), CASE WHEN south < 0 THEN 'S' ELSE 'N' END) AS zone "
+    f"FROM ({parts_sql(sql('part', TURNED_BOXES))})"
 )
 def zones_from_bounds(spark, sf_dir):
-    b = view(spark, sf_dir, "part", DEGREE_BOXES)
+    b = view(spark, sf_dir, "part", TURNED_BOXES)
     return b.select("k", F.explode(grid.zones_of_bounds(F.col("west"), F.col("south"), F.col("east"), F.col("north"))).alias("zone"))
 
 

@@ -9,7 +9,7 @@ from terrapane.functions import projection, tileid
 from terrapane.operators import grid, reproject, spatial, zonal
 from terrapane.plans import catalog
 from terrapane.plans.more_queries import LABELS
-from terrapane.plans.queries import FORWARD, POLAR, longs, query
+from terrapane.plans.queries import FORWARD, POLAR, longs, parts_sql, query
 from terrapane.plans.views import FOOTPRINTS, METRE_BOXES, POINTS, POLAR_POINTS, choose, nest, sql, table, tile_text, view
 
 CORNERS_OF = "(VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) AS c(corner, dx, dy)"
@@ -84,20 +84,28 @@ def utm_lattice(spark, sf_dir):
 
 
 _W, _S = "CAST((p_partkey * 7919) % 34000 AS DOUBLE) / 100 - 179.7", "CAST((p_partkey * 104729) % 14000 AS DOUBLE) / 100 - 75.5"
-SCENES = ("p_partkey AS scene_id", f"{_W} AS west", f"{_S} AS south", f"{_W} + (p_size % 20 + 1) * 0.1 AS east", f"{_S} + (p_size % 5 + 1) * 0.1 AS north")
+#: Every ninth scene goes over 180 degrees, and every eleventh over the equator.
+_TURNED, _OVER = "p_partkey % 9 = 0", "p_partkey % 11 = 0"
+SCENES = (
+    "p_partkey AS scene_id",
+    f"CASE WHEN {_TURNED} THEN 179.3 + (p_size % 5) * 0.1 ELSE {_W} END AS west",
+    f"CASE WHEN {_OVER} THEN -0.15 ELSE {_S} END AS south",
+    f"CASE WHEN {_TURNED} THEN -179.9 + (p_size % 4) * 0.2 ELSE {_W} + (p_size % 20 + 1) * 0.1 END AS east",
+    f"CASE WHEN {_OVER} THEN 0.05 + (p_size % 3) * 0.1 ELSE {_S} + (p_size % 5 + 1) * 0.1 END AS north",
+)
 SCENE_LEVELS = (12000, 2400)
 
 
 def _scenes_sql() -> str:
     number = lambda x: f"CAST(least(60, floor(({x} + 180) / 6) + 1) AS BIGINT)"
-    zoned = f"SELECT *, unnest(range({number('west')}, {number('east')} + 1)) AS zone_num, (south + north) / 2 < 0 AS is_south FROM ({sql('part', SCENES)})"
+    zoned = f"SELECT *, unnest(range({number('west')}, {number('east')} + 1)) AS zone_num, south < 0 AS is_south FROM ({parts_sql(sql('part', SCENES))})"
     clipped = f"SELECT *, greatest(west, 6.0 * zone_num - 186) AS w, least(east, 6.0 * zone_num - 180) AS e, 6.0 * zone_num - 183 AS mid FROM ({zoned})"
     points = f"SELECT scene_id, zone_num, is_south AS south, unnest([w, e, least(e, greatest(w, mid)), w, e, least(e, greatest(w, mid))]) AS lon, unnest([south, south, south, north, north, north]) AS lat FROM ({clipped})"
     boxes = f"SELECT scene_id, zone_num, south, min(easting) AS a, min(northing) AS b, max(easting) AS c, max(northing) AS d, CASE WHEN south THEN 10000000 ELSE 0 END AS y0 FROM ({nest(points, projection.utm_forward())}) GROUP BY scene_id, zone_num, south"
     out = []
     for level in SCENE_LEVELS:
         at = lambda v, o: f"CAST(floor(({v} - {o}) / {level}) AS BIGINT)"  # noqa: B023, E731
-        tiles = f"SELECT *, unnest(range({at('b', 'y0')}, {at('d', 'y0')} + 1)) AS y FROM (SELECT *, unnest(range({at('a', '100000')}, {at('c', '100000')} + 1)) AS x FROM ({boxes}))"
+        tiles = f"SELECT *, unnest(range({at('b', 'y0')}, CASE WHEN south THEN least(0, {at('d', 'y0')} + 1) ELSE {at('d', 'y0')} + 1 END)) AS y FROM (SELECT *, unnest(range({at('a', '100000')}, {at('c', '100000')} + 1)) AS x FROM ({boxes}))"
         out.append(f"SELECT scene_id, concat(CAST(zone_num AS STRING), CASE WHEN south THEN 'S' ELSE 'N' END) AS zone, CAST({level} AS BIGINT) AS level, count(*) AS n, CAST(sum(x) AS BIGINT) AS x_sum, CAST(sum(y) AS BIGINT) AS y_sum FROM ({tiles}) GROUP BY ALL")
     return " UNION ALL ".join(out)
 
