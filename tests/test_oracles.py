@@ -1,7 +1,7 @@
 import oracle
 import pytest
 
-from terrapane.plans import more_queries, raster_queries, world_queries  # noqa: F401
+from terrapane.plans import more_queries, raster_queries, source_queries, world_queries  # noqa: F401
 from terrapane.plans.queries import ORACLES, QUERIES
 
 
