@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapane.dims import POLAR_HALF, UTM_X0, UTM_Y0_SOUTH
-from terrapane.functions import projection, tileid
+from terrapane.functions import polygons, projection, tileid
+from terrapane.operators.grid import overlapping
 
 
 def with_zone(points: DataFrame) -> DataFrame:
@@ -38,3 +39,17 @@ def assign_tiles(points: DataFrame, tiles: DataFrame, level: int) -> DataFrame:
     held = points_to_tiles(points, level).withColumnRenamed("tile_id", "own_tile")
     right = tiles.select(F.col("tile_id"), *(c for c in tiles.columns if c != "tile_id"))
     return held.join(right, F.col("own_tile") == F.col("tile_id"), "left")
+
+
+def boxes_in_polygons(shapes: DataFrame, boxes: DataFrame, cell: float, shape_id: str, box_id: str, whole: bool = False) -> DataFrame:
+    """shape_id, box_id: boxes (box_id, minx … maxy) that a polygon (shape_id, edges) meets and whose centre is within it; with whole, those that lie in it with all corners and that no edge meets. Bounds meet in coarse cells by an equi-join; the exact tests see only pairs of overlapping bounds."""
+    bounded = shapes.select(shape_id, *polygons.bounds_of(F.col("edges")))
+    pairs = overlapping(bounded, boxes.select(box_id, "minx", "miny", "maxx", "maxy"), cell, shape_id, box_id)
+    both = pairs.join(boxes.select(box_id, "minx", "miny", "maxx", "maxy"), box_id).join(shapes.select(shape_id, "edges"), shape_id)
+    box, edges = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")], F.col("edges")
+    if whole:
+        corners = [polygons.inside(F.col(x), F.col(y), edges) for x in ("minx", "maxx") for y in ("miny", "maxy")]
+        test = ~F.exists("edges", lambda e: polygons.edge_meets_box(e, *box)) & corners[0] & corners[1] & corners[2] & corners[3]
+    else:
+        test = polygons.meets_box(edges, *box) & polygons.inside((box[0] + box[2]) / 2, (box[1] + box[3]) / 2, edges)
+    return both.where(test).select(shape_id, box_id)

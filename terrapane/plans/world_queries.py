@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrapane.dims import BIOMES, CLIMATES, CODES, POLAR_HALF, zone_table
-from terrapane.functions import projection, tileid
+from terrapane.functions import polygons, projection, tileid
 from terrapane.operators import grid, reproject, spatial, zonal
 from terrapane.plans import catalog
 from terrapane.plans.more_queries import LABELS
@@ -172,3 +172,26 @@ def legend_lookup(spark, sf_dir):
     of = lambda pairs: F.create_map(*(F.lit(x) for p in pairs for x in p))
     rows = view(spark, sf_dir, "customer", CLASSED)
     return rows.select("k", F.element_at(of(CLIMATE_OF), F.col("climate")).alias("climate_group"), F.element_at(of(BIOMES), F.col("biome")).alias("biome_name"))
+
+
+#: An arrow with a notch, and a hole in it, in units of each customer's own size, as WKT.
+OUTER, HOLE = ((0, 0), (10, 0), (10, 10), (5, 4), (0, 10)), ((4, 1), (4, 3), (6, 3), (6, 1))
+_PX, _PY, _PS = "(c_custkey * 6029) % 100000 + 0.125", "(c_custkey * 15485863) % 100003 + 0.375", "(c_custkey % 30 + 40)"
+_POINT = "concat(CAST({x} * {s} + {px} AS STRING), ' ', CAST({y} * {s} + {py} AS STRING))"
+_RING = lambda ring: "concat('(', concat_ws(', ', " + ", ".join(_POINT.format(x=x, y=y, s=_PS, px=_PX, py=_PY) for x, y in (*ring, ring[0])) + "), ')')"
+SHAPES = ("c_custkey AS shape_id", f"concat('POLYGON (', {_RING(OUTER)}, ', ', {_RING(HOLE)}, ')') AS wkt")
+_EDGES = [(*a, *b) for ring in (OUTER, HOLE) for a, b in zip(ring, (*ring[1:], ring[0]), strict=True)]
+
+
+@query(
+    f"WITH t AS (SELECT * FROM (VALUES {', '.join(map(str, _EDGES))}) AS v(ax, ay, bx, b_y)), "
+    f"e AS (SELECT c_custkey AS shape_id, ax * {_PS} + {_PX} AS x1, ay * {_PS} + {_PY} AS y1, bx * {_PS} + {_PX} AS x2, b_y * {_PS} + {_PY} AS y2 FROM customer, t), "
+    "d AS (SELECT shape_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2 FROM e), "
+    "s AS (SELECT shape_id, min(x1) AS lx, max(x1) AS hx, min(y1) AS ly, max(y1) AS hy FROM d GROUP BY shape_id), "
+    f"p AS (SELECT shape_id, b.*, (minx + maxx) / 2 AS px, (miny + maxy) / 2 AS py FROM s JOIN ({sql('part', METRE_BOXES)}) b ON minx <= hx AND maxx >= lx AND miny <= hy AND maxy >= ly) "
+    "SELECT p.shape_id, box_id FROM p JOIN d ON d.shape_id = p.shape_id WHERE (y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / (y2 - y1) + x1 GROUP BY p.shape_id, box_id HAVING count(*) % 2 = 1"
+)
+def polygon_boxes(spark, sf_dir):
+    """Boxes that a concave polygon with a hole meets and that have their centre in it. A centre inside is a meeting, so the plain SQL needs the one test."""
+    shapes = view(spark, sf_dir, "customer", SHAPES).select("shape_id", polygons.edges_of(polygons.rings_of_wkt(F.col("wkt"))).alias("edges"))
+    return spatial.boxes_in_polygons(shapes, view(spark, sf_dir, "part", METRE_BOXES), 2000.0, "shape_id", "box_id")
