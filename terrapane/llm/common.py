@@ -113,21 +113,28 @@ def maybe_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return rows.withColumn("maybe", F.coalesce(is_set, F.lit(False))).drop("bit", "bit_block", "bit_map")
 
 
-def join_where_held(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
-    """rows left-joined with held (a written table, one row a key; null keys meet) on key. Rows that are surely not held go by without a shuffle; only the others are joined."""
-    told = maybe_among(rows, key, held)
+#: Rows of keys that are broadcast, with their few numbers; beyond it, a bitmap tells which rows have to be shuffled.
+MOST_BROADCAST = 200_000
+
+
+def join_where_held(rows: DataFrame, held: DataFrame, key: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """rows left-joined with held (a written table, one row a key; null keys meet) on key. Up to most_broadcast rows, held is broadcast; beyond, rows that are surely not held go by without a shuffle, and only the others are joined."""
     others = [c for c in held.columns if c != key]
+    right, same = held.withColumnRenamed(key, "held_key"), F.col(key).eqNullSafe(F.col("held_key"))
+    if held.count() <= most_broadcast:
+        return rows.join(F.broadcast(right), same, "left").select(*rows.columns, *others)
+    told = maybe_among(rows, key, held)
     free = told.where("NOT maybe").select(*rows.columns, *(F.lit(None).cast(held.schema[c].dataType).alias(c) for c in others))
-    right = held.withColumnRenamed(key, "held_key")
-    met = told.where("maybe").join(right, F.col(key).eqNullSafe(F.col("held_key")), "left").select(*rows.columns, *others)
-    return free.unionByName(met)
+    return free.unionByName(told.where("maybe").join(right, same, "left").select(*rows.columns, *others))
 
 
-def without_held(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
-    """rows whose key is not in held (a written table; null keys meet). Rows that are surely not held go by without a shuffle."""
+def without_held(rows: DataFrame, held: DataFrame, key: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """rows whose key is not in held (a written table; null keys meet), in the same way."""
+    right, same = held.select(F.col(key).alias("held_key")), F.col(key).eqNullSafe(F.col("held_key"))
+    if held.count() <= most_broadcast:
+        return rows.join(F.broadcast(right), same, "left_anti")
     told = maybe_among(rows, key, held)
-    right = held.select(F.col(key).alias("held_key"))
-    met = told.where("maybe").join(right, F.col(key).eqNullSafe(F.col("held_key")), "left_anti")
+    met = told.where("maybe").join(right, same, "left_anti")
     return told.where("NOT maybe").select(*rows.columns).unionByName(met.select(*rows.columns))
 
 

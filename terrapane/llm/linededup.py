@@ -151,7 +151,7 @@ def with_kept_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOU
     """docs' rows as a struct row, with id, n_lines, n_dropped and kept_text. Only texts that may lose a line are shuffled to meet their hits."""
     lost = dropped_lines(docs, batches, fanout, least, doc_id)
     rows = carried(docs.withColumn("text", F.col("text")), F.col(doc_id).alias("id"))
-    rows = join_where_held(rows, lost.withColumnRenamed("doc_id", "id"), "id")
+    rows = join_where_held(rows, lost.withColumnRenamed("doc_id", "id"), "id", most_broadcast=0)  # a row of lost may be long
     hit = lambda key: let(F.struct(*(h.alias(n) for n, h in zip(("a", "b"), halves(key), strict=True))), lambda h: F.array_contains("h1s", h["a"]) & F.array_contains("h2s", h["b"]))
     loses = lambda line: F.when(F.octet_length(line) < LEAST_CHARS, F.lit(False)).otherwise(let(line_key(line), lambda k: (F.length(k) >= LEAST_CHARS) & hit(k)))
     lines = lines_of(text_of("row.text"))

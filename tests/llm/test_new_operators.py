@@ -84,14 +84,15 @@ def test_runs_are_levelled_and_each_key_is_first_seen_once(spark):
     runs.close()
 
 
-def test_rows_that_are_surely_not_held_are_not_joined(spark):
+@pytest.mark.parametrize("most", [0, 1_000])
+def test_rows_that_are_surely_not_held_are_not_joined(spark, most):
     rows = spark.range(5_000).select(F.col("id").alias("key"), F.lit("text").alias("text"))
     held = materialize(spark.range(0, 500, 5).select(F.col("id").alias("key"), (F.col("id") * 2).alias("more")), "held")
-    got = {r.key: r.more for r in join_where_held(rows, held, "key").collect()}
+    got = {r.key: r.more for r in join_where_held(rows, held, "key", most).collect()}
     assert got == {i: 2 * i if i < 500 and i % 5 == 0 else None for i in range(5_000)}
-    assert {r.key for r in without_held(rows, held.select("key"), "key").collect()} == {i for i, m in got.items() if m is None}
+    assert {r.key for r in without_held(rows, held.select("key"), "key", most).collect()} == {i for i, m in got.items() if m is None}
     none = materialize(held.where("key < 0"), "none")
-    assert without_held(rows, none, "key").count() == 5_000
+    assert without_held(rows, none, "key", most).count() == 5_000
 
 
 # --- spelling ----------------------------------------------------------------------------------------------------------
