@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapane.dims import LEVELS, MARGIN, POLAR_HALF, UTM_X0, UTM_X1, UTM_Y0_SOUTH, UTM_Y1_NORTH
-from terrapane.functions import projection, tileid
+from terrapane.functions import geodesic, projection, tileid
 from terrapane.functions.geometry import CORNERS, boxes_overlap
 
 
@@ -66,11 +66,15 @@ def may_reach_zone(level: int) -> Column:
     return F.abs((F.col("minx") + F.col("maxx")) / 2 - 500_000) <= width + level / MARGIN[level] + 2 * level
 
 
-def with_corners(tiles: DataFrame) -> DataFrame:
-    """Adds lon0, lat0 to lon3, lat3: the degrees of the corners, counter-clockwise from the lower left. Longitudes go on beyond 180, so a tile at the antimeridian does not wrap."""
+def with_corners(tiles: DataFrame, where: Column | None = None) -> DataFrame:
+    """Adds lon0, lat0 to lon3, lat3: the degrees of the corners, counter-clockwise from the lower left. Longitudes go on beyond 180, so a tile at the antimeridian does not wrap. Only rows of where get them, if it is given; of the others they are null, which costs no arithmetic."""
+    names = ("minx", "miny", "maxx", "maxy")
+    used = {c: c if where is None else f"k_{c}" for c in names}
+    if where is not None:
+        tiles = tiles.select("*", *(F.when(where, F.col(c)).alias(used[c]) for c in names))
     for i, (x, y) in enumerate(CORNERS[:4]):
-        tiles = projection.apply(tiles, projection.utm_inverse(x, y, lon=f"lon{i}", lat=f"lat{i}"), (f"lon{i}", f"lat{i}"))
-    return tiles
+        tiles = projection.apply(tiles, projection.utm_inverse(used[x], used[y], lon=f"lon{i}", lat=f"lat{i}"), (f"lon{i}", f"lat{i}"))
+    return tiles if where is None else tiles.drop(*used.values())
 
 
 def reaches_zone(widest: float = 12.0) -> Column:
@@ -93,15 +97,17 @@ def utm_grid(zones: DataFrame, level: int, border: bool = True, widest: float =
     tiles = with_centroid_degrees(boxes).where(near_zone(level)).withColumn("inside", centre_in_zone())
     if not border:
         return tiles.where("inside").drop("inside")
-    edge = with_corners(tiles.where(~F.col("inside"))).where(reaches_zone(widest)).select(*tiles.columns)
-    return tiles.where("inside").unionByName(edge).drop("inside")
+    cornered = with_corners(tiles, ~F.col("inside"))  # one pass: tiles inside skip the corners
+    return cornered.where(F.col("inside") | reaches_zone(widest)).select(*tiles.columns).drop("inside")
 
 
 def polar_grid(poles: DataFrame, level: int) -> DataFrame:
     """poles (zone) to their tiles whose centre's latitude is 84..89.5 north or 80..89.5 south: zone, level, x_idx, y_idx, box, lon, lat."""
     n, half = -(-2 * POLAR_HALF // level), -(-POLAR_HALF // level)
     tiles = poles.select("zone", F.lit(level).alias("level"), F.lit(-POLAR_HALF).cast("long").alias("origin_x"), F.when(F.col("zone") == "NP", 0).otherwise(-POLAR_HALF).cast("long").alias("origin_y"))
-    tiles = tiles.withColumn("x_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("y_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(half - 1).cast("long"))))
+    tiles = tiles.withColumn("x_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    tiles = tiles.repartition(max(1, -(-2 * n * half // TASK_TILES)), "zone", "x_idx")
+    tiles = tiles.withColumn("y_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(half - 1).cast("long"))))
     tiles = with_box(tiles).withColumn("c_x", (F.col("minx") + F.col("maxx")) / 2).withColumn("c_y", (F.col("miny") + F.col("maxy")) / 2)
     out = []
     for pole, low, high in (("NP", 84.0, 89.5), ("SP", -89.5, -80.0)):
@@ -171,10 +177,29 @@ def overlapping(a: DataFrame, b: DataFrame, cell: float, a_id: str, b_id: str) -
     return pairs.where(own).select(F.col(f"a_{a_id}").alias(a_id), F.col(f"b_{b_id}").alias(b_id))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of lattices over all tasks, before they become points, so that one large region fills a cluster."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(c for c in rows.columns if c in ("row", "northing", "lat")))
+
+
+def ellipsoid_lattice(bounds: DataFrame, spacing_m: float) -> DataFrame:
+    """bounds (…, west, south, east, north) to points spacing_m apart over the ellipsoid: rows along the west meridian, and in a row steps as wide as a geodesic that starts eastward there. Adds row, col, lat, lon. No step is taken from the one before: the meridian's length has a series, and all steps of a row are alike."""
+    ends = projection.apply(bounds, [*geodesic.meridian_forward("south", "m_south"), *geodesic.meridian_forward("north", "m_north")])
+    n = F.floor((F.col("m_north") - F.col("m_south")) / spacing_m)
+    rows = spread(ends.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long")))))
+    rows = rows.withColumn("metres", F.col("m_south") + F.col("row") * spacing_m)
+    rows = rows.withColumn("azimuth", F.lit(90.0)).withColumn("zero", F.lit(0.0)).withColumn("spacing", F.lit(float(spacing_m)))
+    rows = projection.apply(rows, [*geodesic.meridian_inverse("metres", "lat"), *geodesic.direct("zero", "lat", "azimuth", "spacing", "width", "ahead")], ("lat", "width"))
+    count = F.floor((F.col("east") - F.col("west")) / F.col("width")).cast("long")
+    points = rows.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), count))).withColumn("lon", F.col("west") + F.col("col") * F.col("width"))
+    return points.select(*bounds.columns, "row", "col", "lat", "lon")
+
+
 def geodesic_lattice(bounds: DataFrame, spacing_m: float) -> DataFrame:
     """bounds (…, west, south, east, north) to lattice points about spacing_m apart: adds lat, lon; the step in longitude widens with latitude."""
     step = spacing_m / 111320
     rows = bounds.withColumn("row", F.explode(F.sequence(F.lit(0), F.floor((F.col("north") - F.col("south")) / step).cast("int")))).withColumn("lat", F.col("south") + F.col("row") * step)
+    rows = spread(rows)
     width = step / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
     rows = rows.withColumn("width", width).withColumn("col", F.explode(F.sequence(F.lit(0), F.floor((F.col("east") - F.col("west")) / F.col("width")).cast("int"))))
     return rows.withColumn("lon", F.col("west") + F.col("col") * F.col("width")).drop("row", "col", "width")
@@ -187,7 +212,7 @@ def utm_lattice(bounds: DataFrame, spacing_m: float) -> DataFrame:
     rows = bounds.withColumn("start_x", start("minx", 500_000)).withColumn("start_y", start("miny", 0))
     n = F.ceil((F.col("maxy") + s - F.col("start_y")) / s).cast("int")
     rows = rows.withColumn("row", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("northing", F.col("start_y") + F.col("row") * s).withColumn("middle", F.lit(500_000.0))
-    rows = projection.apply(rows, projection.utm_inverse("middle", lon="row_lon", lat="row_lat"), ("row_lon", "row_lat"))
+    rows = projection.apply(spread(rows), projection.utm_inverse("middle", lon="row_lon", lat="row_lat"), ("row_lon", "row_lat"))
     columns = F.greatest(F.lit(3), F.floor((F.col("maxx") - F.col("minx")) / (s * F.cos(F.radians("row_lat")))).cast("int"))
     rows = rows.withColumn("columns", columns).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
     rows = rows.withColumn("easting", F.col("start_x") + F.col("col") * (F.col("maxx") - F.col("start_x")) / (F.col("columns") - 1))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from terrapane.dims import BIAS, CODES, LEVELS, MARGIN, POLAR_HALF, THRESHOLDS, UTM_X0, UTM_X1, UTM_Y0_SOUTH, UTM_Y1_NORTH, WEIGHTS, level_table, parent_level, zone_table
-from terrapane.functions import arrays, geometry, projection, proportions, tileid
+from terrapane.functions import arrays, geodesic, geometry, projection, proportions, tileid
 from terrapane.operators import grid, select, spatial, zonal
 from terrapane.plans import catalog
 from terrapane.plans.views import DEGREE_BOXES, FOOTPRINTS, METRE_BOXES, PARTS, PIXELS_SQL, POINTS, POLAR_POINTS, TILES, choose, nest, pixels, sql, table, tile_text, view
@@ -330,6 +330,30 @@ def geodesic_lattice(spark, sf_dir):
     return made.select("k", F.round((F.col("lat") - F.col("south")) / 0.5).cast("long").alias("row_no"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+BEARINGS = [("azimuth", "CAST((k * 37) % 360 AS DOUBLE)"), ("metres", "CAST((k * 7919) % 2000000 AS DOUBLE)")]
+
+
+@query(f"SELECT k, round(to_lon, 7) AS lon, round(to_lat, 7) AS lat FROM ({nest(sql('customer', POINTS), [*BEARINGS, *geodesic.direct()])})")
+def geodesic_direct(spark, sf_dir):
+    """Where geodesics of a bearing and length from each point end."""
+    made = projection.apply(view(spark, sf_dir, "customer", POINTS), [*BEARINGS, *geodesic.direct()])
+    return made.select("k", F.round("to_lon", 7).alias("lon"), F.round("to_lat", 7).alias("lat"))
+
+
+_LATTICE_M = 45_000.0
+_LATTICE_ROWS = nest(
+    f"SELECT *, unnest(range(CAST(floor((m_north - m_south) / {_LATTICE_M}) AS BIGINT) + 1)) AS r FROM ({nest(sql('part', DEGREE_BOXES), [*geodesic.meridian_forward('south', 'm_south'), *geodesic.meridian_forward('north', 'm_north')])})",
+    [("metres", f"m_south + r * {_LATTICE_M}"), ("azimuth", "90.0"), ("zero", "0.0"), ("spacing", str(_LATTICE_M)), *geodesic.meridian_inverse("metres", "lat"), *geodesic.direct("zero", "lat", "azimuth", "spacing", "width", "ahead")],
+)
+
+
+@query(f"SELECT k, r AS row, c AS col, round(lat, 7) AS lat, round(west + c * width, 7) AS lon FROM (SELECT *, unnest(range(CAST(floor((east - west) / width) AS BIGINT) + 1)) AS c FROM ({_LATTICE_ROWS}))")
+def ellipsoid_lattice(spark, sf_dir):
+    """Points 45 km apart over the ellipsoid."""
+    made = grid.ellipsoid_lattice(view(spark, sf_dir, "part", DEGREE_BOXES), _LATTICE_M)
+    return made.select("k", "row", "col", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
 # --- joins ----------------------------------------------------------------------------------------------------------
 
 

@@ -66,13 +66,17 @@ def write_grid(tiles: DataFrame, path: str, form: str = "PARQUET", mode: str = "
         raise ValueError(f"unknown form {form}")
 
 
+MOST_ROWS = 5_000_000  # of a written file
+
+
 def write_enriched(tiles: DataFrame, path: str, how: str = "partitioned", mode: str = "error") -> None:
-    """single_file, per_level or partitioned (by level and zone)."""
+    """single_file (one task writes it, as its name says), per_level or partitioned (by level and zone). A level or zone of any size is cut into files of a bounded size by as many tasks."""
     if how == "single_file":
         tiles.coalesce(1).write.mode(mode).parquet(path)
     elif how in ("per_level", "partitioned"):
         by = ["level"] if how == "per_level" else ["level", "zone"]
-        tiles.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
+        # Spark splits what is large of a rebalanced key, and joins what is small
+        tiles.hint("rebalance", *by).write.mode(mode).option("maxRecordsPerFile", MOST_ROWS).partitionBy(*by).parquet(path)
     else:
         raise ValueError(f"unknown way {how}")
 
