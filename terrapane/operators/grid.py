@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapane.dims import LEVELS, MARGIN, POLAR_HALF, UTM_X0, UTM_X1, UTM_Y0_SOUTH, UTM_Y1_NORTH
 from terrapane.functions import geodesic, projection, tileid
 from terrapane.functions.geometry import CORNERS, boxes_overlap
+from terrapane.scratch import written
 
 
 TASK_TILES = 2_000_000  # candidates enumerated by a task
@@ -249,6 +250,39 @@ def by_locality(tiles: DataFrame, partitions: int) -> DataFrame:
     return tiles.withColumn("m", morton(F.col("x_idx"), F.col("y_idx"))).repartitionByRange(partitions, "level", "zone", "m").sortWithinPartitions("level", "zone", "m").drop("m")
 
 
+PART_BITS = 20  # of an index, that cuts may use
+
+
+def bounded_parts(tiles: DataFrame, most: int, keys: tuple[str, ...] = ("level", "zone")) -> DataFrame:
+    """tiles with part: compact areas of at most so many tiles, whatever their density.
+
+    The areas are quarters of quarters: a square of a key's plane is cut while it holds more than most tiles. Cuts come
+    from counts of Morton key prefixes, all depths in one aggregation over the finest squares; each tile has one square
+    that is small enough while the next larger is not. Tiles of one finest square, if there are too many, are numbered
+    and cut by number. Nothing of this passes the driver.
+    """
+    shift = F.lit(1 << (PART_BITS - 1)).cast("long")
+    keyed = tiles.withColumn("square", morton(F.col("x_idx") + shift, F.col("y_idx") + shift, PART_BITS))
+    squares = written(keyed.groupBy(*keys, "square").agg(F.count(F.lit(1)).alias("n")), "squares")
+    prefix = lambda d: F.call_function("shiftright", F.col("square"), (2 * (PART_BITS - d)).cast("int"))
+    depths = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(PART_BITS)), prefix)).alias("depth", "prefix")
+    above = squares.select(*keys, "n", depths)
+    counts = written(above.groupBy(*keys, "depth", "prefix").agg(F.sum("n").alias("n")), "squares")
+    small = counts.where(F.col("n") <= most)
+    parents = counts.where(F.col("n") > most).select(*keys, (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+    leaves = small.withColumn("parent", F.shiftright("prefix", 2)).join(parents, [*keys, "depth", "parent"]).select(*keys, "depth", "prefix")
+    whole = small.where("depth = 0").select(*keys, "depth", "prefix")
+    full = counts.where((F.col("depth") == PART_BITS) & (F.col("n") > most)).select(*keys, "depth", "prefix")
+    cut = written(leaves.unionByName(whole).unionByName(full), "cuts")
+    of_square = squares.select(*keys, "square", depths).join(cut, [*keys, "depth", "prefix"]).join(squares, [*keys, "square"])
+    of_square = of_square.select(*keys, "square", F.concat_ws(":", "depth", "prefix").alias("part"), (F.col("n") > most).alias("crowded"))
+    placed = keyed.join(of_square, [*keys, "square"])
+    thin = placed.where("NOT crowded").drop("crowded")
+    number = F.row_number().over(Window.partitionBy(*keys, "square").orderBy("x_idx", "y_idx")) - 1
+    thick = placed.where("crowded").drop("crowded").withColumn("part", F.concat_ws(":", "part", F.floor(number / most)))
+    return thin.unionByName(thick).drop("square")
+
+
 def spatial_clusters(tiles: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """tiles with cluster: k-means over box centres, where labels themselves are wanted (by_locality is cheaper for partitioning)."""
     from pyspark.ml.clustering import KMeans

@@ -7,6 +7,7 @@ time the batch of a pool that brings the mix nearest to the target. The driver o
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from terrapane.dims import BIAS, CODES, THRESHOLDS, WEIGHTS
 from terrapane.functions.proportions import column_name
-from terrapane.scratch import written
+from terrapane.scratch import StepLog, scratch_base, written
 
 CLASSES = [column_name(c) for c in CODES]
 KEPT_SHARE, PHASE1, PHASE2 = 0.9, 0.4, 0.1
@@ -140,9 +141,14 @@ def phase_three(tiles: DataFrame, n: int, target: list[float], sums: list[float]
     return numbered.join(chosen, "batch").withColumn("place", place).where("place <= most").select("tile_id")
 
 
-def select_subsets(tiles: DataFrame, targets: dict[str, list[float]], sizes: dict[str, int], batch: int = 25, pool: int = 2500, seed: int = 42) -> DataFrame:
-    """tile_id, subset, phase for every pick (each step's picks are written tables, so plans stay small); a subset also holds, as reuse, what smaller ones took. Subsets already filled to 90 % by reuse take nothing new."""
+def select_subsets(tiles: DataFrame, targets: dict[str, list[float]], sizes: dict[str, int], batch: int = 25, pool: int = 2500, seed: int = 42, log: str | None = None) -> DataFrame:
+    """tile_id, subset, phase for every pick; a subset also holds, as reuse, what smaller ones took. Subsets already filled to 90 % by reuse take nothing new.
+
+    Each step's picks are a table under log (a new scratch folder, if none is given), complete or not there. A run over
+    the log of one that was killed reads what is complete and goes on; it has the same picks as one that ran through.
+    """
     picks, spark = None, tiles.sparkSession
+    steps = StepLog(spark, log or f"{scratch_base(spark)}/selection-{uuid.uuid4().hex}", repr((sorted(targets.items()), sorted(sizes.items()), batch, pool, seed)))
     for i, (label, size) in enumerate(sorted(sizes.items(), key=lambda x: x[1])):
         reused = picks.select("tile_id").distinct() if picks is not None else spark.createDataFrame([], "tile_id string")
         quota = int(size * KEPT_SHARE) - reused.count()
@@ -150,15 +156,16 @@ def select_subsets(tiles: DataFrame, targets: dict[str, list[float]], sizes: dic
         if quota > 0:
             free = tiles.join(reused, "tile_id", "left_anti")
             p1, p2 = int(quota * PHASE1), int(quota * PHASE2)
-            one = written(phase_one(free, p1, targets[label], seed + 10 * i), "phase1")
+            one = steps.step(f"{label}-phase1", lambda: phase_one(free, p1, targets[label], seed + 10 * i))  # noqa: B023
             free = free.join(one, "tile_id", "left_anti")
-            two = written(phase_two(free, p2, seed + 10 * i + 1), "phase2")
+            two = steps.step(f"{label}-phase2", lambda: phase_two(free, p2, seed + 10 * i + 1))  # noqa: B023
             free = free.join(two, "tile_id", "left_anti")
             held = tiles.join(reused.unionByName(one).unionByName(two), "tile_id", "left_semi").agg(F.count(F.lit(1)), *(F.sum(c) for c in CLASSES)).first()
-            three = phase_three(free, quota - p1 - p2, targets[label], [x or 0.0 for x in held[1:]], held[0], batch, pool, seed + 100 * (i + 1))
+            sums = [x or 0.0 for x in held[1:]]
+            three = steps.step(f"{label}-phase3", lambda: phase_three(free, quota - p1 - p2, targets[label], sums, held[0], batch, pool, seed + 100 * (i + 1)))  # noqa: B023
             parts += [d.select("tile_id", F.lit(f"phase{k}").alias("phase")) for k, d in ((1, one), (2, two), (3, three))]
         new = reduce(DataFrame.unionByName, parts).select("tile_id", F.lit(label).alias("subset"), "phase")
-        picks = written(new if picks is None else picks.unionByName(new), "picks")
+        picks = steps.step(f"{label}-picks", lambda: new if picks is None else picks.unionByName(new))  # noqa: B023
     return picks
 
 

@@ -12,7 +12,7 @@ from terrapane.functions import arrays, proportions, tileid
 from terrapane.operators import grid, select, zonal
 from terrapane.plans import catalog
 from terrapane.plans.queries import EPSG_TEXT, PARENT_TEXT, TILES_SQL, WIDE_SQL, longs, own, query, tiles, wide
-from terrapane.plans.views import table
+from terrapane.plans.views import TILES, sql, table, view
 from terrapane.scratch import scratch_base, written
 from terrapane.sources import files
 from terrapane.streaming import incremental
@@ -264,8 +264,34 @@ def incremental_append(spark, sf_dir):
     return spark.read.schema("event_type string, value double").parquet(where).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query(
+    "SELECT event_type, event_id % 50 AS part, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY event_type, event_id % 50"
+)
+def latest_events(spark, sf_dir):
+    """The last event of each kind and part, kept by a stream of files in levelled runs (six batches)."""
+    source, where, mark = (f"{scratch_base(spark)}/{x}-{uuid.uuid4().hex}" for x in ("arrivals", "latest", "progress"))
+    rows = table(spark, sf_dir, "events").select(F.struct("event_type", (F.col("event_id") % 50).alias("part")).alias("key"), F.col("event_id").cast("long").alias("event_id"), "value")
+    rows.repartition(6, "event_id").write.parquet(source)
+    incremental.latest_by_key(spark, source, rows.schema, "key", "event_id", where, mark, fanout=2, files_a_batch=1)
+    return incremental.read_latest(spark, rows.schema, "key", "event_id", where).select("key.event_type", "key.part", "event_id", "value")
+
+
 # --- tile tables ----------------------------------------------------------------------------------------------------
 
+AREA_MOST = 3
+_AREA_SHIFT = 1 << (grid.PART_BITS - 1)
+
+
+@query(
+    f"WITH d AS (SELECT t.k, level, zone, d, (x + {_AREA_SHIFT}) >> ({grid.PART_BITS} - d) AS px, (y + {_AREA_SHIFT}) >> ({grid.PART_BITS} - d) AS py FROM ({sql('customer', TILES)}) t, (SELECT unnest(range({grid.PART_BITS + 1})) AS d)), "
+    f"n AS (SELECT k, d, count(*) OVER (PARTITION BY level, zone, d, px, py) AS n FROM d) SELECT k, coalesce(min(CASE WHEN n <= {AREA_MOST} THEN d END), {grid.PART_BITS}) AS depth FROM n GROUP BY k"
+)
+def bounded_areas(spark, sf_dir):
+    """How often the plane is quartered around each tile until no area has more than three tiles of a level and zone."""
+    tiles = view(spark, sf_dir, "customer", TILES).select("k", "level", "zone", F.col("x").alias("x_idx"), F.col("y").alias("y_idx"))
+    return grid.bounded_parts(tiles, AREA_MOST).select("k", F.split("part", ":")[0].cast("long").alias("depth"))
+
+
 BOX_SQL = f"SELECT tile_id, zone, level, k, 100000 + x * level AS a, CASE WHEN zone LIKE '%S' THEN 10000000 ELSE 0 END + y * level AS b FROM ({TILES_SQL})"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,23 @@ def scratch_base(spark: SparkSession) -> str:
     return base
 
 
+class StepLog:
+    """Steps of a long job as tables under one folder: a step that is complete there is read, any other is made and written. A run that was killed goes on where it stopped. The folder belongs to one set of parameters."""
+
+    def __init__(self, spark: SparkSession, path: str, parameters: str):
+        self.spark, self.path = spark, path
+        said = self.step("parameters", lambda: spark.createDataFrame([(parameters,)], "value string")).first().value
+        if said != parameters:
+            raise ValueError(f"{path} holds the steps of other parameters: {said}")
+
+    def step(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        where = f"{self.path}/{name}"
+        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+        if not marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(marker):
+            make().write.mode("overwrite").parquet(where)  # the marker is written last
+        return self.spark.read.parquet(where)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df's rows written to the shared folder and read back: the plan starts anew from files that any executor can read."""
     spark = df.sparkSession

@@ -276,11 +276,18 @@ def test_stream_reads_each_file_once(spark, tmp_path):
 
 def test_latest_by_key(spark, tmp_path):
     src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
-    for i, rows in enumerate(([(1, 1, "a"), (2, 1, "b")], [(1, 2, "c")])):
-        spark.createDataFrame(rows, "k long, t long, v string").write.mode("append").parquet(src)
-        incremental.latest_by_key(spark, src, "k long, t long, v string", "k", "t", out, mark)
-        last = f"{out}/v{i}"
-    assert sorted(tuple(r) for r in spark.read.parquet(last).collect()) == [(1, 2, "c"), (2, 1, "b")]
+    schema, want = "k long, t long, v string", {}
+    assert incremental.read_latest(spark, schema, "k", "t", out).count() == 0
+    for i in range(9):
+        rows = [(k, i if k % 2 else -i, f"{i}") for k in range(i, i + 6)]
+        want = {k: max(want.get(k, (-99, "")), (t, v)) for k, t, v in rows} | {k: x for k, x in want.items() if k not in range(i, i + 6)}
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        incremental.latest_by_key(spark, src, schema, "k", "t", out, mark, fanout=2)
+        assert {r.k: (r.t, r.v) for r in incremental.read_latest(spark, schema, "k", "t", out).collect()} == want
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["L0-8", "L3-0"]  # nine batches: 8 + 1
+    # a merge that was complete before its parts were deleted changes nothing
+    spark.createDataFrame([(0, 0, "0")], schema).write.parquet(f"{out}/L0-7")
+    assert {r.k: (r.t, r.v) for r in incremental.read_latest(spark, schema, "k", "t", out).collect()} == want
 
 
 def test_lattice_step_widens(spark):
