@@ -20,6 +20,7 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,21 +198,38 @@ def _slices(batch: pa.RecordBatch, sizes) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
+def _lists(flat: array, ends: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
+
+
+def _encoded(c: Codec, texts: list[str]) -> pa.ListArray:
+    flat, ends, last, own = array("i"), [0], None, array("i")
+    for text in texts:
+        if text != last:  # copies that a mix takes stand together, and are encoded once
+            last, own = text, array("i", c.encode(text))
+        flat.extend(own)
+        ends.append(len(flat))
+    return _lists(flat, ends)
+
+
+def _decoded(lists: pa.ListArray, bytes_of) -> pa.StringArray:
+    flat = lists.flatten().to_numpy().tolist()
+    ends = list(accumulate(pc.list_value_length(lists).to_pylist(), initial=0))
+    return pa.array([decode_ids(flat[a:b], bytes_of) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+
+
+def _text_parts(batches) -> Iterator[pa.RecordBatch]:
+    for batch in freeing(batches):
+        yield from _slices(batch, pc.binary_length(batch.column(1)).to_pylist())
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int)."""
+    """doc_id, ids (array of int); other columns are left out."""
 
     def run(batches):
         c = codec(path)
-        for batch in freeing(batches):
-            for part in _slices(batch, pa.compute.binary_length(batch.column(1)).to_pylist()):
-                flat, ends, last, own = array("i"), [0], None, array("i")
-                for text in part.column(1).to_pylist():
-                    if text != last:  # copies that a mix takes stand together, and are encoded once
-                        last, own = text, array("i", c.encode(text))
-                    flat.extend(own)
-                    ends.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+        for part in _text_parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), _encoded(c, part.column(1).to_pylist())], names=["doc_id", "ids"])
 
     rows = docs.select("doc_id", text_of().alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -223,18 +241,27 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bytes_of = token_bytes(path)
         for batch in freeing(batches):
-            column = batch.column(1)
-            for part in _slices(batch, (4 * n for n in pa.compute.list_value_length(column).to_pylist())):
+            for part in _slices(batch, (4 * n for n in pc.list_value_length(batch.column(1)).to_pylist())):
                 lists = part.column(1)
-                flat = lists.flatten().to_numpy().tolist()
-                ends = list(accumulate(pa.compute.list_value_length(lists).to_pylist(), initial=0))
-                texts = [decode_ids(flat[a:b], bytes_of) for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, _decoded(lists, bytes_of)], names=["doc_id", "ids", "text"])
 
     rows = encoded.select("doc_id", "ids")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, text as decode(encode(docs)) has them: one worker of a task does both, where two would hold the vocabulary side by side."""
+
+    def run(batches):
+        c, bytes_of = codec(path), token_bytes(path)
+        for part in _text_parts(batches):
+            lists = _encoded(c, part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, _decoded(lists, bytes_of)], names=["doc_id", "ids", "text"])
+
+    rows = docs.select("doc_id", text_of().alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+
+
 def bpe_digest(decoded: DataFrame) -> DataFrame:
     """What the query op3 returns."""
     return decoded.select(

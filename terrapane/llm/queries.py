@@ -22,7 +22,7 @@ def op2_quality_classifier(spark, sf_dir):
 
 def op3_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.bpe_digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.bpe_digest(bpe.encode_and_decode(table(spark, sf_dir, "documents"), path))
 
 
 def op4_jaccard_join(spark, sf_dir):

@@ -346,7 +346,7 @@ def library():
 
 
 def test_bpe_equals_the_library(spark, docs, texts, library):
-    for r in queries.bpe.bpe_digest(bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE)).collect():
+    for r in queries.bpe.bpe_digest(bpe.encode_and_decode(docs, BYTE_BPE)).collect():
         ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), brute.sha(",".join(map(str, ids))), brute.sha(library.decode(ids, skip_special_tokens=False)))
 
