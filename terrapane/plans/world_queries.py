@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from terrapane.dims import BIOMES, CLIMATES, CODES, POLAR_HALF, zone_table
 from terrapane.functions import polygons, projection, tileid
-from terrapane.operators import grid, reproject, spatial, zonal
+from terrapane.operators import cells, grid, reproject, spatial, zonal
 from terrapane.plans import catalog
 from terrapane.plans.more_queries import LABELS
-from terrapane.plans.queries import FORWARD, POLAR, longs, parts_sql, query
+from terrapane.plans.queries import FORWARD, POLAR, TURNED_BOXES, longs, parts_sql, query
 from terrapane.plans.views import FOOTPRINTS, METRE_BOXES, POINTS, POLAR_POINTS, choose, nest, sql, table, tile_text, view
 
 CORNERS_OF = "(VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) AS c(corner, dx, dy)"
@@ -195,3 +195,22 @@ def polygon_boxes(spark, sf_dir):
     """Boxes that a concave polygon with a hole meets and that have their centre in it. A centre inside is a meeting, so the plain SQL needs the one test."""
     shapes = view(spark, sf_dir, "customer", SHAPES).select("shape_id", polygons.edges_of(polygons.rings_of_wkt(F.col("wkt"))).alias("edges"))
     return spatial.boxes_in_polygons(shapes, view(spark, sf_dir, "part", METRE_BOXES), 2000.0, "shape_id", "box_id")
+
+
+CELL_LEVEL = 3
+
+
+def _cells_sql() -> str:
+    """All cells of the level against all boxes."""
+    n = f"(SELECT unnest(range({1 << CELL_LEVEL})) AS {{c}})"
+    base = f"SELECT * FROM ({sql('part', TURNED_BOXES)}) b, (SELECT unnest(range(6)) AS face) f, {n.format(c='i')} r, {n.format(c='j')} c, (SELECT {CELL_LEVEL} AS level) l"
+    for layer in cells.layers(cells.meets_box()):
+        base = f"SELECT *, {', '.join(f'{text} AS {name}' for name, text in layer)} FROM ({base})"
+    return f"SELECT k, CAST(face AS BIGINT) AS face, i, j FROM ({base}) WHERE hit"
+
+
+@query(_cells_sql())
+def cell_covering(spark, sf_dir):
+    """Spherical cells that meet boxes of degrees, by descent from the cube's faces."""
+    boxes = view(spark, sf_dir, "part", TURNED_BOXES)
+    return longs(cells.cover(boxes, CELL_LEVEL, ("k",)).select("k", "face", "i", "j"), "face")
