@@ -109,7 +109,7 @@ def cover(boxes: DataFrame, level: int, keys: tuple[str, ...] = ("box_id",)) ->
     state = ["face", "i", "j", "turn", "place"]
     zero = F.lit(0).cast("long")
     faces = F.explode(F.sequence(F.lit(0), F.lit(5)))
-    rows = boxes.where("south <= north").select(*keys, "west", "south", "east", "north", faces.alias("face"))
+    rows = boxes.where("south <= north AND west IS NOT NULL AND east IS NOT NULL").select(*keys, "west", "south", "east", "north", faces.alias("face"))
     rows = rows.select("*", zero.alias("i"), zero.alias("j"), F.col("face").bitwiseAND(F.lit(1)).alias("turn"), zero.alias("place"))
     base = [*keys, "west", "south", "east", "north"]
     for depth in range(level + 1):

@@ -43,7 +43,7 @@ def test_cells_cover_each_box_and_none_is_outside(spark):
     for name, west, south, east, north in boxes[:-1]:
         width = (east - west) % 360 or (360.0 if name == "north" else 0.0)
         points = [(((west + width * a + 180) % 360) - 180, south + (north - south) * b) for a, b in [*rng.random((3_000, 2)), *((a, b) for a in np.linspace(0, 1, 60) for b in (0.0, 1.0)), *((a, b) for a in (0.0, 1.0) for b in np.linspace(0, 1, 60))]]
-        assert {plain_cell(*p, level) for p in points} <= got[name]
+        assert {plain_cell(*p, level) for p in points if abs(p[1]) < 89.999} <= got[name]  # at a pole four cells meet
         # each cell has a point of the box: sampled in the cell, with its edges, finely
         n, inside = 1 << level, lambda lon, lat: south <= lat <= north and (lon - west) % 360 <= width  # noqa: B023, E731
         missing = 0
