@@ -55,7 +55,7 @@ def test_tokens_decode_to_the_texts(stages):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = stages["encode_tokens"].collect()
     assert sorted(r.text for r in rows) == sorted(r.text for r in stages["mix_sources"].collect())
-    assert all(r.ids == library.encode(r.text, add_special_tokens=False).ids for r in rows[:50])
+    assert all(r.ids == library.encode(r.text, add_special_tokens=False).ids for r in rows)
 
 
 def test_run_gives_the_last_stage(spark, sf, stages):
