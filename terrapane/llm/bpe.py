@@ -12,6 +12,7 @@ columns are not read; no rows in, no rows out.
 
 from __future__ import annotations
 
+import gc
 import json
 from array import array
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import freeing, text_of
+from terrapane.llm.common import freeing, give_back, text_of
 
 #: Fixed value: the pattern that splits text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -186,6 +187,14 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def forget() -> None:
+    """At a task's end: the worker outlives it, and what it then holds of the vocabulary would stand beside the work of other stages. Reading the vocabulary again is a small part of the next task."""
+    codec.cache_clear()
+    token_bytes.cache_clear()
+    gc.collect()
+    give_back()
+
+
 def _slices(batch: pa.RecordBatch, sizes) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about BATCH_CHARS, a row at least."""
     begin, total = 0, 0
@@ -230,6 +239,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         for part in _text_parts(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), _encoded(c, part.column(1).to_pylist())], names=["doc_id", "ids"])
+        del c
+        forget()
 
     rows = docs.select("doc_id", text_of().alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -257,6 +268,8 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
         for part in _text_parts(batches):
             lists = _encoded(c, part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), lists, _decoded(lists, bytes_of)], names=["doc_id", "ids", "text"])
+        del c, bytes_of
+        forget()
 
     rows = docs.select("doc_id", text_of().alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")

@@ -145,7 +145,12 @@ def freeing(batches: Iterator) -> Iterator:
         yield batch
         del batch
         pool.release_unused()
-    pool.release_unused()
+    give_back()
+
+
+def give_back() -> None:
+    """What Arrow's pool and the C library keep of freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
     if trim:
         trim(0)
