@@ -3,7 +3,9 @@
 For every prefix of a piece, BPE has one encoding, and so one last token. A token that ends at the prefix's end (found
 by an Aho-Corasick automaton over the vocabulary) is that token exactly if the last token of the prefix before it may stand to
 its left: no merge rule would have joined across the two earlier. Following the last tokens back gives the ids. The work
-per piece is linear in its length for a bounded token length, so pieces of any length are whole.
+per piece is linear in its length for a bounded token length, so pieces of any length are whole. The new short pieces of
+a batch of texts go through the automaton's table side by side, a byte of each in a step on arrays; longer pieces go one
+at a time.
 
 Defined results: null text is encoded as the empty text (no ids) and decodes to ''; the strings of added special tokens
 in a text become their ids, as the library does by default; rows of an equal doc_id are encoded each on its own; other
@@ -14,10 +16,9 @@ from __future__ import annotations
 
 import gc
 import json
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import accumulate, chain
+from functools import cached_property, lru_cache
+from itertools import accumulate, chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,12 @@ from terrapane.llm.common import freeing, give_back, text_of
 
 #: Fixed value: the pattern that splits text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MOST_CACHED = 200_000
+MOST_CACHED = 200_000  # pieces; one batch or stretch may bring more
 LONGEST_CACHED = 64  # characters of a piece; longer ones are encoded each time
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
+TOGETHER_CHARS = 400_000  # of new pieces that are encoded in the same steps
+PAIR_BITS = 20  # of the number of places for tested pairs
+START = -2  # in place of a last token, where a piece begins
 NEVER = 1 << 30
 
 
@@ -43,21 +47,42 @@ def byte_alphabet() -> list[str]:
 
 
 class Memo(dict):
-    """A cache of a function's results, bounded in entries and in the length of a text."""
+    """A cache of a function's results, bounded in entries."""
 
-    def __init__(self, of, most: int = MOST_CACHED):
+    def __init__(self, of, most: int):
         super().__init__()
         self.of, self.most = of, most
 
     def __missing__(self, key):
         out = self.of(key)
-        if not isinstance(key, str) or len(key) <= LONGEST_CACHED:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = out
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = out
         return out
 
 
+class Known:
+    """Pieces with a place each, and the ids of each place."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.place.update(zip(pieces, range(len(self.ends) - 1, len(self.ends) - 1 + len(pieces)), strict=True))
+        self.ids, self.ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, self.ends[-1] + np.cumsum(counts)))
+
+    def forget_last(self, pieces: list[str]) -> None:
+        for p in pieces:
+            del self.place[p]
+        self.ends = self.ends[: len(self.ends) - len(pieces)]
+        self.ids = self.ids[: self.ends[-1]]
+
+    def ids_of(self, places: np.ndarray) -> np.ndarray:
+        counts = self.ends[places + 1] - self.ends[places]
+        return self.ids[np.arange(counts.sum()) + np.repeat(self.ends[places] - (np.cumsum(counts) - counts), counts)]
+
+
 @lru_cache(maxsize=2)
 def token_bytes(path: str) -> dict[int, bytes]:
     """What each token decodes to: all that a decoding worker holds."""
@@ -72,9 +97,44 @@ def decode_ids(ids, bytes_of: dict[int, bytes]) -> str:
     return b"".join(map(bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Steps:
+    """The Aho-Corasick automaton as arrays. longest: by state, the longest token that ends there; shorter: by token, the next shorter one that ends where it does, or -1."""
+
+    def __init__(self, tokens: dict[str, int], n_ids: int):
+        nodes = sorted({t[:k] for t in tokens for k in range(1, len(t) + 1)}, key=len)
+        number = {"": 0} | {x: i for i, x in enumerate(nodes, 1)}
+        to_byte = {c: b for b, c in enumerate(byte_alphabet())}
+        parent = np.array([0, *(number[x[:-1]] for x in nodes)], np.int32)
+        byte = np.array([0, *(to_byte[x[-1]] for x in nodes)], np.int32)
+        self.alone = np.array([number.get(c, 0) for c in byte_alphabet()], np.int32)
+        used = sorted({to_byte[c] for x in nodes if len(x) > 1 for c in (x[0], x[-1])})  # any other byte leads to the state of itself alone
+        self.column = np.full(256, -1, np.int32)
+        self.column[used] = range(len(used))
+        self.goto = np.zeros((len(number), len(used)), np.int32)
+        self.goto[0] = self.alone[used]
+        own, fail = np.array([-1, *(tokens.get(x, -1) for x in nodes)], np.int32), np.zeros(len(number), np.int32)
+        self.longest, self.shorter = own.copy(), np.full(n_ids, -1, np.int32)
+        depths = np.cumsum(np.bincount(np.fromiter(map(len, nodes), np.int64, len(nodes)))) + 1
+        for a, b in pairwise(depths.tolist()):
+            now = np.arange(a, b)
+            if a > depths[0]:
+                up, col = parent[a:b], self.column[byte[a:b]]
+                inner = up > 0
+                fail[now[inner]] = self.goto[fail[up[inner]], col[inner]]
+                self.goto[up[inner], col[inner]] = now[inner]
+            self.goto[a:b] = self.goto[fail[a:b]]
+            below = self.longest[fail[a:b]]
+            known = own[a:b] >= 0
+            self.longest[a:b] = np.where(known, own[a:b], below)
+            self.shorter[own[a:b][known]] = below[known]
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        column = self.column[byte]
+        return np.where(column < 0, self.alone[byte], self.goto[state, column])
+
+
 class Codec:
     def __init__(self, path: str):
-        import ahocorasick
         import regex
         from tokenizers import Tokenizer
 
@@ -102,12 +162,13 @@ class Codec:
             if a in own and b in own and self.rank[a, b] == r and self._meet(a, b):
                 own.add(t)  # merging its bytes gives the token itself
         self.own = {t: i for t, i in vocab.items() if i in own and i not in self.special.values()}
-        auto = ahocorasick.Automaton()
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int32)
         for t, i in self.own.items():
-            auto.add_word(t, (i, len(t)))
-        auto.make_automaton()
-        self.matches = auto.iter
-        self.ids_of = Memo(self._encode_piece)
+            self.sizes[i] = len(t)
+        self.size_of = self.sizes.tolist()
+        self.steps = Steps(self.own, len(self.sizes))
+        self.pair_at, self.pair_fits = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+        self.pieces_known = Known()
         self.odd, self.known = set(), set(map(chr, range(128)))
 
     def _left(self, t: int) -> tuple[tuple[int, int], ...]:
@@ -138,30 +199,101 @@ class Codec:
             else:
                 j += 1
 
+    @cached_property
+    def matches(self):
+        """Of one string after another, the tokens that end at each character, longest first."""
+        import ahocorasick
+
+        auto = ahocorasick.Automaton()
+        for t, i in self.own.items():
+            auto.add_word(t, i)
+        auto.make_automaton()
+        return auto.iter
+
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
         s = piece.encode().decode("latin-1").translate(self.table)
         if (whole := self.own.get(s)) is not None:
             return (whole,)
-        last, size, fits = [-1] * (len(s) + 1), [0] * (len(s) + 1), self.fits
-        for end, (token, n) in self.matches(s):
+        last, size_of, fits = [-1] * (len(s) + 1), self.size_of, self.fits
+        for end, token in self.matches(s):
             end += 1
             if last[end] >= 0:
                 continue
+            n = size_of[token]
             before = last[end - n]
             if n == end or before >= 0 and fits[before << 20 | token]:
-                last[end], size[end] = token, n
+                last[end] = token
         out, at = [], len(s)
         while at:
             out.append(last[at])
-            at -= size[at]
+            at -= size_of[last[at]]
         return tuple(reversed(out))
 
+    def _all_fit(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """fits of each pair. A pair has one place, which the last one tested there holds."""
+        pair = before.astype(np.int64) << 20 | token
+        place = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        out = self.pair_fits[place]
+        for i in np.flatnonzero(self.pair_at[place] != pair).tolist():
+            key = int(pair[i])
+            out[i] = self.pair_fits[place[i]] = self.fits[key]
+            self.pair_at[place[i]] = key
+        return out
+
+    def _encode_together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What _encode_piece gives for each of the pieces, none of them empty: all ids, and how many each has."""
+        raw = [p.encode() for p in pieces]
+        long = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(-long, kind="stable")
+        first = (np.cumsum(long) - long)[order]  # of a piece's bytes
+        data, most = np.frombuffer(b"".join(raw), np.uint8), long[order]
+        last = np.full(len(data) + len(raw), -1, np.int32)  # by prefix: a piece has one more of them than bytes
+        begin = first + order
+        last[begin] = START
+        state = np.zeros(len(raw), np.int32)
+        for at, n in enumerate((len(raw) - np.searchsorted(most[::-1], np.arange(most[0]), "right")).tolist()):
+            state = self.steps.step(state[:n], data[first[:n] + at])
+            token, end = self.steps.longest[state], begin[:n] + at + 1
+            while len(end):
+                before = last[end - self.sizes[token]]
+                good = before == START
+                inner = np.flatnonzero(before >= 0)
+                good[inner] = self._all_fit(before[inner], token[inner])
+                last[end[good]] = token[good]
+                token, end = self.steps.shorter[token[~good]], end[~good]
+                token, end = token[token >= 0], end[token >= 0]
+        taken, ends = np.zeros(len(last), bool), begin + most
+        while len(ends):
+            taken[ends] = True
+            ends = ends - self.sizes[last[ends]]
+            ends = ends[last[ends] != START]
+        return last[taken], np.diff(np.cumsum(taken)[np.cumsum(long + 1) - 1], prepend=0)
+
+    def _learn(self, new: set[str]) -> list[str]:
+        """Encode pieces that have no place yet. Returned are the last ones, which are too long to be kept."""
+        known, part, chars, long = self.pieces_known, [], 0, []
+        for p in new:
+            if len(p) > LONGEST_CACHED:
+                long.append(p)
+                continue
+            part.append(p)
+            chars += len(p)
+            if chars >= TOGETHER_CHARS:
+                known.add(part, *self._encode_together(part))
+                part, chars = [], 0
+        if part:
+            known.add(part, *self._encode_together(part))
+        if long:
+            ids = [self._encode_piece(p) for p in long]
+            known.add(long, np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64))
+        return long
+
     def _is_odd(self, c: str) -> bool:
         """Does the library class this character otherwise than the pattern does here (another Unicode version)?"""
         s = f"a{c}1!{c} {c}b"
         return [s[a:b] for _, (a, b) in self.library_pieces(s)] != self.split(s)
 
-    def pieces(self, text: str) -> list[str]:
+    def _plain_pieces(self, text: str) -> list[str]:
         if not text.isascii():
             chars = set(text)
             if new := chars - self.known:
@@ -171,11 +303,46 @@ class Codec:
                 return [text[a:b] for _, (a, b) in self.library_pieces(text)]
         return self.split(text)
 
-    def encode(self, text: str) -> Iterator[int]:
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text; special strings in it are one each, and no other piece equals one."""
         if self.special_split is None or not any(s in text for s in self.special):
-            return chain.from_iterable(map(self.ids_of.__getitem__, self.pieces(text)))
-        parts = self.special_split(text)
-        return chain.from_iterable((self.special[p],) if i % 2 else chain.from_iterable(map(self.ids_of.__getitem__, self.pieces(p))) for i, p in enumerate(parts))
+            return self._plain_pieces(text)
+        return [x for i, p in enumerate(self.special_split(text)) for x in ((p,) if i % 2 else self._plain_pieces(p))]
+
+    def _ids(self, split: list[list[str]]) -> list[np.ndarray]:
+        """The ids of each list of pieces."""
+        known = self.pieces_known
+        places = [np.fromiter(map(known.place.get, x, repeat(-1)), np.int64, len(x)) for x in split]
+        missing = [np.flatnonzero(x < 0).tolist() for x in places]
+        new = {x[i] for x, at in zip(split, missing, strict=True) for i in at}
+        if new and len(known.place) + len(new) > MOST_CACHED:
+            known = self.pieces_known = Known()
+            new, missing = set().union(*split), [range(len(x)) for x in split]
+        specials = [x for x in self.special if x in new]
+        known.add(specials, np.array([self.special[x] for x in specials], np.int32), np.ones(len(specials), np.int64))
+        long = self._learn(new.difference(specials))
+        for x, at, out in zip(split, missing, places, strict=True):
+            out[at] = np.fromiter((known.place[x[i]] for i in at), np.int64, len(at))
+        out = [known.ids_of(x) for x in places]
+        known.forget_last(long)
+        return out
+
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. A text of very many pieces goes in stretches of them."""
+        split, of_text, last = [], [], None
+        for text in texts:
+            if text != last:  # copies that a mix takes stand together, and are encoded once
+                split.append(self.pieces(text))
+                last = text
+            of_text.append(len(split) - 1)
+        if sum(map(len, split)) <= BATCH_CHARS:
+            own = self._ids(split)
+        else:
+            own = [np.concatenate([self._ids([x[i : i + BATCH_CHARS]])[0] for i in range(0, len(x) or 1, BATCH_CHARS)]) for x in split]
+        return [own[i] for i in of_text]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_texts([text])[0].tolist()
 
     def decode(self, ids) -> str:
         return decode_ids(ids, token_bytes(self.path))
@@ -207,18 +374,10 @@ def _slices(batch: pa.RecordBatch, sizes) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def _lists(flat: array, ends: list[int]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
-
-
 def _encoded(c: Codec, texts: list[str]) -> pa.ListArray:
-    flat, ends, last, own = array("i"), [0], None, array("i")
-    for text in texts:
-        if text != last:  # copies that a mix takes stand together, and are encoded once
-            last, own = text, array("i", c.encode(text))
-        flat.extend(own)
-        ends.append(len(flat))
-    return _lists(flat, ends)
+    ids = c.encode_texts(texts)
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
 
 
 def _decoded(lists: pa.ListArray, bytes_of) -> pa.StringArray:

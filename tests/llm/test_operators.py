@@ -365,6 +365,39 @@ def test_bpe_on_random_strings(library):
         assert c.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_encodes_new_pieces_together(library, monkeypatch):
+    rng = np.random.default_rng(33)
+    c = bpe.Codec(BYTE_BPE)
+    bases = ["thereon", "aábßéñ", "0123", ".,!|", "漢字か😀", "\x00\x01\x7f\x80ÿ"]
+    words = ["".join(rng.choice(list(bases[i % len(bases)]), size=rng.integers(1, 90))) for i in range(3000)]
+    texts = ["", "<|endoftext|>", *(" ".join(words[i] for i in rng.integers(0, len(words), size=40)) + "<|endoftext|>" * (k % 5 == 0) for k in range(60))]
+    texts += [texts[-1], texts[-1], "", texts[5]]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    one_by_one = []
+    monkeypatch.setattr(c, "_encode_piece", lambda p, f=c._encode_piece: one_by_one.append(p) or f(p))
+    assert [x.tolist() for x in c.encode_texts(texts)] == want
+    assert one_by_one and min(map(len, one_by_one)) > bpe.LONGEST_CACHED  # all others went side by side
+    kept = len(c.pieces_known.place)
+    assert [x.tolist() for x in c.encode_texts(texts)] == want and len(c.pieces_known.place) == kept == len(c.pieces_known.ends) - 1
+    assert max(map(len, c.pieces_known.place)) <= bpe.LONGEST_CACHED
+    for name, value in (("MOST_CACHED", 50), ("BATCH_CHARS", 7), ("TOGETHER_CHARS", 20)):  # cleared, in stretches, in small groups
+        monkeypatch.setattr(bpe, name, value)
+        assert [x.tolist() for x in c.encode_texts(texts)] == want
+
+
+def test_bpe_steps_find_every_token():
+    tokens = {t: i for i, t in enumerate(["a", "b", "c", "d", "ab", "bc", "abc", "bcd", "xyab"])}
+    s, text = bpe.Steps(tokens, len(tokens)), "abcdxyabcd"
+    state = np.zeros(1, np.int32)
+    for end, byte in enumerate(text.encode(), 1):
+        state = s.step(state, np.array([byte], np.uint8))
+        found, t = [], int(s.longest[state[0]])
+        while t >= 0:
+            found.append(t)
+            t = int(s.shorter[t])
+        assert found == [tokens[text[k:end]] for k in range(end) if text[k:end] in tokens]
+
+
 def test_bpe_awkward(awkward, empty, library):
     n = 0
     for r in bpe.decode(bpe.encode(awkward, BYTE_BPE), BYTE_BPE).collect():
