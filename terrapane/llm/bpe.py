@@ -4,7 +4,7 @@ For every prefix of a piece, BPE has one encoding, and so one last token. A toke
 by an Aho-Corasick automaton over the vocabulary) is that token exactly if the last token of the prefix before it may stand to
 its left: no merge rule would have joined across the two earlier. Following the last tokens back gives the ids. The work
 per piece is linear in its length for a bounded token length, so pieces of any length are whole. The new short pieces of
-a batch of texts go through the automaton's table side by side, a byte of each in a step on arrays; longer pieces go one
+a batch of texts go through the automaton side by side, a byte of each in a step on arrays; longer pieces go one
 at a time.
 
 Defined results: null text is encoded as the empty text (no ids) and decodes to ''; the strings of added special tokens
@@ -104,33 +104,36 @@ class Steps:
         nodes = sorted({t[:k] for t in tokens for k in range(1, len(t) + 1)}, key=len)
         number = {"": 0} | {x: i for i, x in enumerate(nodes, 1)}
         to_byte = {c: b for b, c in enumerate(byte_alphabet())}
-        parent = np.array([0, *(number[x[:-1]] for x in nodes)], np.int32)
-        byte = np.array([0, *(to_byte[x[-1]] for x in nodes)], np.int32)
-        self.alone = np.array([number.get(c, 0) for c in byte_alphabet()], np.int32)
-        used = sorted({to_byte[c] for x in nodes if len(x) > 1 for c in (x[0], x[-1])})  # any other byte leads to the state of itself alone
-        self.column = np.full(256, -1, np.int32)
-        self.column[used] = range(len(used))
-        self.goto = np.zeros((len(number), len(used)), np.int32)
-        self.goto[0] = self.alone[used]
-        own, fail = np.array([-1, *(tokens.get(x, -1) for x in nodes)], np.int32), np.zeros(len(number), np.int32)
+        parent = np.array([0, *(number[x[:-1]] for x in nodes)], np.int64)
+        byte = np.array([0, *(to_byte[x[-1]] for x in nodes)], np.uint8)
+        own = np.array([-1, *(tokens.get(x, -1) for x in nodes)], np.int32)
+        self.alone = np.array([number.get(c, 0) for c in byte_alphabet()], np.int64)
+        edges = parent << 8 | byte
+        self.target = np.argsort(edges[1:]) + 1
+        self.edges = np.append(edges[self.target], -1)  # the last is no edge
+        self.fail = np.zeros(len(number), np.int64)
         self.longest, self.shorter = own.copy(), np.full(n_ids, -1, np.int32)
         depths = np.cumsum(np.bincount(np.fromiter(map(len, nodes), np.int64, len(nodes)))) + 1
         for a, b in pairwise(depths.tolist()):
-            now = np.arange(a, b)
             if a > depths[0]:
-                up, col = parent[a:b], self.column[byte[a:b]]
-                inner = up > 0
-                fail[now[inner]] = self.goto[fail[up[inner]], col[inner]]
-                self.goto[up[inner], col[inner]] = now[inner]
-            self.goto[a:b] = self.goto[fail[a:b]]
-            below = self.longest[fail[a:b]]
+                self.fail[a:b] = np.where(parent[a:b] > 0, self.step(self.fail[parent[a:b]], byte[a:b]), 0)
+            below = self.longest[self.fail[a:b]]
             known = own[a:b] >= 0
             self.longest[a:b] = np.where(known, own[a:b], below)
             self.shorter[own[a:b][known]] = below[known]
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        column = self.column[byte]
-        return np.where(column < 0, self.alone[byte], self.goto[state, column])
+        out = self.alone[byte]
+        rest = np.flatnonzero(state)
+        state = state[rest]
+        while len(rest):
+            edge = state << 8 | byte[rest]
+            at = np.searchsorted(self.edges[:-1], edge)
+            hit = self.edges[at] == edge
+            out[rest[hit]] = self.target[at[hit]]
+            rest, state = rest[~hit], self.fail[state[~hit]]
+            rest, state = rest[state > 0], state[state > 0]
+        return out
 
 
 class Codec:
@@ -250,7 +253,7 @@ class Codec:
         last = np.full(len(data) + len(raw), -1, np.int32)  # by prefix: a piece has one more of them than bytes
         begin = first + order
         last[begin] = START
-        state = np.zeros(len(raw), np.int32)
+        state = np.zeros(len(raw), np.int64)
         for at, n in enumerate((len(raw) - np.searchsorted(most[::-1], np.arange(most[0]), "right")).tolist()):
             state = self.steps.step(state[:n], data[first[:n] + at])
             token, end = self.steps.longest[state], begin[:n] + at + 1

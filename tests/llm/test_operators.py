@@ -388,7 +388,7 @@ def test_bpe_encodes_new_pieces_together(library, monkeypatch):
 def test_bpe_steps_find_every_token():
     tokens = {t: i for i, t in enumerate(["a", "b", "c", "d", "ab", "bc", "abc", "bcd", "xyab"])}
     s, text = bpe.Steps(tokens, len(tokens)), "abcdxyabcd"
-    state = np.zeros(1, np.int32)
+    state = np.zeros(1, np.int64)
     for end, byte in enumerate(text.encode(), 1):
         state = s.step(state, np.array([byte], np.uint8))
         found, t = [], int(s.longest[state[0]])
