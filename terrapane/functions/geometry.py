@@ -58,3 +58,11 @@ def in_polygon(x: Column, y: Column, points: Column) -> Column:
     edges = F.zip_with(points, F.concat(F.slice(points, 2, 1_000_000), F.slice(points, 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
     hit = lambda e: ((e["p"]["y"] > y) != (e["q"]["y"] > y)) & (x < (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]) / F.nullif(e["q"]["y"] - e["p"]["y"], F.lit(0.0)) + e["p"]["x"])
     return F.size(F.filter(edges, lambda e: F.coalesce(hit(e), F.lit(False)))) % 2 == 1
+
+
+def within_polygon(x: Column, y: Column, points: Column) -> Column:
+    """The same without the boundary: a point on an edge or a corner is not within."""
+    edges = F.zip_with(points, F.concat(F.slice(points, 2, 1_000_000), F.slice(points, 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    between = lambda v, a, b: (v >= F.least(a, b)) & (v <= F.greatest(a, b))
+    on = lambda p, q: ((q["x"] - p["x"]) * (y - p["y"]) == (q["y"] - p["y"]) * (x - p["x"])) & between(x, p["x"], q["x"]) & between(y, p["y"], q["y"])
+    return in_polygon(x, y, points) & ~F.exists(edges, lambda e: on(e["p"], e["q"]))

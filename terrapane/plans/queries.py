@@ -379,7 +379,7 @@ def scene_grid_join(spark, sf_dir):
     pairs = grid.overlapping(scenes, prints, 1000.0, "box_id", "print_id")
     both = pairs.join(scenes.withColumnRenamed("minx", "a").withColumnRenamed("miny", "b").withColumnRenamed("maxx", "c").withColumnRenamed("maxy", "d"), "box_id").join(prints, "print_id")
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    inside = geometry.in_polygon((F.col("minx") + F.col("maxx")) / 2 + 0.25, (F.col("miny") + F.col("maxy")) / 2, F.array(point("a", "b"), point("c", "b"), point("c", "d")))
+    inside = geometry.within_polygon((F.col("minx") + F.col("maxx")) / 2 + 0.25, (F.col("miny") + F.col("maxy")) / 2, F.array(point("a", "b"), point("c", "b"), point("c", "d")))
     return both.where(inside).select("box_id", "print_id")
 
 

@@ -119,6 +119,27 @@ def test_wkb_and_point_in_polygon(spark):
     assert tuple(one(spark, geometry.in_polygon(F.lit(1.0), F.lit(1.0), square), geometry.in_polygon(F.lit(3.0), F.lit(1.0), square))) == (True, False)
 
 
+def test_a_point_on_the_boundary_is_not_within(spark):
+    points = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (4, 0), (4, 4))))
+    at = spark.createDataFrame([(2.5, 0.0), (4.0, 2.0), (2.0, 2.0), (0.0, 0.0), (3.0, 1.0), (1.0, 3.0), (-1.0, 0.0)], "x double, y double")
+    assert [r[0] for r in at.select(geometry.within_polygon(F.col("x"), F.col("y"), points)).collect()] == [False] * 4 + [True] + [False] * 2
+
+
+def test_scene_grid_join_equals_its_sql_on_edges(spark, tmp_path):
+    """The centres of these prints lie on the lower edges of these scenes, but for the last, whose is inside."""
+    import duckdb
+
+    from terrapane.plans.queries import ORACLES, QUERIES
+
+    spark.createDataFrame([(301, 32), (969, 12), (16874, 20), (36, 47)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(9518,), (6398,), (9359,), (13980,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    db = duckdb.connect()
+    for t in ("part", "customer"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(db.execute(ORACLES["scene_grid_join"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["scene_grid_join"](spark, str(tmp_path)).collect()) == want and want
+
+
 def test_chips_keep_pixel_order(spark):
     import zlib
 
