@@ -3,24 +3,30 @@
 A cell is (face, i, j) at a level, and its id holds the face and the curve's position. A covering descends from the faces:
 each level explodes the cells that meet the box to their quarters and keeps those that do, so the work follows the
 covering and not the sphere. The test is exact: a cell and a box meet if a corner of one is in the other, or an edge of the
-cell (an arc of a great circle) crosses a meridian or a parallel of the box. Its arithmetic is SQL text, in steps.
+cell (an arc of a great circle) crosses a meridian or a parallel of the box. Its arithmetic is some 300 steps, too long for
+one compiled method of Spark, so `cover` does the same steps on arrays of cells, in tasks; `meets_box` is them as SQL text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrapane.functions import projection
-from terrapane.scratch import written
 
 #: The place (2 i + j) of each position of the curve in each orientation, and how a position turns it.
 PLACES = (0, 1, 3, 2, 0, 2, 3, 1, 3, 2, 0, 1, 3, 1, 0, 2)
 TURNS = (1, 0, 0, 3)
 FINEST = 30
-CUT = 3  # levels of a descent in one plan
+CUT = 6  # levels of a descent in one task, after which the cells are spread over tasks anew
+CHUNK = 16_384  # cells tested at once
+SLACK = 1e-6  # radians by which a cap of a cell may miss one of a box and is still tested
 #: X, y, z of (u, v) on each face, and u, v, depth of (x, y, z) as seen from it.
 TO_XYZ = (("1", "u", "v"), ("-u", "1", "v"), ("-u", "-v", "1"), ("-1", "-v", "-u"), ("v", "-1", "-u"), ("v", "u", "-1"))
 TO_UV = (("y", "z", "x"), ("-x", "z", "y"), ("-x", "-y", "z"), ("-z", "-y", "-x"), ("-z", "x", "-y"), ("y", "x", "-z"))
@@ -104,24 +110,145 @@ def cell_id(face: Column, place: Column, level: Column) -> Column:
     return F.shiftleft(face.cast("long"), 61).bitwiseOR(shifted).bitwiseOR(one)
 
 
+def _signed(texts: tuple[tuple[str, ...], ...], names: str) -> tuple[np.ndarray, np.ndarray]:
+    """Texts such as -u by face, as places in names and signs."""
+    return np.array([[names.index(t[-1]) for t in each] for each in texts]), np.array([[-1.0 if t[0] == "-" else 1.0 for t in each] for each in texts])
+
+
+XYZ_AT, XYZ_SIGN = _signed(TO_XYZ, "1uv")
+UV_AT, UV_SIGN = _signed(TO_UV, "xyz")
+BOUNDS = ("west", "south", "east", "north")
+
+
+class Boxes:
+    """Boxes of degrees with what the tests need of each: sines and cosines of the bounds, and a cap around the box."""
+
+    def __init__(self, bounds: np.ndarray):
+        self.bounds, (west, south, east, north) = bounds, bounds
+        self.sin, self.cos = np.sin(np.radians(bounds)), np.cos(np.radians(bounds))
+        across, up = np.where(west <= east, east - west, east - west + 360) / 2, (north - south) / 2
+        lon, lat = np.radians(west + across), np.radians(south + up)
+        self.centre = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+        # from the centre any point is reached along the meridian and then a parallel
+        widest = np.where((south <= 0) & (north >= 0), 1.0, np.maximum(self.cos[1], self.cos[3]))
+        self.radius = np.radians(up + np.maximum(across, 0) * widest)
+
+    def take(self, at: np.ndarray) -> Boxes:
+        out = object.__new__(Boxes)
+        out.__dict__ = {name: value[..., at] for name, value in self.__dict__.items()}
+        return out
+
+
+def _spot(face: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    uv = np.stack([np.ones_like(u), u, v])
+    return uv[XYZ_AT[face].T, np.arange(len(face))] * XYZ_SIGN[face].T
+
+
+def _curved(s: np.ndarray) -> np.ndarray:
+    return np.where(s >= 0.5, (4 * s * s - 1) / 3, (1 - 4 * (1 - s) * (1 - s)) / 3)
+
+
+def _near(face: np.ndarray, i: np.ndarray, j: np.ndarray, level: int, boxes: Boxes) -> np.ndarray:
+    """False only for cells that lie apart from the box: the caps around both do not touch. A cap of less than half the sphere that holds a cell's corners holds the cell."""
+    one = 2.0**level
+    unit = lambda a, b: (lambda p: p / np.sqrt((p * p).sum(0)))(_spot(face, _curved((i + a) / one), _curved((j + b) / one)))
+    middle = unit(0.5, 0.5)
+    angle = lambda p, q: 2 * np.arcsin(np.minimum(1.0, np.sqrt(((p - q) ** 2).sum(0)) / 2))
+    radius = np.max([angle(middle, unit(a, b)) for a in (0, 1) for b in (0, 1)], axis=0)
+    return angle(middle, boxes.centre) <= radius + boxes.radius + SLACK
+
+
+def _meets(face: np.ndarray, i: np.ndarray, j: np.ndarray, level: int, boxes: Boxes) -> np.ndarray:
+    """The steps of meets_box on arrays."""
+    one, (west, south, east, north) = 2.0**level, boxes.bounds
+    plain = west <= east
+    in_lons = lambda x: np.where(plain, (x >= west) & (x <= east), (x >= west) | (x <= east))
+    in_lats = lambda x: (x >= south) & (x <= north)
+    latitude = lambda p: np.degrees(np.arctan2(p[2], np.sqrt(p[0] * p[0] + p[1] * p[1])))
+    us, vs = ([_curved((c + k) / one) for k in (0, 1)] for c in (i, j))
+    longitude = lambda p: np.degrees(np.arctan2(p[1] + 0.0, p[0] + 0.0))  # as Spark's atan2: -0.0 is 0.0
+    corners = [_spot(face, us[a], vs[b]) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    hit = np.zeros(len(face), bool)
+    for p in corners:  # a corner of the cell in the box
+        hit |= in_lats(latitude(p)) & in_lons(longitude(p))
+    for lon, lat in ((0, 1), (0, 3), (2, 1), (2, 3)):  # a corner of the box in the cell
+        b = np.stack([boxes.cos[lat] * boxes.cos[lon], boxes.cos[lat] * boxes.sin[lon], boxes.sin[lat]])
+        bu, bv, bw = b[UV_AT[face].T, np.arange(len(face))] * UV_SIGN[face].T
+        hit |= (bw > 0) & (bu >= us[0] * bw) & (bu <= us[1] * bw) & (bv >= vs[0] * bw) & (bv <= vs[1] * bw)
+    for k, p in enumerate(corners):  # an edge of the cell, as p + t * d
+        d = corners[(k + 1) % 4] - p
+        for m in (0, 2):  # a meridian's plane is met once
+            cos, sin = boxes.cos[m], boxes.sin[m]
+            away = cos * d[1] - sin * d[0]
+            t = np.where(away != 0, -(cos * p[1] - sin * p[0]) / away, np.nan)
+            q = p + t * d
+            hit |= (t >= 0) & (t <= 1) & (cos * q[0] + sin * q[1] > 0) & in_lats(latitude(q))
+        dots = [x[0] * y[0] + x[1] * y[1] + x[2] * y[2] for x, y in ((d, d), (p, d), (p, p))]
+        for m in (1, 3):  # a parallel's cone is met twice at most
+            square = boxes.sin[m] * boxes.sin[m]
+            a, b, c = d[2] * d[2] - square * dots[0], 2 * (p[2] * d[2] - square * dots[1]), p[2] * p[2] - square * dots[2]
+            e = b * b - 4 * a * c
+            for sign in (1.0, -1.0):
+                t = np.where(a == 0, np.where(b != 0, -c / b, np.nan), (-b + sign * np.sqrt(e)) / (2 * a))
+                q = p + t * d
+                hit |= (e >= 0) & (t >= 0) & (t <= 1) & (q[2] * boxes.bounds[m] >= 0) & in_lons(longitude(q))
+    return hit
+
+
+def _descend(boxes: Boxes, state: tuple[np.ndarray, ...], first: int, last: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """state (box, face, i, j, turn, place) of candidates at a level to those of the last level that meet their boxes, in pieces. Depth first, so that what is held is a few pieces for each level."""
+    waiting = [(first, state)]
+    places, turns = np.array(PLACES), np.array(TURNS)
+    while waiting:
+        depth, state = waiting.pop()
+        if len(state[0]) > CHUNK:
+            waiting += [(depth, tuple(c[at : at + CHUNK] for c in state)) for at in range(0, len(state[0]), CHUNK)]
+            continue
+        for test in (_near, _meets):
+            box, face, i, j, _, _ = state
+            found = test(face, i, j, depth, boxes.take(box))
+            state = tuple(c[found] for c in state)
+        if depth == last:
+            if len(state[0]):
+                yield state
+        elif len(state[0]):
+            box, face, i, j, turn, place = (np.repeat(c, 4) for c in state)
+            p = np.tile(np.arange(4), len(state[0]))
+            at = places[turn * 4 + p]
+            waiting.append((depth + 1, (box, face, i * 2 + (at >> 1), j * 2 + (at & 1), turn ^ turns[p], place * 4 + p)))
+
+
 def cover(boxes: DataFrame, level: int, keys: tuple[str, ...] = ("box_id",)) -> DataFrame:
-    """boxes (keys, west, south, east, north) to the cells of the level that meet them: keys, face, i, j, level, cell_id. Boxes with null bounds, or south > north, have none."""
-    state = ["face", "i", "j", "turn", "place"]
-    zero = F.lit(0).cast("long")
-    faces = F.explode(F.sequence(F.lit(0), F.lit(5)))
-    rows = boxes.where("south <= north AND west IS NOT NULL AND east IS NOT NULL").select(*keys, "west", "south", "east", "north", faces.alias("face"))
-    rows = rows.select("*", zero.alias("i"), zero.alias("j"), F.col("face").bitwiseAND(F.lit(1)).alias("turn"), zero.alias("place"))
-    base = [*keys, "west", "south", "east", "north"]
-    for depth in range(level + 1):
-        if depth:
-            quarters = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(3))))
-            at = F.element_at(F.array(*map(F.lit, PLACES)), F.col("turn") * 4 + F.col("p") + 1)
-            turn = F.element_at(F.array(*map(F.lit, TURNS)), F.col("p") + 1)
-            rows = quarters.withColumn("at", at).select(*base, "face", (F.col("i") * 2 + F.shiftright("at", 1)).alias("i"), (F.col("j") * 2 + F.col("at").bitwiseAND(F.lit(1))).alias("j"), F.col("turn").bitwiseXOR(turn).alias("turn"), (F.col("place") * 4 + F.col("p")).alias("place"))
-        for layer in layers(meets_box(str(depth))):
-            rows = rows.select("*", *(F.expr(text).alias(name) for name, text in layer))
-        # through a generator of one row, so that the filter is not written out below the arithmetic
-        rows = rows.select(*base, *state, F.inline(F.array(F.struct("hit")))).where("hit").select(*base, *state)
-        if depth % CUT == CUT - 1:
-            rows = written(rows, "cells")
-    return rows.select(*keys, "face", "i", "j", F.lit(level).alias("level"), cell_id(F.col("face"), F.col("place"), F.lit(level)).alias("cell_id"))
+    """boxes (keys, west, south, east, north) to the cells of the level that meet them: keys, face, i, j, level, cell_id. Boxes with null or NaN bounds, or south > north, have none."""
+    state = ("face", "i", "j", "turn", "place")
+    known = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in BOUNDS)
+    rows = boxes.select(*keys, *(F.col(c).cast("double").alias(c) for c in BOUNDS)).where(f"{known} AND south <= north")
+    held = [*keys, *BOUNDS]
+    cells = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in state)])
+
+    def descent(first: int, last: int):
+        def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, column = batch.num_rows, lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023
+                if first:
+                    at = (np.arange(n), *(column(c) for c in state))
+                else:
+                    face = np.tile(np.arange(6), n)
+                    at = (np.repeat(np.arange(n), 6), face, np.zeros(6 * n, np.int64), np.zeros(6 * n, np.int64), face & 1, np.zeros(6 * n, np.int64))
+                with np.errstate(all="ignore"):
+                    for box, *found in _descend(Boxes(np.stack([column(c) for c in BOUNDS])), at, first, last):
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(box)) for c in held), *map(pa.array, found)], [*held, *state])
+
+        return descend
+
+    for first in range(0, level + 1, CUT):
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = rows.repartition(n, *BOUNDS, *(("face", "i", "j") if first else keys))
+        rows = spread.mapInArrow(descent(first, min(first + CUT - 1, level)), cells)
+        # after a cut the candidates are quarters of what was found
+        if first + CUT <= level:
+            quarters = rows.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+            at = F.element_at(F.array(*map(F.lit, PLACES)), (F.col("turn") * 4 + F.col("p") + 1).cast("int"))
+            turn = F.element_at(F.array(*map(F.lit, TURNS)), (F.col("p") + 1).cast("int"))
+            rows = quarters.withColumn("at", at).select(*held, "face", (F.col("i") * 2 + F.shiftright("at", 1)).alias("i"), (F.col("j") * 2 + F.col("at").bitwiseAND(F.lit(1))).alias("j"), F.col("turn").bitwiseXOR(turn).alias("turn"), (F.col("place") * 4 + F.col("p")).alias("place"))
+    return rows.select(*keys, F.col("face").cast("int").alias("face"), "i", "j", F.lit(level).alias("level"), cell_id(F.col("face"), F.col("place"), F.lit(level)).alias("cell_id"))

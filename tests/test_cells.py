@@ -67,3 +67,34 @@ def test_a_covering_is_the_parents_of_the_next(spark):
     ids = [r.cell_id for r in cells.cover(df, 4).collect()]
     assert len(set(ids)) == len(ids) and cells.cover(df.limit(0), 2).count() == 0
     assert cells.cover(df.select("box_id", F.lit(None).cast("double").alias("west"), "south", "east", "north"), 2).count() == 0
+
+def test_the_arrays_decide_as_the_sql_text(spark):
+    """All cells of two levels against boxes of every kind, by the steps as text and on arrays; and nothing that meets is skipped beforehand."""
+    rng = np.random.default_rng(12)
+    boxes = [tuple(map(float, b)) for b in zip(rng.uniform(-180, 180, 25).round(2), rng.uniform(-90, 60, 25).round(2), rng.uniform(-180, 180, 25).round(2), strict=True)]
+    boxes = [(w, s, e, s + k) for k, (w, s, e) in enumerate(boxes)] + [(45.0, -10.0, 45.0, 10.0), (-180.0, -90.0, 180.0, 90.0), (-180.0, 35.0, 180.0, 35.5), (0.0, 0.0, 0.0, 0.0), (170.0, 89.0, -170.0, 90.0), (90.0, -45.0, 135.0, 0.0)]
+    for level in (0, 2):
+        side = spark.range(1 << level)
+        df = spark.createDataFrame([(k, *b, level) for k, b in enumerate(boxes)], "k long, west double, south double, east double, north double, level int")
+        df = df.crossJoin(spark.range(6).select(F.col("id").alias("face"))).crossJoin(side.select(F.col("id").alias("i"))).crossJoin(side.select(F.col("id").alias("j")))
+        for layer in cells.layers(cells.meets_box()):
+            df = df.select("*", *(F.expr(text).alias(name) for name, text in layer))
+        rows = df.select("k", "face", "i", "j", "hit").collect()
+        k, face, i, j, hit = (np.array(c) for c in zip(*rows, strict=True))
+        with np.errstate(all="ignore"):
+            held = cells.Boxes(np.array(boxes).T).take(k)
+            meets, near = cells._meets(face, i, j, level, held), cells._near(face, i, j, level, held)
+        odd = meets != hit
+        assert not odd.any(), [(boxes[a], *r) for a, *r in zip(k[odd], face[odd], i[odd], j[odd], hit[odd], strict=True)]
+        assert 0 < hit.sum() < len(hit) and (near | ~hit).all() and not near.all()
+
+
+def test_a_covering_of_many_levels_and_cuts(spark):
+    """The finest cells of a point and of a small box are in those of each coarser level, also over cuts; the plan has no step that Spark interprets, and boxes of one file are spread over tasks."""
+    df = spark.createDataFrame([("a", 11.77, 49.7, 11.775, 49.702), ("b", float("nan"), 1.0, 2.0, 3.0)], "box_id string, west double, south double, east double, north double")
+    found = {level: {(r.box_id, r.face, r.i, r.j) for r in cells.cover(df, level).collect()} for level in (5, 6, 13, 18)}
+    for low, high in ((5, 6), (6, 13), (13, 18)):
+        assert {(b, f, i >> (high - low), j >> (high - low)) for b, f, i, j in found[high]} == found[low]
+    assert len(found[18]) > 20 and {b for b, *_ in found[18]} == {"a"}
+    plan = cells.cover(df, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "atan2" not in plan.lower() and "REPARTITION" in plan.upper()
