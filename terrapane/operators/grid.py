@@ -165,17 +165,23 @@ def zones_of_bounds(west: Column, south: Column, east: Column, north: Column) ->
     return F.array_distinct(F.flatten(F.transform(bounds_parts(west, south, east, north), zones)))
 
 
-def overlapping(a: DataFrame, b: DataFrame, cell: float, a_id: str, b_id: str) -> DataFrame:
-    """Pairs of overlapping boxes (closed): each box goes to the coarse cells that it touches, pairs meet in a cell, and the pair counts in the cell of its overlap's lower corner only, so that no pair comes twice."""
+def met(a: DataFrame, b: DataFrame, cell: float, test: Column | None = None) -> DataFrame:
+    """Pairs of overlapping boxes (closed), with the columns of both under a_ and b_: each box goes to the coarse cells that it touches, pairs meet in a cell, and the pair counts in the cell of its overlap's lower corner only, so that no pair comes twice. A further test reads these columns and is done where a pair meets, after the cheap ones, so that no pair is shuffled for it."""
 
     def cells(df: DataFrame, p: str) -> DataFrame:
         low = lambda c: F.floor(F.col(c) / cell).cast("long")
         df = df.select(*(F.col(c).alias(f"{p}{c}") for c in df.columns))
         return df.withColumn("cx", F.explode(F.sequence(low(f"{p}minx"), low(f"{p}maxx")))).withColumn("cy", F.explode(F.sequence(low(f"{p}miny"), low(f"{p}maxy"))))
 
-    pairs = cells(a, "a_").join(cells(b, "b_"), ["cx", "cy"]).where(boxes_overlap("a_", "b_"))
     own = (F.col("cx") == F.floor(F.greatest("a_minx", "b_minx") / cell)) & (F.col("cy") == F.floor(F.greatest("a_miny", "b_miny") / cell))
-    return pairs.where(own).select(F.col(f"a_{a_id}").alias(a_id), F.col(f"b_{b_id}").alias(b_id))
+    pair = boxes_overlap("a_", "b_") & own
+    # one filter, as one put above it would be evaluated before it
+    return cells(a, "a_").join(cells(b, "b_"), ["cx", "cy"]).where(pair if test is None else pair & test).drop("cx", "cy")
+
+
+def overlapping(a: DataFrame, b: DataFrame, cell: float, a_id: str, b_id: str) -> DataFrame:
+    """The ids of the pairs of met."""
+    return met(a, b, cell).select(F.col(f"a_{a_id}").alias(a_id), F.col(f"b_{b_id}").alias(b_id))
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrapane.dims import POLAR_HALF, UTM_X0, UTM_Y0_SOUTH
 from terrapane.functions import polygons, projection, tileid
-from terrapane.operators.grid import overlapping
+from terrapane.operators.grid import met
 
 
 def with_zone(points: DataFrame) -> DataFrame:
@@ -42,14 +42,18 @@ def assign_tiles(points: DataFrame, tiles: DataFrame, level: int) -> DataFrame:
 
 
 def boxes_in_polygons(shapes: DataFrame, boxes: DataFrame, cell: float, shape_id: str, box_id: str, whole: bool = False) -> DataFrame:
-    """shape_id, box_id: boxes (box_id, minx … maxy) that a polygon (shape_id, edges) meets and whose centre is within it; with whole, those that lie in it with all corners and that no edge meets. Bounds meet in coarse cells by an equi-join; the exact tests see only pairs of overlapping bounds."""
-    bounded = shapes.select(shape_id, *polygons.bounds_of(F.col("edges")))
-    pairs = overlapping(bounded, boxes.select(box_id, "minx", "miny", "maxx", "maxy"), cell, shape_id, box_id)
-    both = pairs.join(boxes.select(box_id, "minx", "miny", "maxx", "maxy"), box_id).join(shapes.select(shape_id, "edges"), shape_id)
-    box, edges = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")], F.col("edges")
+    """shape_id, box_id: boxes (box_id, minx … maxy) that a polygon (shape_id, edges) meets and whose centre is within it (a box shares its centre with the polygon then, so that this is the one test); with whole, those that lie in it with all corners and that no edge meets. Bounds, or centres, meet in coarse cells by an equi-join, and the exact tests see only pairs of overlapping bounds, where these meet: no pair is shuffled."""
+    # through generators of one row, so that edges and bounds are made once and filters on them are not written out below
+    bounded = shapes.select(shape_id, F.inline(F.array(F.struct("edges"))))
+    bounded = bounded.select(shape_id, "edges", F.inline(F.array(F.struct(*polygons.bounds_of(F.col("edges"))))))
+    edges = F.col("a_edges")
     if whole:
-        corners = [polygons.inside(F.col(x), F.col(y), edges) for x in ("minx", "maxx") for y in ("miny", "maxy")]
-        test = ~F.exists("edges", lambda e: polygons.edge_meets_box(e, *box)) & corners[0] & corners[1] & corners[2] & corners[3]
+        right = boxes.select(box_id, "minx", "miny", "maxx", "maxy")
+        box = [F.col(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")]
+        corners = [polygons.inside(x, y, edges) for x in (box[0], box[2]) for y in (box[1], box[3])]
+        test = ~F.exists(edges, lambda e: polygons.edge_meets_box(e, *box)) & corners[0] & corners[1] & corners[2] & corners[3]
     else:
-        test = polygons.meets_box(edges, *box) & polygons.inside((box[0] + box[2]) / 2, (box[1] + box[3]) / 2, edges)
-    return both.where(test).select(shape_id, box_id)
+        x, y = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
+        right = boxes.select(box_id, x.alias("minx"), y.alias("miny"), x.alias("maxx"), y.alias("maxy"))
+        test = polygons.inside(F.col("b_minx"), F.col("b_miny"), edges)
+    return met(bounded, right, cell, test).select(F.col(f"a_{shape_id}").alias(shape_id), F.col(f"b_{box_id}").alias(box_id))

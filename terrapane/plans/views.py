@@ -63,6 +63,12 @@ def view(spark: SparkSession, sf_dir: str, name: str, columns) -> DataFrame:
     return table(spark, sf_dir, name).selectExpr(*columns)
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str, columns) -> DataFrame:
+    """The same view with its rows dealt over tasks by a key, for costly columns: a table of few bytes is read by one task."""
+    rows = table(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    return rows.selectExpr(*columns)
+
+
 def sql(name: str, columns) -> str:
     """The same view as DuckDB text."""
     return f"SELECT {', '.join(columns)} FROM {name}"

@@ -10,7 +10,7 @@ from terrapane.operators import cells, grid, reproject, spatial, zonal
 from terrapane.plans import catalog
 from terrapane.plans.more_queries import LABELS
 from terrapane.plans.queries import FORWARD, POLAR, TURNED_BOXES, longs, parts_sql, query
-from terrapane.plans.views import FOOTPRINTS, METRE_BOXES, POINTS, POLAR_POINTS, choose, nest, sql, table, tile_text, view
+from terrapane.plans.views import FOOTPRINTS, METRE_BOXES, POINTS, POLAR_POINTS, choose, nest, spread, sql, table, tile_text, view
 
 CORNERS_OF = "(VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) AS c(corner, dx, dy)"
 
@@ -193,7 +193,7 @@ _EDGES = [(*a, *b) for ring in (OUTER, HOLE) for a, b in zip(ring, (*ring[1:], r
 )
 def polygon_boxes(spark, sf_dir):
     """Boxes that a concave polygon with a hole meets and that have their centre in it. A centre inside is a meeting, so the plain SQL needs the one test."""
-    shapes = view(spark, sf_dir, "customer", SHAPES).select("shape_id", polygons.edges_of(polygons.rings_of_wkt(F.col("wkt"))).alias("edges"))
+    shapes = spread(spark, sf_dir, "customer", "c_custkey", SHAPES).select("shape_id", polygons.edges_of(polygons.rings_of_wkt(F.col("wkt"))).alias("edges"))
     return spatial.boxes_in_polygons(shapes, view(spark, sf_dir, "part", METRE_BOXES), 2000.0, "shape_id", "box_id")
 
 

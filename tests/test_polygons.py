@@ -107,3 +107,12 @@ def test_points_and_boxes_equal_plain_tests(spark):
 def test_areas(spark):
     df = spark.createDataFrame([("POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 2 4, 4 4, 4 2, 2 2))",), ("POLYGON ((0 0, 30 0, 30 30, 20 30, 20 10, 10 10, 10 30, 0 30))",)], "wkt string")
     assert [r[0] for r in df.select(polygons.area_of(polygons.edges_of(polygons.rings_of_wkt(F.col("wkt"))))).collect()] == [96.0, 700.0]
+
+
+def test_pairs_are_decided_where_they_meet(spark, sf):
+    """One join, so no pair is shuffled for a test; a text is parsed once, and not in the one task that reads a small table."""
+    from terrapane.plans import world_queries
+
+    plan = world_queries.polygon_boxes(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("regexp_extract_all") == 1
+    assert plan.index("regexp_extract_all") < plan.index("RepartitionByExpression")
