@@ -66,3 +66,13 @@ def within_polygon(x: Column, y: Column, points: Column) -> Column:
     between = lambda v, a, b: (v >= F.least(a, b)) & (v <= F.greatest(a, b))
     on = lambda p, q: ((q["x"] - p["x"]) * (y - p["y"]) == (q["y"] - p["y"]) * (x - p["x"])) & between(x, p["x"], q["x"]) & between(y, p["y"], q["y"])
     return in_polygon(x, y, points) & ~F.exists(edges, lambda e: on(e["p"], e["q"]))
+
+
+def within_corners(x: Column, y: Column, corners: list[tuple[Column, Column]]) -> Column:
+    """within_polygon for a known number of corners: few steps of plain arithmetic, which Spark compiles as it does not functions over arrays. x, y and corners should be columns, as each is written out several times."""
+    crossed, on = F.lit(False), F.lit(False)
+    for (px, py), (qx, qy) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        side = (qx - px) * (y - py) - (x - px) * (qy - py)  # beyond 0: the point is to the left of an edge that goes up
+        crossed = crossed != (((py > y) != (qy > y)) & (F.when(qy > py, side).otherwise(-side) > 0))
+        on = on | ((side == 0) & ((px - x) * (qx - x) + (py - y) * (qy - y) <= 0))
+    return crossed & ~on

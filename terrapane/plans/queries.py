@@ -376,11 +376,11 @@ def box_overlap_join(spark, sf_dir):
 def scene_grid_join(spark, sf_dir):
     """Scene footprints (here triangles, the lower half of each box) and the tiles that overlap them with their centre (a little to its right, so that none is on an edge) inside."""
     scenes, prints = view(spark, sf_dir, "part", METRE_BOXES), view(spark, sf_dir, "customer", FOOTPRINTS)
-    pairs = grid.overlapping(scenes, prints, 1000.0, "box_id", "print_id")
-    both = pairs.join(scenes.withColumnRenamed("minx", "a").withColumnRenamed("miny", "b").withColumnRenamed("maxx", "c").withColumnRenamed("maxy", "d"), "box_id").join(prints, "print_id")
-    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    inside = geometry.within_polygon((F.col("minx") + F.col("maxx")) / 2 + 0.25, (F.col("miny") + F.col("maxy")) / 2, F.array(point("a", "b"), point("c", "b"), point("c", "d")))
-    return both.where(inside).select("box_id", "print_id")
+    prints = prints.withColumn("x", (F.col("minx") + F.col("maxx")) / 2 + 0.25).withColumn("y", (F.col("miny") + F.col("maxy")) / 2)
+    x, y = F.col("b_x"), F.col("b_y")
+    bounded = (x > F.col("a_minx")) & (x < F.col("a_maxx")) & (y > F.col("a_miny")) & (y < F.col("a_maxy"))
+    inside = geometry.within_corners(x, y, [(F.col(f"a_{i}"), F.col(f"a_{j}")) for i, j in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"))])
+    return grid.met(scenes, prints, 1000.0, bounded & inside).select(F.col("a_box_id").alias("box_id"), F.col("b_print_id").alias("print_id"))
 
 
 @query(f"WITH t AS (SELECT *, {PARENT_TEXT} AS super_id FROM ({TILES_SQL})), z AS (SELECT DISTINCT super_id FROM t WHERE k % 4 = 0 AND super_id IS NOT NULL) SELECT t.tile_id, z.super_id IS NOT NULL AS zero_parent FROM t LEFT JOIN z ON t.super_id = z.super_id")

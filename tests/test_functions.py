@@ -125,6 +125,22 @@ def test_a_point_on_the_boundary_is_not_within(spark):
     assert [r[0] for r in at.select(geometry.within_polygon(F.col("x"), F.col("y"), points)).collect()] == [False] * 4 + [True] + [False] * 2
 
 
+def test_known_corners_decide_as_an_array_of_them(spark):
+    ring = ((0, 0), (8, 0), (8, 8), (4, 3), (0, 8))
+    points = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring))
+    at = spark.range(19 * 19).select((F.col("id") % 19 / 2 - 0.5).alias("x"), (F.floor(F.col("id") / 19) / 2 - 0.5).alias("y"))
+    corners = [(F.lit(float(x)), F.lit(float(y))) for x, y in ring]
+    got = at.select(geometry.within_corners(F.col("x"), F.col("y"), corners), geometry.within_polygon(F.col("x"), F.col("y"), points)).collect()
+    assert all(a == b for a, b in got) and 100 < sum(a for a, _ in got) < 200
+
+
+def test_scene_grid_join_shuffles_no_pair(spark, sf):
+    from terrapane.plans.queries import QUERIES
+
+    plan = QUERIES["scene_grid_join"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 def test_scene_grid_join_equals_its_sql_on_edges(spark, tmp_path):
     """The centres of these prints lie on the lower edges of these scenes, but for the last, whose is inside."""
     import duckdb
