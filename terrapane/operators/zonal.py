@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrapane.functions.arrays import compress_uint8
 from terrapane.functions.proportions import is_all_zero
-from terrapane.operators.grid import overlapping
+from terrapane.operators.grid import met
 
 #: Code of pixels outside the tile's polygon, and of placeholder tiles.
 OUTSIDE, OVERSIZED = 1, -1
@@ -38,12 +38,11 @@ def merged_shares(counts: DataFrame, digits: int = 4) -> DataFrame:
 
 def tile_raster_counts(tiles: DataFrame, rasters: DataFrame, cell: float, pixel: float) -> DataFrame:
     """tile_id, source, code, n: tiles (tile_id, minx … maxy) against footprints of rasters of one code (source, code, minx … maxy), as whole pixels of their overlap. Boxes meet in coarse cells; nothing is compared with everything."""
-    pairs = overlapping(tiles, rasters, cell, "tile_id", "source")
-    box = lambda df, p, *keys: df.select(*keys, *(F.col(c).alias(f"{p}{c}") for c in ("minx", "miny", "maxx", "maxy")))
-    both = pairs.join(box(tiles, "t_", "tile_id"), "tile_id").join(box(rasters, "r_", "source", "code"), "source")
-    side = lambda a: F.least(f"t_max{a}", f"r_max{a}") - F.greatest(f"t_min{a}", f"r_min{a}")
+    box = ("minx", "miny", "maxx", "maxy")
+    side = lambda a: F.least(f"a_max{a}", f"b_max{a}") - F.greatest(f"a_min{a}", f"b_min{a}")
     n = F.floor(side("x") * side("y") / (pixel * pixel)).cast("long")
-    return both.select("tile_id", "source", "code", n.alias("n")).where("n > 0")
+    pairs = met(tiles.select("tile_id", *box), rasters.select("source", "code", *box), cell, n > 0)
+    return pairs.select(F.col("a_tile_id").alias("tile_id"), F.col("b_source").alias("source"), F.col("b_code").alias("code"), n.alias("n"))
 
 
 def raster_proportions(tiles: DataFrame, rasters: DataFrame, cell: float, pixel: float, digits: int = 4) -> DataFrame:

@@ -135,3 +135,10 @@ def test_scenes_over_180_degrees_and_the_equator(spark):
     for s in ("turn", "both"):  # mirrored parts have equally many tiles
         n = Counter(r.zone[:-1] for r in tiles[s])
         assert abs(n["1"] - n["60"]) <= 12
+
+
+def test_raster_counts_shuffle_no_pair(spark, sf):
+    from terrapane.plans import world_queries
+
+    plan = world_queries.raster_tile_shares(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
