@@ -11,6 +11,7 @@ Null codes and pixels that a source lacks are OUTSIDE; of repeated pixels the la
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -21,33 +22,61 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from terrapane.functions import projection
 from terrapane.operators.zonal import OUTSIDE
 
 SIDE = 512
 NO_DATA = 0
+READY = 64  # packed blocks that a task hands on at once
+MOST_COUNTS = 100_000  # counts that a task adds up before it hands them on
 #: Up to here a target pixel takes the nearest source pixel; a coarser one takes the most frequent of its samples.
 NEAREST_M = 10.0
 
 
 def pack_blocks(pixels: DataFrame, side: int = SIDE) -> DataFrame:
-    """pixels (source, row, col, code) to blocks (source, brow, bcol, data)."""
-
-    @F.pandas_udf(T.BinaryType())
-    def packed(places: pd.Series) -> pd.Series:
-        out = []
-        for each in places:
-            block = np.full(side * side, OUTSIDE, np.uint8)
-            for p in each:
-                block[p["at"]] = p["code"]
-            out.append(zlib.compress(block.tobytes(), 3))
-        return pd.Series(out)
+    """pixels (source, row, col, code) to blocks (source, brow, bcol, data). Pixels reach a task sorted by block and flow through it: it holds one block, whatever its partition holds."""
+    keys = ["source", "brow", "bcol"]
+
+    def packed(ready: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*ready, strict=True), kinds, strict=True)], [*keys, "data"])
+
+    def closed(key: tuple, block: np.ndarray) -> tuple:
+        return *key, zlib.compress(np.where(block < 0, OUTSIDE, block).astype(np.uint8).tobytes(), 3)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block, ready = None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes, at = batch.column("code").to_numpy(), batch.column("at").to_numpy()
+            if codes.min() < 0 or codes.max() > 255:
+                raise OverflowError("a code is not within 0 and 255")
+            columns = [batch.column(k) for k in keys]
+            # where a block begins: a value that is not the one before (nulls are alike)
+            new = np.zeros(batch.num_rows, bool)
+            for c in (c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in columns):
+                new[1:] |= c[1:] != c[:-1]
+            for start, end in itertools.pairwise((0, *np.flatnonzero(new), batch.num_rows)):
+                key = tuple(c[start].as_py() for c in columns)
+                if key != held:
+                    if held is not None:
+                        ready.append(closed(held, block))
+                    if len(ready) == READY:
+                        yield packed(ready)
+                        ready = []
+                    held, block = key, np.full(side * side, -1, np.int16)
+                np.maximum.at(block, at[start:end], codes[start:end].astype(np.int16))
+        if held is not None:
+            yield packed([*ready, closed(held, block)])
 
     at = (F.pmod("row", F.lit(side)) * side + F.pmod("col", F.lit(side))).cast("int").alias("at")
-    place = F.struct(at, F.col("code").cast("int").alias("code"))
-    blocks = pixels.where("code IS NOT NULL").groupBy("source", block_of("row", side).alias("brow"), block_of("col", side).alias("bcol"))
-    return blocks.agg(F.array_sort(F.collect_list(place)).alias("places")).select("source", "brow", "bcol", packed("places").alias("data"))
+    rows = pixels.where("code IS NOT NULL").select("source", block_of("row", side).alias("brow"), block_of("col", side).alias("bcol"), at, F.col("code").cast("int").alias("code"))
+    blocks = T.StructType([*(rows.schema[k] for k in keys), T.StructField("data", T.BinaryType())])
+    kinds = to_arrow_schema(blocks).types
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(pack, blocks)
 
 
 def block_of(pixel: str, side: int) -> Column:
@@ -127,14 +156,20 @@ def _read(batch: pa.RecordBatch, side: int) -> Iterator[tuple[np.ndarray, list,
 def zonal_counts(windows: DataFrame, blocks: DataFrame, side: int = SIDE) -> DataFrame:
     """tile_id, code, n of windows (tile_id, source, r0, r1, c0, c1; a tile may have many) over blocks. What is shuffled is blocks and counts."""
 
+    def counted(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], kind), pa.array([k[1] for k in held], pa.int32()), pa.array(held.values(), pa.int64())], ["tile_id", "code", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
         for batch in batches:
-            held: Counter = Counter()
             for block, tiles, bounds, _ in _read(batch, side):
                 for code, n in window_counts(block, bounds):
                     for i in np.flatnonzero(n):
                         held[tiles[i], code] += int(n[i])
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], kind), pa.array([k[1] for k in held], pa.int32()), pa.array(held.values(), pa.int64())], ["tile_id", "code", "n"])
+                if len(held) > MOST_COUNTS:
+                    yield counted(held)
+                    held.clear()
+        yield counted(held)
 
     tile = windows.schema["tile_id"].dataType
     kind = pa.string() if isinstance(tile, T.StringType) else pa.int64()

@@ -142,3 +142,23 @@ def test_raster_counts_shuffle_no_pair(spark, sf):
 
     plan = world_queries.raster_tile_shares(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_a_task_holds_one_block_and_no_pixel_as_an_object(spark):
+    """Blocks of one partition flow through: repeated and null pixels, null sources, negative places; and codes that are no byte stop the job."""
+    rows = [("a", r, c, (r * 7 + c * 3) % 90 + 2) for r in range(-20, 90) for c in range(-5, 40)] + [(None, 0, 0, 9), (None, 17, 0, 8), ("a", 1, 1, None), ("a", 2, 2, 1), ("a", 3, 3, 95), ("a", 3, 3, 2)]
+    pixels = spark.createDataFrame(rows, "source string, row long, col long, code int")
+    want = defaultdict(lambda: np.full((SIDE, SIDE), -1))
+    for source, r, c, code in rows:
+        if code is not None:
+            block = want[source, r // SIDE, c // SIDE]
+            block[r % SIDE, c % SIDE] = max(block[r % SIDE, c % SIDE], code)
+    made = raster.pack_blocks(pixels, SIDE)
+    got = {(b.source, b.brow, b.bcol): np.frombuffer(zlib.decompress(b.data), np.uint8).reshape(SIDE, SIDE) for b in made.collect()}
+    assert got.keys() == want.keys() and made.count() == len(got) > raster.READY / 2
+    assert all((got[k] == np.where(want[k] < 0, 1, want[k])).all() for k in got)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ArrowEvalPython" not in plan and "MapInArrow" in plan
+    for code in (256, -1):
+        with pytest.raises(Exception, match="not within 0 and 255"):
+            raster.pack_blocks(spark.createDataFrame([("a", 0, 0, code)], pixels.schema), SIDE).collect()
