@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +30,7 @@ from terrapane.operators.zonal import OUTSIDE
 SIDE = 512
 NO_DATA = 0
 READY = 64  # packed blocks that a task hands on at once
-MOST_COUNTS = 100_000  # counts that a task adds up before it hands them on
+MOST_COUNTS = 100_000  # counts that a task gathers before it hands them on
 #: Up to here a target pixel takes the nearest source pixel; a coarser one takes the most frequent of its samples.
 NEAREST_M = 10.0
 
@@ -104,6 +104,8 @@ def polygon_windows(shapes: DataFrame) -> DataFrame:
     """shapes (tile_id, source, edges in pixels: x along columns, y along rows) to windows of one row each, by the even-odd rule: a scanline through the pixel centres is inside between each two crossings. The rows of a shape are bounded by its height."""
     ys = F.concat(F.transform("edges", lambda e: e["y1"]), F.transform("edges", lambda e: e["y2"]))
     r0, r1 = first_pixel(F.array_min(ys)), first_pixel(F.array_max(ys))
+    # through a generator of one row, so that edges are made once and not in filters below
+    shapes = shapes.select("tile_id", "source", F.inline(F.array(F.struct("edges"))))
     rows = shapes.where(F.size("edges") > 0).withColumn("r0", F.explode(F.when(r1 > r0, F.sequence(r0, r1 - 1))))
     y = F.col("r0") + 0.5
     cut = F.filter("edges", lambda e: (e["y1"] > y) != (e["y2"] > y))
@@ -143,33 +145,39 @@ def window_counts(block: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int,
         yield int(code), table[r1, c1] - table[r0, c1] - table[r1, c0] + table[r0, c0]
 
 
-def _read(batch: pa.RecordBatch, side: int) -> Iterator[tuple[np.ndarray, list, np.ndarray, tuple[int, int]]]:
+def _read(batch: pa.RecordBatch, side: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, tuple[int, int]]]:
     """Of each row of _met: the block, its tiles, the windows cut to the block, and where it begins."""
     for brow, bcol, data, windows in zip(*(batch.column(c) for c in ("brow", "bcol", "data", "windows")), strict=True):
         flat = windows.values
         at = np.array([[brow.as_py()], [brow.as_py()], [bcol.as_py()], [bcol.as_py()]]) * side
         bounds = np.stack([flat.field(c).to_numpy() for c in ("r0", "r1", "c0", "c1")])
         block = np.frombuffer(zlib.decompress(data.as_py()), np.uint8).reshape(side, side)
-        yield block, flat.field("tile_id").to_pylist(), np.clip(bounds - at, 0, side), (at[0, 0], at[2, 0])
+        yield block, flat.field("tile_id"), np.clip(bounds - at, 0, side), (at[0, 0], at[2, 0])
 
 
 def zonal_counts(windows: DataFrame, blocks: DataFrame, side: int = SIDE) -> DataFrame:
     """tile_id, code, n of windows (tile_id, source, r0, r1, c0, c1; a tile may have many) over blocks. What is shuffled is blocks and counts."""
 
-    def counted(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], kind), pa.array([k[1] for k in held], pa.int32()), pa.array(held.values(), pa.int64())], ["tile_id", "code", "n"])
+    def counted(held: list[tuple]) -> pa.RecordBatch:
+        ids, codes, n = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(np.concatenate(codes)), pa.array(np.concatenate(n))], ["tile_id", "code", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, many = [], 0
         for batch in batches:
             for block, tiles, bounds, _ in _read(batch, side):
+                own = tiles.dictionary_encode(null_encoding="encode")
+                at, ids = own.indices.to_numpy(), own.dictionary
                 for code, n in window_counts(block, bounds):
-                    for i in np.flatnonzero(n):
-                        held[tiles[i], code] += int(n[i])
-                if len(held) > MOST_COUNTS:
+                    sums = np.bincount(at, n, len(ids)).astype(np.int64)  # whole numbers far below 2 ** 53
+                    some = np.flatnonzero(sums)
+                    held.append((ids.take(pa.array(some)).cast(kind), np.full(len(some), code, np.int32), sums[some]))
+                    many += len(some)
+                if many > MOST_COUNTS:
                     yield counted(held)
-                    held.clear()
-        yield counted(held)
+                    held, many = [], 0
+        if held:
+            yield counted(held)
 
     tile = windows.schema["tile_id"].dataType
     kind = pa.string() if isinstance(tile, T.StringType) else pa.int64()
@@ -200,7 +208,7 @@ def zonal_chips(windows: DataFrame, blocks: DataFrame, side: int = SIDE, digits:
                 for code, n in window_counts(block, bounds):
                     for i in np.flatnonzero(n):
                         counts[i].append((code, int(n[i])))
-                for i, (tile, (r0, r1, c0, c1)) in enumerate(zip(tiles, bounds.T, strict=True)):
+                for i, (tile, (r0, r1, c0, c1)) in enumerate(zip(tiles.to_pylist(), bounds.T, strict=True)):
                     for name, value in (("tile_id", tile), ("top", top + r0), ("left", left + c0), ("height", r1 - r0), ("width", c1 - c0), ("part", block[r0:r1, c0:c1].tobytes()), ("counts", counts[i])):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(dict(out) if out else {f.name: [] for f in parts}, schema=parts)

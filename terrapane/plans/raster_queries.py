@@ -9,7 +9,7 @@ from terrapane.dims import CODES
 from terrapane.functions import projection, tileid
 from terrapane.operators import raster
 from terrapane.plans.queries import SHARES_SQL, longs, query
-from terrapane.plans.views import PIXELS, choose, nest, sql, view
+from terrapane.plans.views import PIXELS, choose, nest, spread, sql, view
 from terrapane.scratch import written
 
 #: A tile of 1,200 m has 48 x 48 pixels of 25 m here; blocks of 64 lie across tiles.
@@ -75,7 +75,7 @@ def sheet(spark, sf_dir):
 def masked_tile_shares(spark, sf_dir):
     """Shares of the pixels whose centres are within rotated quadrilaterals, by their scanlines."""
     blocks = written(raster.pack_blocks(sheet(spark, sf_dir), BLOCK), "sheet")
-    quads = view(spark, sf_dir, "customer", QUADS)
+    quads = spread(spark, sf_dir, "customer", "c_custkey", QUADS)
     points = F.array(*(F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in range(4)))
     shapes = quads.select("tile_id", F.lit("orders").alias("source"), raster.ring_edges(points).alias("edges"))
     counts = raster.zonal_counts(raster.polygon_windows(shapes), blocks, BLOCK)
